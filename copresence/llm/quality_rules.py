@@ -11,11 +11,12 @@ struct column. Lines without a word are neither kept nor lost.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copresence.llm.common import WORD_BREAK, let, table, words_of
+from copresence.llm.common import let, table, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: Phrases of web furniture. A line of at most `boilerplate_words` words that holds one is boilerplate.
@@ -36,90 +37,120 @@ class LineRules:
     max_lost_percent: int = 30  # of the characters of lines with a word
 
 
+BLANK = " \t\n\x0b\x0c\r"
+
+
 def symbol_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(SYMBOLS))
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
-    """True where a line with a word fails a rule."""
+def has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK)) != ""
+
+
+def line_fails(line: Column, flags: Column, rules: LineRules) -> Column:
+    """True where a line with a word fails a rule. flags: what the whole text holds at all, so that clean texts skip most rules."""
     chars = F.char_length(line)
     navigation = F.regexp_count(line, F.lit(r"\||»|›|•")) * 24 > chars
     symbols = symbol_count(line) * 100 > chars * rules.line_symbol_percent
     shouts = F.regexp_count(line, F.lit("[!?]")) * 100 > chars * rules.line_shout_percent
-    unended = ~F.rlike(line, F.lit(r"[.!?…:;,。！？\"'”’)\]\p{L}\p{N}][\x20\x09-\x0D]*$"))
+    last = F.right(F.rtrim(line, F.lit(BLANK)), F.lit(1))
+    unended = (last != ".") & ~F.rlike(last, F.lit(r"[!?…:;,。！？\"'”’)\]\p{L}\p{N}]"))
     short = F.size(F.split(line, " ")) <= rules.boilerplate_words
     boilerplate = short & F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
-    braces = F.rlike(line, F.lit(r"[{}]"))
-    return navigation | symbols | shouts | unended | boilerplate | braces
+    braces = line.contains("{") | line.contains("}")
+    return (
+        unended | (flags["symbols"] & symbols) | (flags["bars"] & navigation) | (flags["shouts"] & shouts)
+        | (flags["phrases"] & boilerplate) | (flags["braces"] & braces)
+    )
+
+
+def _any(text: Column, parts) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in parts])
 
 
 def repeated_window_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more, the first occurrence included.
 
-    Windows are 64-bit hashes sorted with their positions; equal neighbours are repeats. The union of [i, i+2] over the
-    sorted repeated starts is the sum of min(3, gap to the next)."""
+    Windows are 64-bit hashes. Where they are not all distinct they are sorted with their positions; equal neighbours are
+    repeats. The union of [i, i+2] over the sorted repeated starts is the sum of min(3, gap to the next)."""
 
     def windows(hashes: Column) -> Column:
         return F.transform(
             F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0))),
-            lambda h, i: F.struct(F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("w"), i.alias("i")),
+            lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)),
         )
 
     def starts(ordered: Column) -> Column:
-        hit = F.filter(
-            ordered,
-            lambda x, j: F.coalesce(F.get(ordered, j - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(F.get(ordered, j + 1)["w"] == x["w"], F.lit(False)),
-        )
+        same = lambda x, j: F.coalesce(F.get(ordered, j)["w"] == x["w"], F.lit(False))
+        hit = F.filter(ordered, lambda x, j: same(x, j - 1) | same(x, j + 1))
         return F.sort_array(F.transform(hit, lambda x: x["i"]))
 
     def covered(at: Column) -> Column:
         parts = F.transform(at, lambda a, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - a, F.lit(3))))
         return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda hs: let(F.sort_array(windows(hs)), lambda ordered: let(starts(ordered), covered)))
+    def count(window: Column) -> Column:
+        placed = F.transform(window, lambda h, i: F.struct(h.alias("w"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(window)) == F.size(window), F.lit(0).cast("long")).otherwise(
+            let(F.sort_array(placed), lambda ordered: let(starts(ordered), covered))
+        )
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: let(windows(hashes), count))
 
 
 def judge(docs: DataFrame, text: str = "text", out: str = "quality", rules: LineRules = LineRules()) -> DataFrame:
     """docs with a struct column `out`: the counts, base_failed, kept, lost_chars, line_chars, n_lines_removed, clean_text."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    has_word = lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
-    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda acc, x: acc + F.char_length(x))
+    total = lambda lines: F.char_length(F.array_join(lines, "")).cast("long")
+
+    def of_words(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            repeated_window_words(words).alias("n_repeat_words"),
+        )
 
-    def of_lines(lines: Column) -> Column:
-        worded = F.filter(lines, has_word)
-        good = F.filter(lines, lambda x: ~has_word(x) | ~line_fails(x, rules))
+    def of_lines(lines: Column, worded: Column, flags: Column) -> Column:
+        """Where no line fails, nothing is built anew."""
+        good = F.filter(worded, lambda x: ~line_fails(x, flags, rules))
         return let(
-            F.struct(worded.alias("w"), good.alias("g")),
-            lambda s: F.struct(
-                (F.size(s["w"]) - F.size(F.array_distinct(s["w"]))).cast("long").alias("n_dup_lines"),
-                total(s["w"]).alias("line_chars"),
-                (total(s["w"]) - total(F.filter(s["g"], has_word))).alias("lost_chars"),
-                (F.size(lines) - F.size(s["g"])).cast("long").alias("n_lines_removed"),
-                F.array_join(s["g"], "\n").alias("clean_text"),
+            good,
+            lambda g: F.struct(
+                (F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
+                total(worded).alias("line_chars"),
+                (total(worded) - total(g)).alias("lost_chars"),
+                (F.size(worded) - F.size(g)).cast("long").alias("n_lines_removed"),
+                F.when(F.size(worded) == F.size(g), whole)
+                .otherwise(F.array_join(F.filter(lines, lambda x: ~has_word(x) | ~line_fails(x, flags, rules)), "\n"))
+                .alias("clean_text"),
             ),
         )
 
-    of_words = lambda ws: F.struct(
-        F.size(ws).cast("long").alias("n_words"),
-        F.aggregate(ws, F.lit(0).cast("long"), lambda acc, w: acc + F.char_length(w)).alias("word_chars"),
-        repeated_window_words(ws).alias("n_repeat_words"),
-    )
+    def of_text(lines: Column) -> Column:
+        n_symbols = symbol_count(whole)
+        lowered = F.lower(whole)
+        flags = F.struct(
+            n_symbols.cast("long").alias("n_symbols"),
+            (n_symbols > 0).alias("symbols"),
+            _any(whole, "|»›•").alias("bars"),
+            _any(whole, "!?").alias("shouts"),
+            let(lowered, lambda low: _any(low, BOILERPLATE)).alias("phrases"),
+            _any(whole, "{}").alias("braces"),
+        )
+        return let(flags, lambda f: F.struct(f["n_symbols"].alias("n_symbols"), let(F.filter(lines, has_word), lambda worded: of_lines(lines, worded, f)).alias("l")))
+
     parts = docs.withColumn(
-        out,
-        F.struct(
-            let(words_of(F.col(text)), of_words).alias("w"),
-            let(F.split(whole, "\n"), of_lines).alias("l"),
-            symbol_count(whole).cast("long").alias("n_symbols"),
-        ),
+        out, F.struct(let(words_of(F.col(text)), of_words).alias("w"), let(F.split(whole, "\n"), of_text).alias("t"))
     )
-    w, l = F.col(out)["w"], F.col(out)["l"]
+    w, t = F.col(out)["w"], F.col(out)["t"]
+    l = t["l"]
     failed = (w["n_words"] < rules.min_words) | (w["n_repeat_words"] * 100 > w["n_words"] * rules.max_repeat_percent)
     keeps = l["lost_chars"] * 100 <= l["line_chars"] * rules.max_lost_percent
     return parts.withColumn(
         out,
         F.struct(
-            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), F.col(out)["n_symbols"].alias("n_symbols"),
+            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), t["n_symbols"].alias("n_symbols"),
             l["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
             (~failed & keeps).alias("kept"), l["lost_chars"].alias("lost_chars"), l["line_chars"].alias("line_chars"),
             l["n_lines_removed"].alias("n_lines_removed"), l["clean_text"].alias("clean_text"),
