@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from copresence.llm import quality_rules
+from copresence.llm import language_id, license_scan, quality_rules, sentencepieces, simhash, url_filter
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op3_language_id": language_id.op3_language_id,
+        "op5_license_scan": license_scan.op5_license_scan,
+        "op6_sentencepiece": sentencepieces.op6_sentencepiece,
+        "op8_simhash_dedup": simhash.op8_simhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op5_license_scan": license_scan.ORACLE_SQL}
