@@ -291,16 +291,15 @@ class SuffixArray:
     def maximal_repeats(self, least: int) -> Iterator[tuple[int, int, int]]:
         """(length, first, last): runs order[first..last] of suffixes that share a prefix of `length` >= least, no byte longer and not
         all preceded by the same byte: the maximal repeats with all their occurrences, from a stack scan of the interval tree."""
-        left, lcp, n = self.left(), self.lcp, len(self.order)
+        left, lcp = self.left(), self.lcp
         changes = np.append(0, np.cumsum(left[1:] != left[:-1]))  # equal at two places if nothing changes between them
         high = np.flatnonzero(lcp >= least)
         if not len(high):
             return
-        runs = np.split(high, np.flatnonzero(np.diff(high) > 1) + 1)
-        for run in runs:
+        for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1):
             stack = []  # (length, first)
             begin = int(run[0])
-            for i, length in zip(range(begin, begin + len(run)), lcp[begin : begin + len(run)].tolist(), strict=True):
+            for i, length in enumerate(lcp[begin : begin + len(run)].tolist(), begin):
                 first = i - 1
                 while stack and stack[-1][0] > length:
                     longer, first = stack.pop()
@@ -312,7 +311,6 @@ class SuffixArray:
                 longer, first = stack.pop()
                 if changes[begin + len(run) - 1] != changes[first]:
                     yield longer, first, begin + len(run) - 1
-        del n
 
 
 COVER_COLUMNS = ["did", "th", "start", "span"]
@@ -384,7 +382,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     asks = written(met.mapInArrow(_asked, ASK_SCHEMA))
     wanted = asks.filter(f"kind <> {COVER}").groupBy("did", "th").agg(F.collect_list(F.struct("kind", "key", "start", "span")).alias("asked"))
     on = lambda side: (F.col("_did") == side["did"]) & (F.col("_th") == side["th"])
-    parts = keyed.join(wanted, on(wanted), "left").select("_did", "_th", body, "asked").mapInArrow(_parts, PART_SCHEMA)
+    # every column goes along, so that this exchange of texts and the last one are the same and Spark runs it once
+    others = [c for c in docs.columns if c != text]
+    parts = keyed.join(wanted, on(wanted), "left").select("_did", "_th", text, "asked", *others).mapInArrow(_parts, PART_SCHEMA)
     dealt = parts.repartition("key").sortWithinPartitions("key", "did", "th", "start")
     more = dealt.mapInArrow(_covered, COVER_SCHEMA)
     covers = (
