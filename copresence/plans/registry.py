@@ -1,4 +1,367 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries over the driver's tables, and their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from copresence.config import Config
+from copresence.functions import geo, rules
+from copresence.operators import clean, datasets, features, joins, matrix, metrics, ml, presence
+from copresence.plans.analysis import Analysis
+from copresence.plans.oracles import ORACLES
+from copresence.session import configure
+from copresence.sources.exports import file_fingerprints
+from copresence.sources.pings import event_pings
+
+CONFIG = Config(first_meeting="2024-01-05", key_dates={"first_meeting": "2024-01-05"})
 QUERIES = {}
-ORACLES = {}
+c = F.col
+
+
+def _r(name: str, alias: str | None = None):
+    return F.round(name, 6).alias(alias or name)
+
+
+def query(build):
+    """Register a function of an Analysis under its name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(Analysis(event_pings(configure(spark), sf_dir), CONFIG))
+
+    QUERIES[build.__name__] = run
+    return build
+
+
+def _positions(df: DataFrame, *more):
+    return df.select("person", "ping_id", "ts", _r("lat"), _r("lon"), *more)
+
+
+def _labels(a: Analysis) -> DataFrame:
+    """Made-up labels for training: weeks turn from apart to together, every eleventh day is mixed, a third has none."""
+    day = F.dayofmonth("date")
+    label = F.when(day % 11 == 0, "mixed").when(day % 4 < 2, "together").otherwise("apart")
+    return metrics.days(a.pings).filter(day % 3 != 0).select("date", label.alias("label"))
+
+
+@query
+def days_together(a):
+    return a.days_together()
+
+
+@query
+def usable_pings(a):
+    return _positions(clean.usable(a.raw, a.config.start_date), "accuracy")
+
+
+@query
+def dedup_2min(a):
+    return _positions(a.deduplicated, "accuracy")
+
+
+@query
+def jitter_filter(a):
+    return _positions(clean.drop_jitter(a.deduplicated))
+
+
+@query
+def geofence_tag(a):
+    return a.pings.select("person", "ping_id", "accuracy", "geofence_radius")
+
+
+@query
+def speed_lead(a):
+    return clean.with_speed(a.pings).select("person", "ping_id", _r("speed_kmh"))
+
+
+@query
+def movement_segments(a):
+    return clean.segments(a.pings).select("person", "seg_id", "start_us", "end_us", _r("dist_m"), _r("speed_kmh"), "movement", "geofence_radius")
+
+
+@query
+def movement_summary(a):
+    legs = clean.segments(a.pings)
+    return legs.groupBy("person", "movement").agg(F.count("*").alias("n"), F.round(F.sum("dist_m"), 3).alias("total_m"), F.round(F.sum("gap_h"), 6).alias("hours"))
+
+
+@query
+def distance_functions(a):
+    order = clean.in_order()
+    nxt = [F.lead(x).over(order) for x in ("lat", "lon")]
+    legs = a.deduplicated.select("ping_id", "lat", "lon", nxt[0].alias("la"), nxt[1].alias("lo")).filter("la IS NOT NULL")
+    points = (c("lat"), c("lon"), c("la"), c("lo"))
+    return legs.select("ping_id", F.round(geo.fast_distance(*points), 6).alias("fast_m"), F.round(geo.geodesic_distance(*points), 6).alias("geodesic_m"))
+
+
+@query
+def country_detect(a):
+    return a.pings.select("ping_id", geo.country(c("lat"), c("lon"), a.config).alias("country"), geo.in_home_region(c("lat"), c("lon"), a.config).alias("home_region"))
+
+
+@query
+def privacy_rounding(a):
+    return a.pings.select("ping_id", geo.rounded(c("lat")).alias("lat"), geo.rounded(c("lon")).alias("lon"))
+
+
+@query
+def date_parts(a):
+    h, d = F.hour("ts"), F.to_date("ts")
+    return a.pings.select(
+        "ping_id", rules.month_of(c("ts")).alias("month"), F.weekday(d).alias("weekday"), (F.weekday(d) >= 5).alias("is_weekend"),
+        rules.is_night(h).alias("night"), rules.is_morning(h).alias("morning"), rules.is_evening(h).alias("evening"),
+    )
+
+
+@query
+def coordinate_parse(a):
+    made = a.deduplicated.select("ping_id", F.when(c("ping_id") % 5 == 4, "nowhere").when(
+        c("ping_id") % 2 == 0, F.concat(F.lit("geo:"), (c("ping_id") % 90).cast("string"), F.lit(".25,"), (c("ping_id") % 180).cast("string"), F.lit(".5"))
+    ).otherwise(F.concat((c("ping_id") % 90).cast("string"), F.lit(".25°, -"), (c("ping_id") % 180).cast("string"), F.lit(".5°"))).alias("text"))
+    lat, lon = geo.parsed_coordinate(c("text"))
+    return made.select("ping_id", lat.alias("lat"), lon.alias("lon"))
+
+
+@query
+def home_cell(a):
+    return a.homes
+
+
+@query
+def home_cell_3_decimals(a):
+    return presence.home_cells(a.pings, a.config, digits=3, least=5)
+
+
+@query
+def overnight_fill(a):
+    fill = presence.overnight_fill(a.pings, a.homes, a.config)
+    return fill.select("person", "ts", _r("lat"), _r("lon"), "geofence_radius", "accuracy")
+
+
+@query
+def interp_presence(a):
+    made = presence.interpolated(a.overnight, a.config)
+    return made.select("person", "ts", _r("lat"), _r("lon"), "interp_type", "geofence_radius", _r("interp_speed_kmh"), "accuracy")
+
+
+@query
+def raw_overlaps(a):
+    return a.raw_overlaps.select("p1_ping_id", "p2_ping_id", "ts", _r("lat"), _r("lon"), _r("distance_m"), "tier")
+
+
+@query
+def raw_tier_counts(a):
+    return a.raw_overlaps.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("distance_m"), 6).alias("avg_distance_m"))
+
+
+@query
+def segment_pairs(a):
+    return joins.segment_pairs(a.legs).select("a_seg_id", "b_seg_id", "a_start_us", "b_start_us", "overlap_start", "overlap_end")
+
+
+@query
+def fine_overlaps(a):
+    return a.overlaps.select("bucket", "ts", _r("lat"), _r("lon"), _r("distance_m"), "tier", "p1_geofence", "p2_geofence", "p1_movement", "p2_movement", "geofence_match")
+
+
+@query
+def fine_tier_counts(a):
+    return a.overlaps.groupBy("tier", "p1_movement", "p2_movement").agg(F.count("*").alias("n"))
+
+
+@query
+def trusted_overlaps(a):
+    return a.trusted.select("bucket", "ts", _r("distance_m"), "tier")
+
+
+@query
+def overlap_stats(a):
+    return metrics.overlap_stats(a.overlaps)
+
+
+@query
+def tracked_metrics(a):
+    return metrics.tracked_metrics(a.filled, a.trusted, a.config)
+
+
+def _sides(a):
+    return metrics.days(metrics.of_person(a.pings, 1)), metrics.days(metrics.of_person(a.pings, 2).filter(F.dayofmonth("ts") % 7 != 0))
+
+
+@query
+def day_intersect(a):
+    one, two = _sides(a)
+    return one.intersect(two)
+
+
+@query
+def day_except(a):
+    one, two = _sides(a)
+    return metrics.only_first(one, two)
+
+
+@query
+def day_symdiff(a):
+    one, two = _sides(a)
+    return metrics.either_not_both(one, two.filter(F.dayofmonth("date") > 1))
+
+
+@query
+def day_union(a):
+    one, two = _sides(a)
+    return one.union(two).distinct()
+
+
+@query
+def monthly_summary(a):
+    return metrics.monthly_summary(a.trusted)
+
+
+@query
+def month_coverage(a):
+    return metrics.month_coverage(a.filled, a.overlaps, a.config)
+
+
+@query
+def daily_counts(a):
+    return metrics.daily_counts(a.overlaps)
+
+
+@query
+def residence(a):
+    return metrics.residence(a.trusted)
+
+
+@query
+def hour_coverage(a):
+    return matrix.hour_coverage(a.filled)
+
+
+@query
+def hourly_matrix(a):
+    return a.matrix
+
+
+def _rule_ensemble(a):
+    """States of days by rule and, in place of a model, the share of confirmed overlaps."""
+    stand_in = a.features.select("date", c("pct_confirmed").alias("ml_probability"))
+    return ml.ensemble(a.filled, a.trusted, stand_in, 0.7)
+
+
+@query
+def hourly_overlay(a):
+    return matrix.with_codes(matrix.overlay(a.matrix, _overlay_days(a))).select("date", "hour", "state", "code")
+
+
+def _overlay_days(a):
+    return metrics.days(a.pings).select("date", F.when(F.dayofmonth("date") % 3 == 0, "ml_together").otherwise("apart").alias("state"))
+
+
+@query
+def hourly_gapfill(a):
+    return matrix.with_codes(matrix.fill_dense_days(a.matrix)).select("date", "hour", "state", "code")
+
+
+@query
+def calendar_cells(a):
+    return datasets.calendar(a.filled, a.overlaps, a.config)
+
+
+@query
+def map_cells(a):
+    return datasets.map_cells(a.overlaps)
+
+
+@query
+def density_timeline(a):
+    return datasets.density(a.filled, a.overlaps, a.config)
+
+
+@query
+def gap_islands(a):
+    away = a.pings.filter(~F.dayofmonth("ts").between(9, 14) & (F.dayofmonth("ts") != 20))
+    return datasets.gap_islands(datasets.density(presence.marked_raw(away), a.overlaps, a.config), "p1_reports")
+
+
+@query
+def day_calendar(a):
+    return datasets.day_states(a.filled, a.trusted, _overlay_days(a).filter(F.dayofmonth("date") % 2 == 0), a.config)
+
+
+@query
+def day_features(a):
+    rows = a.features
+    return rows.select("date", *(F.round(c(n).cast("double"), 6).alias(n) for n in features.feature_names(rows)))
+
+
+@query
+def night_labels(a):
+    return ml.night_labels(a.pings, a.overlaps.limit(0), _labels(a), a.config, "2024-01-01", "2024-01-31")
+
+
+@query
+def merged_labels(a):
+    more = metrics.days(a.pings).select("date", F.lit("apart").alias("label"))
+    return ml.merge_labels(_labels(a), more)
+
+
+@query
+def ensemble_days(a):
+    return _rule_ensemble(a)
+
+
+@query
+def ensemble_counts(a):
+    return metrics.ensemble_counts(_rule_ensemble(a), a.config)
+
+
+@query
+def prob_at_instant(a):
+    days = metrics.days(a.pings)
+    noon = F.explode(F.array(*(F.lit(h) for h in (3, 9, 12, 21))))
+    midnight = rules.micros(c("date").cast("timestamp_ntz"))
+    targets = days.select("date", noon.alias("h")).select((midnight + c("h") * rules.MICROS_HOUR).alias("target_us"))
+    return matrix.probability_at(a.pings, targets, a.config).select("target_us", _r("prob"))
+
+
+def _trained(a):
+    rows = a.features.cache()
+    return rows, _labels(a)
+
+
+@query
+def loo_month_cv(a):
+    rows, labels = _trained(a)
+    return ml.leave_one_month_out(rows, labels)
+
+
+@query
+def gbt_predictions(a):
+    rows, labels = _trained(a)
+    model = ml.fit(rows, labels)
+    return ml.predict_all(model, rows, labels)
+
+
+@query
+def gbt_importances(a):
+    rows, labels = _trained(a)
+    return ml.importances(ml.fit(rows, labels), rows)
+
+
+@query
+def classifier_comparison(a):
+    rows, labels = _trained(a)
+    return ml.comparison(ml.predict_all(ml.fit(rows, labels), rows, labels))
+
+
+@query
+def classification_metrics(a):
+    stand_in = a.features.select("date", c("pct_confirmed").alias("p")).join(_labels(a), "date")
+    return ml.metrics_of(stand_in.withColumn("y", rules.label_to_binary(c("label"))), "y", "p", 0.5)
+
+
+def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_fingerprints(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"])
+
+
+QUERIES["file_fingerprint"] = file_fingerprint
