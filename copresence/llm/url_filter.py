@@ -63,8 +63,14 @@ def raw_tokens(host: Column, path: Column) -> Column:
     return F.regexp_extract_all(F.concat_ws("/", named, F.lower(path)), F.lit(r"(\p{L}+)"))
 
 
+def parted_words(host: Column, path: Column) -> Column:
+    labels = F.regexp_extract_all(host, F.lit(r"([^.]*-[^.]*)"))
+    return F.regexp_extract_all(F.concat_ws("/", F.concat_ws("/", labels), F.lower(path)), F.lit(r"(\p{L}+)"))
+
+
 class Segmenter:
-    """Unigram Viterbi: the most probable split of a name into words; unknown letters cost more than any word."""
+    """Unigram Viterbi: the most probable split of a name into words; a letter outside words costs more than any word, and letters
+    outside words next to each other make one token."""
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) or 1
@@ -82,19 +88,29 @@ class Segmenter:
                 c = self.cost.get(name[start:end])
                 if c is not None and best[start] + c < best[end]:
                     best[end], last[end] = best[start] + c, start
-        out, end = [], len(name)
+        parts, end = [], len(name)
         while end:
-            out.append(name[last[end] : end])
+            parts.append(name[last[end] : end])
             end = last[end]
+        out, unknown = [], ""
+        for part in reversed(parts):
+            if part in self.cost:
+                out += [unknown, part] if unknown else [part]
+                unknown = ""
+            else:
+                unknown += part
+        if unknown:
+            out.append(unknown)
         if len(self.seen) > 200_000:
             self.seen.clear()
-        self.seen[name] = out[::-1]
-        return self.seen[name]
+        self.seen[name] = out
+        return out
 
 
 def unigrams(tokens: DataFrame, size: int, seeds=SEEDS) -> dict[str, int]:
-    """The `size` most frequent tokens of all urls (the model's documented size), and the seed words."""
-    counted = tokens.select(F.explode("raw").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """The `size` most frequent words of all urls (the model's documented size), and the seed words. Words are what hyphens part in
+    hosts and what paths hold; names written in one are what is to be split, so they do not count."""
+    counted = tokens.select(F.explode(parted_words(F.col("host"), F.col("path"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     kept = counted.filter(F.char_length("token") > 1).orderBy(F.desc("n"), "token").limit(size).collect()
     most = max([10, *(r.n for r in kept)])
     return {r.token: r.n for r in kept} | {s: most for s in seeds}

@@ -46,7 +46,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
-    return packing.pack(written(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))))
+    return packing.pack(written(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))))
 
 
 STAGES = [
