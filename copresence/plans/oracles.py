@@ -164,10 +164,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY t // 900000000 ORDER BY d, a.sta
     "monthly": f"""SELECT strftime(ts, '%Y-%m') AS month, count(*) AS total_colocations, count(DISTINCT {DAY}) AS unique_days,
   count(DISTINCT {DAY}) FILTER ({NIGHT}) AS nights FROM SOURCE GROUP BY 1""",
     "density": f"""SELECT s.date, coalesce(p1_reports, 0) AS p1_reports, coalesce(p2_reports, 0) AS p2_reports, coalesce(p1_interpolated, 0) AS p1_interpolated,
-  coalesce(p2_interpolated, 0) AS p2_interpolated, coalesce(overlaps, 0) AS overlaps FROM spine s
+  coalesce(p2_interpolated, 0) AS p2_interpolated, coalesce(n_overlaps, 0) AS "overlaps" FROM spine s
   LEFT JOIN (SELECT {DAY} AS date, count(*) FILTER (person = 1) AS p1_reports, count(*) FILTER (person = 2) AS p2_reports,
     count(*) FILTER (person = 1 AND interpolated) AS p1_interpolated, count(*) FILTER (person = 2 AND interpolated) AS p2_interpolated FROM filled GROUP BY 1) USING (date)
-  LEFT JOIN (SELECT {DAY} AS date, count(*) AS overlaps FROM fine GROUP BY 1) USING (date)""",
+  LEFT JOIN (SELECT {DAY} AS date, count(*) AS n_overlaps FROM fine GROUP BY 1) USING (date)""",
     "pingf": f"""SELECT {DAY} AS date, person, count(*) AS points, count(DISTINCT hour(ts)) AS hours_covered, min(hour(ts)) AS first_hour, max(hour(ts)) AS last_hour,
   median(lat) AS lat, median(lon) AS lon, CASE WHEN count(*) >= 2 THEN {_fast("min(lat)", "min(lon)", "max(lat)", "max(lon)")} ELSE 0.0 END AS spread_m
   FROM filled GROUP BY 1, 2""",
