@@ -18,7 +18,10 @@ by their pieces only. Extra columns do not matter. An empty table gives an empty
 
 from __future__ import annotations
 
+import base64
+import json
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,45 +37,92 @@ from copresence.llm.common import table, written
 CAPACITY, END_ID = 2048, 0
 #: Fixed value: the one special token of the vocabulary, which the library finds inside texts.
 SPECIAL = "<|endoftext|>"
-#: A space next to other white space joins tokens over the border of words.
-BESIDE_SPACE = re.compile(r"[\s\x1c-\x1f\x85] |  | [\s\x1c-\x1f\x85]")
+#: White space other than spaces and line feeds; and a space next to white space, which joins tokens over the border of words.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+BESIDE_SPACE = re.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]")
+#: Characters that any version of Unicode puts into the same classes.
+PLAIN = re.compile("[ -~\n\xa1-\xac\xae-\u024f]*")
 
 
 class WordTable:
-    """Distinct word with its leading space -> little-endian ids, of bounded size.
+    """Distinct word -> little-endian ids, of bounded size; words after the first of a text are kept without their leading space.
 
-    The pre-tokeniser always cuts between a character and a space before another character, so such words are segmented apart."""
+    The pre-tokeniser always cuts between a character and a space before another character, so such words are segmented apart. With
+    `ranks`, the same vocabulary as a file of ranks, plain words are segmented by the library that reads those; it must agree in all
+    entries with the tokenizer, which stays the authority for everything else."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, ranks: str | None = None, limit: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.plain = self._by_ranks(path, ranks) if ranks else None
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+
+    def _by_ranks(self, path: str, ranks: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters = _byte_letters()
+        inside = {"".join(letters[b] for b in k): v for k, v in table.items()}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        in_order = all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges))
+        if inside != {k: v for k, v in model["vocab"].items() if k != SPECIAL} or not in_order:
+            raise ValueError("the ranks are not those of the tokenizer")
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def words(self, text: str) -> list[str]:
-        if SPECIAL in text or BESIDE_SPACE.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+    def _learn(self, table: dict[str, bytes], words: set[str], lead: str) -> None:
+        new = words.difference(table)
+        plain = {w for w in new if PLAIN.fullmatch(w)} if self.plain else set()
+        for w in plain:
+            ids = self.plain.encode_ordinary(lead + w)
+            table[w] = struct.pack(f"<{len(ids)}I", *ids)
+        rest = list(new - plain)
+        table.update(zip(rest, self.ids([lead + w for w in rest]), strict=True))
+
+    def words(self, text: str) -> list[str] | None:
+        """Words between single spaces, or None for a text that has to be segmented whole."""
+        if SPECIAL in text or "  " in text or " \n" in text or "\n " in text or (OTHER_SPACE.search(text) and BESIDE_SPACE.search(text)):
+            return None
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
+        if len(self.later) > self.limit or len(self.first) > self.limit:
+            self.first, self.later = {}, {}
         split = [self.words(t) for t in texts]
-        whole = {w for ws in split if len(ws) == 1 for w in ws if w not in known}
-        new = list(set().union(*(ws for ws in split if len(ws) > 1)).difference(known))
-        once = dict(zip(whole, self.ids(list(whole)), strict=True))  # whole texts do not stay in the table
-        known.update(zip(new, self.ids(new), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) if len(ws) > 1 else once[ws[0]] if ws[0] in once else known[ws[0]] for ws in split]
+        whole = iter(self.ids([t for t, ws in zip(texts, split, strict=True) if ws is None]))
+        self._learn(self.first, {ws[0] for ws in split if ws}, "")
+        self._learn(self.later, set().union(*(ws[1:] for ws in split if ws)), " ")
+        first, later = self.first.__getitem__, self.later.__getitem__
+        return [next(whole) if ws is None else first(ws[0]) + b"".join(map(later, ws[1:])) for ws in split]
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: its own where it is printable, else from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in own}
+    out |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in out)}
+    return [out[b] for b in range(256)]
 
 
 _TABLES: dict[str, WordTable] = {}
 
+
+def word_table(tokenizer: str, ranks: str | None) -> WordTable:
+    """One table a worker and tokenizer."""
+    if tokenizer not in _TABLES:
+        _TABLES[tokenizer] = WordTable(tokenizer, ranks)
+    return _TABLES[tokenizer]
+
+
 PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -84,13 +134,13 @@ def cut_points(n: int, capacity: int = CAPACITY) -> list[int]:
     return [0, *range(head, n, capacity), n]
 
 
-def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, batch: int = 500) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, batch: int = 500
+) -> DataFrame:
     """Tokenise and cut: a row a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _TABLES:
-            _TABLES[tokenizer] = WordTable(tokenizer)
-        words, end = _TABLES[tokenizer], np.array([END_ID], "<u4").tobytes()
+        words, end = word_table(tokenizer, ranks), np.array([END_ID], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 b = whole.slice(at, batch)
@@ -307,4 +357,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
     import public_tokenizers
 
-    return pack(written(pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pack(written(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))))

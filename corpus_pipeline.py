@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copresence.llm import language_id, packing, quality_rules, simhash, suffix_dedup
-from copresence.llm.common import shared_dir, table, written
+from copresence.llm.common import bounded_batches, shared_dir, table, written
 
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; lang becomes the predicted one. Text without a letter goes."""
+    bounded_batches(spark)
     named = language_id.predict(docs, language_id.fit(docs.filter(~language_id.held_out())), label="_lang", score="_score")
     kept = named.filter(F.col("_lang") != language_id.UNDETERMINED)
     return kept.withColumn("lang", F.col("_lang")).select(*docs.columns)
@@ -28,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their failing lines."""
+    bounded_batches(spark)
     judged = quality_rules.judge(docs, out="_quality").filter("_quality.kept")
     cleaned = judged.withColumn("text", F.col("_quality")["clean_text"])
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
@@ -35,17 +37,20 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first, of each group of near duplicates."""
+    bounded_batches(spark)
     return simhash.keep_first(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that also start earlier in the corpus; documents that nothing is left of go."""
+    bounded_batches(spark)
     cut = suffix_dedup.cut_repeats(docs).filter(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
+    bounded_batches(spark)
     return packing.pack(written(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))))
 
 
