@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copresence.config import Config
@@ -61,21 +63,20 @@ def labelled_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
     return _assembled(features).join(labels.select("date", "label"), "date").withColumn("y", label_to_binary(F.col("label")).cast("double"))
 
 
-def leave_one_month_out(features: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
-    """(date, y, cv_probability): each labelled day predicted without its month. Months whose rest holds one class only are left out.
-
-    The loop runs over months on the driver; each fit is a Spark job."""
-    rows = labelled_rows(features, labels).select("date", "y", "features", month_of(F.col("date")).alias("month")).cache()
-    months = [r.month for r in rows.select("month").distinct().orderBy("month").collect()]
+def leave_one_group_out(features: DataFrame, labels: DataFrame, group: Callable[[Column], Column] = month_of, seed: int = 42) -> DataFrame:
+    """(date, y, cv_probability): each labelled day predicted without its group of days, months as a rule. Groups whose rest holds one
+    class only are left out. The loop runs over groups on the driver; each fit is a Spark job."""
+    rows = labelled_rows(features, labels).select("date", "y", "features", group(F.col("date")).alias("part")).cache()
+    parts = [r.part for r in rows.select("part").distinct().orderBy("part").collect()]
     out = None
-    for month in months:
-        train = rows.filter(F.col("month") != month)
+    for part in parts:
+        train = rows.filter(F.col("part") != part)
         if train.select("y").distinct().count() < 2:
             continue
         model = _classifier(seed).fit(train)
-        test = rows.filter(F.col("month") == month)
-        part = test.select("date", "y").join(_scored(model, test, "cv_probability"), "date")
-        out = part if out is None else out.unionByName(part)
+        test = rows.filter(F.col("part") == part)
+        scored = test.select("date", "y").join(_scored(model, test, "cv_probability"), "date")
+        out = scored if out is None else out.unionByName(scored)
     return out if out is not None else rows.select("date", "y", F.lit(None).cast("double").alias("cv_probability")).limit(0)
 
 

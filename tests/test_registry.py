@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from copresence.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"gbt_predictions", "gbt_importances", "classifier_comparison", "loo_month_cv", "file_fingerprint"}
+ROWS_ONLY = {"gbt_predictions", "gbt_importances", "classifier_comparison", "loo_half_month_cv", "file_fingerprint"}
 
 
 def test_every_query_has_an_oracle_or_is_known_to_have_none():
