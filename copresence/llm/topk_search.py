@@ -78,7 +78,7 @@ class Best:
     """The k best (score, smaller id) of each query of a block."""
 
     def __init__(self, ids: np.ndarray, k: int, least: np.ndarray):
-        self.ids, self.k, self.least = ids, k, least.astype(float)
+        self.ids, self.k, self.floor, self.least = ids, k, least.astype(float), least.astype(float)
         self.score = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
@@ -95,7 +95,8 @@ class Best:
         self.least[at] = np.maximum(self.least[at], self.score[at, -1])
 
     def frame(self) -> pd.DataFrame:
-        row, column = np.nonzero(np.isfinite(self.score))
+        """What can be among the k best of all shards: nothing below the score that was shared."""
+        row, column = np.nonzero(np.isfinite(self.score) & (self.score >= self.floor[:, None]))
         return pd.DataFrame({"query_id": self.ids[row], "vec_id": self.found[row, column], "score": self.score[row, column].astype(np.int64)})
 
 
