@@ -154,7 +154,8 @@ def fit(docs: DataFrame, settings: Fit = Fit()) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score", batch: int = 256) -> DataFrame:
-    """docs with two more columns: the predicted language and a score from 0 to 1."""
+    """docs with two more columns, in place of any of the same names: the predicted language and a score from 0 to 1."""
+    docs = docs.drop(label, score)
     if not model.languages:
         return docs.withColumns({label: F.lit(UNDETERMINED), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -39,7 +39,8 @@ def known_licenses(spark: SparkSession, texts: dict[str, str] = LICENSES) -> Dat
 
 
 def scan(docs: DataFrame, text: str = "text", texts: dict[str, str] = LICENSES) -> DataFrame:
-    """docs with the digest of the normalised text and the license that it is, else null."""
+    """docs with license_digest, of the normalised text, and the license that it is, else null, in place of any columns of those names."""
+    docs = docs.drop("license_digest", "license")
     digested = docs.withColumn("license_digest", F.sha2(normalized(F.col(text)), 256))
     known = known_licenses(docs.sparkSession, texts).withColumnsRenamed({"digest": "license_digest"})
     return digested.join(F.broadcast(known), "license_digest", "left").select(*digested.columns, "license")

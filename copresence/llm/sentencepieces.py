@@ -82,7 +82,8 @@ def word_table(model_file: str) -> WordTable:
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", batch: int = 500) -> DataFrame:
-    """docs with n_tokens, ids (decimal, joined by spaces, the end id last) and decoded."""
+    """docs with n_tokens, ids (decimal, joined by spaces, the end id last) and decoded, in place of any columns of those names."""
+    docs = docs.drop("n_tokens", "ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(model_file)
@@ -100,6 +101,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", batch: int = 50
 def digests(docs: DataFrame, model_file: str, text: str = "text", batch: int = 500) -> DataFrame:
     """The columns of docs but the text, with n_tokens and SHA-256 digests of ids and decoded text: what encode() gives, without
     moving it out of the worker."""
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(model_file)

@@ -13,8 +13,6 @@ find each other; other repeats count one by one. Equal scores go to the smaller
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession

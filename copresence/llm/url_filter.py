@@ -144,7 +144,8 @@ def bayes(words: DataFrame, size: int, seeds=SEEDS) -> tuple[float, dict[str, fl
 
 
 def judge(pages: DataFrame, url: str = "url", vocabulary: int = 50_000, rules=RULES) -> DataFrame:
-    """pages with host, path, rule, words, score (log odds of block) and verdict."""
+    """pages with host, path, rule, words, block_score (log odds of block) and verdict, in place of any columns of those names."""
+    pages = pages.drop("host", "path", "raw", "rule", "words", "block_score", "verdict")
     host, path = host_of(F.col(url)), path_of(F.col(url))
     tokens = pages.select("*", host.alias("host"), path.alias("path")).withColumn("raw", raw_tokens(F.col("host"), F.col("path")))
     words = written(segmented(tokens, unigrams(tokens, vocabulary)))
