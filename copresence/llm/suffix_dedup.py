@@ -105,7 +105,44 @@ def _batch(columns, types, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _chunk_blocks(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+class Firsts:
+    """Earliest places so far of keys that a task has met more than once, of bounded number: what comes later is covered and needs no
+    shuffle, so that a passage of very many documents sends a row or two a task."""
+
+    def __init__(self, limit: int = 100_000):
+        self.limit, self.key = limit, np.zeros(0, np.uint64)
+        self.place = np.zeros((3, 0), np.int64)  # did, th, start
+
+    def later(self, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which rows come after a place known for their key; those before it become the known place."""
+        if not len(self.key) or not len(key):
+            return np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = self.key[at] == key
+        known = self.place[:, at]
+        after = _before(known, place) & hit
+        earlier = np.flatnonzero(hit & _before(place, known))
+        for i in earlier.tolist():  # few: a task's documents come in no order
+            if _before(place[:, i], self.place[:, at[i]]):
+                self.place[:, at[i]] = place[:, i]
+        return after
+
+    def learn(self, key: np.ndarray, place: np.ndarray) -> None:
+        """Keys that were met more than once, with their earliest place."""
+        new = ~np.isin(key, self.key)
+        new[np.flatnonzero(new)[max(0, self.limit - len(self.key)) :]] = False
+        if new.any():
+            key, place = np.concatenate([self.key, key[new]]), np.concatenate([self.place, place[:, new]], 1)
+            order = np.argsort(key)
+            self.key, self.place = key[order], place[:, order]
+
+
+def _before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lexicographic order of (did, th, start)."""
+    return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
+
+
+def _chunk_blocks(pieces: list[tuple[int, int, int, bytes]], firsts: Firsts) -> Iterator[pa.RecordBatch]:
     """pieces (did, th, first byte in the document, bytes) in order -> the first of equal blocks, and covered intervals."""
     pieces = [p for p in pieces if len(p[3]) >= LENGTH]
     if not pieces:
@@ -119,8 +156,10 @@ def _chunk_blocks(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[pa.Reco
     mask = np.uint64((1 << int(PLACE_BITS)) - 1)
     low = _sliding_min((gram & ~mask) | (mask - every.astype(np.uint64)), SPAN)
     piece = np.repeat(np.arange(len(pieces)), size - LENGTH + 1)
+    del every
     window = np.arange(len(piece)) + np.repeat(at - (np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)), size - LENGTH + 1)
     anchor_at = (mask - (low[window] & mask)).astype(np.int64)
+    del low
     first = np.flatnonzero(np.append(True, anchor_at[1:] != anchor_at[:-1]))
     lo, hi, a, piece = window[first], window[np.append(first[1:], len(window)) - 1], anchor_at[first], piece[first]
     block, anchor = _HASHER.of(sums, lo, hi + LENGTH), gram[a]
@@ -130,12 +169,17 @@ def _chunk_blocks(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[pa.Reco
     hr = np.where(a - hi < SIDE, (_HASHER.of(sums, a + GRAM, right) & side).astype(np.int64), -1)
     did, th, base = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
     start = lo - at[piece] + base[piece]
-    order = np.argsort(anchor * _M2 + block, kind="stable")
+    key = anchor * _M2 + block
+    order = np.argsort(key, kind="stable")
     same = np.zeros(len(order), bool)
     same[1:] = (anchor[order[1:]] == anchor[order[:-1]]) & (block[order[1:]] == block[order[:-1]])
     head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     itself = (did[piece[order]] == did[piece[head]]) & (th[piece[order]] == th[piece[head]]) & (start[order] == start[head])
-    opened, covered = order[~same], order[same & ~itself]
+    opened, covered, again = order[~same], order[same & ~itself], np.unique(head[same & ~itself])
+    place = np.stack([did[piece[opened]], th[piece[opened]], start[opened]])
+    late = firsts.later(key[opened], place)
+    firsts.learn(key[again], np.stack([did[piece[again]], th[piece[again]], start[again]]))
+    opened, covered = opened[~late], np.sort(np.concatenate([covered, opened[late]]))
     p = piece[opened]
     yield _batch(
         (np.full(len(opened), OPEN), anchor[opened].view(np.int64), block[opened].view(np.int64), did[p], th[p], start[opened], (a - lo)[opened], (hi - lo)[opened], hl[opened], hr[opened]),
@@ -149,8 +193,10 @@ def _chunk_blocks(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[pa.Reco
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(did, th, text) -> rows of BLOCK_SCHEMA."""
 
+    firsts = Firsts()
+
     def flush(rows):
-        yield from _chunk_blocks(sorted(rows, key=lambda p: p[:3]))
+        yield from _chunk_blocks(sorted(rows, key=lambda p: p[:3]), firsts)
 
     rows, held = [], 0
     for b in batches:
@@ -229,9 +275,11 @@ PART_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, th, text, asked: array<struct(kind, key, start, span)>) -> the bytes asked for. Windows go without bytes, by their hash."""
+    """(did, th, text, asked: array<struct(kind, key, start, span)>) -> the bytes asked for. Windows go without bytes, by their hash;
+    those that this task has met earlier are covered and go as empty bytes."""
+    firsts = Firsts()
     for b in batches:
-        out = [[] for _ in PART_COLUMNS]
+        out, windows = [[] for _ in PART_COLUMNS], []
         for i, asked in enumerate(b.column(3).to_pylist()):
             if not asked:
                 continue
@@ -241,13 +289,24 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if r["kind"] > WINDOWS:
                     s = _HASHER.sums(np.frombuffer(piece, np.uint8))
                     at = np.arange(r["span"] + 1)
-                    keys = _HASHER.of(s, at, at + LENGTH).view(np.int64).tolist()
-                    rows = [(k, did, th, r["start"] + j, None) for j, k in enumerate(keys)]
+                    places = np.stack([np.full(len(at), did), np.full(len(at), th), at + r["start"]])
+                    windows.append((_HASHER.of(s, at, at + LENGTH), places))
                 else:
-                    rows = [(r["key"], did, th, r["start"], piece)]
-                for c, v in zip(out, zip(*rows, strict=True), strict=True):
-                    c.extend(v)
+                    for c, v in zip(out, (r["key"], did, th, r["start"], piece), strict=True):
+                        c.append(v)
         yield _batch(out, PART_TYPES, PART_COLUMNS)
+        if windows:
+            key, place = np.concatenate([w[0] for w in windows]), np.concatenate([w[1] for w in windows], 1)
+            order = np.lexsort((place[2], place[1], place[0], key))
+            key, place = key[order], place[:, order]
+            again = np.append(False, key[1:] == key[:-1])
+            head = np.flatnonzero(~again)
+            late = again.copy()
+            late[head] = firsts.later(key[head], place[:, head])
+            twice = head[np.append(again[1:], False)[head]]
+            firsts.learn(key[twice], place[:, twice])
+            bodies = pa.array([b"" if x else None for x in late.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(x) for x in place[:2]), pa.array(place[2].astype(np.int32)), bodies], PART_COLUMNS)
 
 
 class SuffixArray:
@@ -320,9 +379,11 @@ COVER_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 def _covers(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Whole groups sorted by (key, did, th, start) -> covered intervals."""
-    bare = np.array([b is None for b in x["body"]], bool)
+    bare = np.array([not b for b in x["body"]], bool)
     w = {k: v[bare] for k, v in x.items()}
-    later = np.append(False, w["key"][1:] == w["key"][:-1]) if bare.any() else np.zeros(0, bool)
+    later = np.array([b is not None for b in w["body"]], bool)
+    whole = np.flatnonzero(~later)
+    later[whole[1:]] = w["key"][whole[1:]] == w["key"][whole[:-1]]
     yield _batch((w["did"][later], w["th"][later], w["start"][later], np.full(int(later.sum()), LENGTH)), COVER_TYPES, COVER_COLUMNS)
     x = {k: v[~bare] for k, v in x.items()}
     if not len(x["key"]):
@@ -369,7 +430,7 @@ def spans(covers: list[int] | None, size: int, whole: bool) -> list[tuple[int, i
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `covers`, covered intervals packed as start << 32 | length (null if there are none), and `nth`: 1 but for rows that
+    """docs with `_covers`, covered intervals packed as start << 32 | length (null if there are none), and `_nth`: 1 but for rows that
     repeat a row in id and text, which are covered whole."""
     spark = docs.sparkSession
     ids = docs.groupBy(F.col(doc_id).cast("long").alias("i")).agg(F.count("*").alias("n")).filter("n > 1 OR i IS NULL")
@@ -380,24 +441,26 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     blocks = keyed.select("_did", "_th", body).mapInArrow(_blocks, BLOCK_SCHEMA)
     met = blocks.repartition("anchor").sortWithinPartitions("anchor", "block", "did", "th", "start")
     asks = written(met.mapInArrow(_asked, ASK_SCHEMA))
-    wanted = asks.filter(f"kind <> {COVER}").groupBy("did", "th").agg(F.collect_list(F.struct("kind", "key", "start", "span")).alias("asked"))
-    on = lambda side: (F.col("_did") == side["did"]) & (F.col("_th") == side["th"])
+    wanted = asks.filter(f"kind <> {COVER}").groupBy("did", "th").agg(F.collect_list(F.struct("kind", "key", "start", "span")).alias("_asked"))
+    wanted = wanted.withColumnsRenamed({"did": "_of", "th": "_of_th"})
+    mine = (F.col("_did") == F.col("_of")) & (F.col("_th") == F.col("_of_th"))
     # every column goes along, so that this exchange of texts and the last one are the same and Spark runs it once
     others = [c for c in docs.columns if c != text]
-    parts = keyed.join(wanted, on(wanted), "left").select("_did", "_th", text, "asked", *others).mapInArrow(_parts, PART_SCHEMA)
+    parts = keyed.join(wanted, mine, "left").select("_did", "_th", text, "_asked", *others).mapInArrow(_parts, PART_SCHEMA)
     dealt = parts.repartition("key").sortWithinPartitions("key", "did", "th", "start")
     more = dealt.mapInArrow(_covered, COVER_SCHEMA)
     covers = (
         asks.filter(f"kind = {COVER}").select(*COVER_COLUMNS).unionAll(more)
-        .groupBy("did", "th").agg(F.collect_list(F.expr("shiftleft(CAST(start AS BIGINT), 32) | span")).alias("covers"))
+        .groupBy("did", "th").agg(F.collect_list(F.expr("shiftleft(CAST(start AS BIGINT), 32) | span")).alias("_covers"))
+        .withColumnsRenamed({"did": "_of", "th": "_of_th"})
     )
-    out = keyed.join(covers, on(covers), "left").drop("did", "th")
+    out = keyed.join(covers, mine, "left").drop("_of", "_of_th")
     nth = F.lit(1) if unique else F.row_number().over(Window.partitionBy("_did", "_th").orderBy(F.lit(0)))
-    return out.withColumn("nth", nth).drop("_did", "_th")
+    return out.withColumn("_nth", nth).drop("_did", "_th")
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """The contract's columns from (doc_id, text, covers, nth)."""
+    """The contract's columns from (doc_id, text, _covers, _nth)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -416,7 +479,7 @@ def digests(found: DataFrame) -> DataFrame:
                 digest.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n, removed, count)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select("doc_id", F.col("text"), "covers", "nth").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "_covers", "_nth").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,7 +494,7 @@ def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, out = b.schema.names, []
-            for value, covers, nth in zip(b.column(names.index(text)), b.column(names.index("covers")).to_pylist(), b.column(names.index("nth")).to_pylist(), strict=True):
+            for value, covers, nth in zip(b.column(names.index(text)), b.column(names.index("_covers")).to_pylist(), b.column(names.index("_nth")).to_pylist(), strict=True):
                 body = value.as_buffer()
                 if body is None:
                     out.append(None)
@@ -441,7 +504,7 @@ def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                     left.append(body[at:s].decode("utf-8", "ignore"))
                     at = e
                 out.append("".join([*left, body[at:].decode("utf-8", "ignore")]))
-            columns = [pa.array(out, pa.string()) if n == text else b.column(i) for i, n in enumerate(names) if n not in ("covers", "nth")]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n not in ("covers", "nth")])
+            columns = [pa.array(out, pa.string()) if n == text else b.column(i) for i, n in enumerate(names) if n not in ("_covers", "_nth")]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n not in ("_covers", "_nth")])
 
     return found.mapInArrow(run, docs.schema)

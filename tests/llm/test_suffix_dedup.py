@@ -115,5 +115,8 @@ def test_windows_of_heavy_sides_give_the_same(monkeypatch):
 
     want = {i: removed for i, _, removed, _, _ in _plain(rows)}
     assert flow() == want
-    monkeypatch.setattr(S, "HEAVY_SIDE", 1)
-    assert flow() == want
+    for chunk in (S.CHUNK, 3000):
+        for heavy in (1, 4096):
+            monkeypatch.setattr(S, "HEAVY_SIDE", heavy)
+            monkeypatch.setattr(S, "CHUNK", chunk)
+            assert flow() == want
