@@ -120,8 +120,16 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.85, seed: int
     return keep_top(written(keyed), "key", share)
 
 
-def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight, noisy key and verdict of every document; the target is the documents that are labelled as good."""
+def bounded_sample(ids: DataFrame, most: int, seed: int = 5) -> DataFrame:
+    """About `most` of ids(doc_id) at most, by a hash of the id; all of them if there are no more."""
+    n = ids.count()
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return ids.filter(chance < F.lit(most / max(n, 1)))
+
+
+def op7_quality_resampling(spark: SparkSession, sf_dir: str, target_rows: int = 20_000) -> DataFrame:
+    """Weight, noisy key and verdict of every document. The target model is fitted on documents labelled as good, about `target_rows`
+    at most: their ids are few enough to broadcast, so no text is shuffled. The raw model counts every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    good = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1").select("doc_id").distinct()
-    return resample(docs, docs.join(good, "doc_id", "left_semi"))
+    good = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return resample(docs, docs.join(F.broadcast(bounded_sample(good, target_rows)), "doc_id", "left_semi"))

@@ -84,3 +84,9 @@ def test_top_share_is_exact(spark, keys, share):
     kept = sorted(r.doc_id for r in resampling.keep_top(df, "key", share).collect() if r.kept)
     want = sorted(sorted(range(len(keys)), key=lambda i: (-keys[i], i))[: math.ceil(share * len(keys))])
     assert kept == want
+
+
+def test_sample_is_bounded_and_whole_if_it_fits(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    assert resampling.bounded_sample(ids, 5000).count() == 5000 and resampling.bounded_sample(ids.limit(0), 10).count() == 0
+    assert 350 < resampling.bounded_sample(ids, 500).count() < 650
