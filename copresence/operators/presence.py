@@ -70,11 +70,11 @@ def marked_raw(pings: DataFrame) -> DataFrame:
 
 def with_overnight(pings: DataFrame, homes: DataFrame, config: Config) -> DataFrame:
     """pings and overnight stays; of rows of a person with equal time and place the real one stays."""
-    both = marked_raw(pings).unionByName(overnight_fill(pings, homes, config))
+    both = marked_raw(pings).unionByName(overnight_fill(pings, homes, config), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in ("person", "us", "lat", "lon", "ping_id")]
     first = both.groupBy("person", "us", "lat", "lon").agg(F.min(F.struct("ping_id", *rest)).alias("b"))
     return first.select("person", "us", "lat", "lon", "b.*").select(*both.columns)
 
 
 def with_interpolation(pings: DataFrame, config: Config) -> DataFrame:
-    return pings.unionByName(interpolated(pings, config))
+    return pings.unionByName(interpolated(pings, config), allowMissingColumns=True)
