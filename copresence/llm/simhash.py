@@ -12,7 +12,7 @@ repeated ids count once and are returned each. Extra columns do not matter: only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,9 +165,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; of rows with the same id one stays. Rows with a null id stay."""
-    found = near_duplicates(docs)
+def keep_first(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs without those whose component, as `near` finds them, has a smaller doc_id; of rows with the same id one stays. Rows with a
+    null id stay."""
+    found = near(docs)
     firsts = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi")
     return named.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

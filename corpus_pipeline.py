@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copresence.llm import language_id, packing, quality_rules, simhash, suffix_dedup
+from copresence.llm import language_id, near_sets, packing, quality_rules, simhash, suffix_dedup
 from copresence.llm.common import bounded_batches, shared_dir, table, written
 
 ORACLE_SQL = None
@@ -36,9 +36,9 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near duplicates."""
+    """One document, the first, of each group that 5-word shingles with a Jaccard similarity of 0.8 or more connect."""
     bounded_batches(spark)
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs, near_sets.near_duplicates)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
