@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from copresence.llm.common import table, written
 
@@ -72,8 +71,8 @@ class Segmenter:
     """Unigram Viterbi: the most probable split of a name into words; a letter outside words costs more than any word, and letters
     outside words next to each other make one token."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items() if len(w) <= LONGEST_WORD}
         self.unknown = math.log(total) + 5
         self.seen: dict[str, list[str]] = {}
@@ -107,59 +106,70 @@ class Segmenter:
         return out
 
 
-def unigrams(tokens: DataFrame, size: int, seeds=SEEDS) -> dict[str, int]:
-    """The `size` most frequent words of all urls (the model's documented size), and the seed words. Words are what hyphens part in
+def unigrams(tokens: DataFrame, seeds=SEEDS) -> tuple[DataFrame, int]:
+    """(part, n): all words of all urls, and the seed words, with their counts; and the sum of the counts. Words are what hyphens part in
     hosts and what paths hold; names written in one are what is to be split, so they do not count."""
-    counted = tokens.select(F.explode(parted_words(F.col("host"), F.col("path"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    kept = counted.filter(F.char_length("token") > 1).orderBy(F.desc("n"), "token").limit(size).collect()
-    most = max([10, *(r.n for r in kept)])
-    return {r.token: r.n for r in kept} | {s: most for s in seeds}
-
-
-def segmented(tokens: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """tokens with an array column `words`."""
-    shared = tokens.sparkSession.sparkContext.broadcast(counts)
+    words = tokens.select(F.explode(parted_words(F.col("host"), F.col("path"))).alias("part")).filter(F.char_length("part") > 1)
+    counted = written(words.groupBy("part").agg(F.count("*").alias("n")))
+    most = max(10, counted.agg(F.max("n")).first()[0] or 0)
+    seeded = tokens.sparkSession.createDataFrame([(s, most) for s in seeds], "part string, n long")
+    counts = counted.filter(~F.col("part").isin(*seeds)).unionAll(seeded)
+    return counts, counts.agg(F.sum("n")).first()[0]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token -> (token, part): each of its strings that a dictionary may hold."""
+    for b in batches:
+        for token in b.column(0).to_pylist():
+            parts = list({token[i:j] for i in range(len(token)) for j in range(i + 2, min(len(token), i + LONGEST_WORD) + 1)})
+            for at in range(0, len(parts), 10_000):
+                some = parts[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([token] * len(some), pa.string()), pa.array(some, pa.string())], ["token", "part"])
+
+
+def segmented(tokens: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """tokens(row, raw) -> (row, words). Each distinct name is split with the dictionary words that are in it."""
+    places = tokens.select("row", F.posexplode("raw").alias("at", "token"))
+    names = written(places.select("token").distinct())
+    inside = names.mapInArrow(_parts, "token string, part string").join(counts, "part").groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(shared.value)
         for b in batches:
-            words = [[w for t in ts for w in segmenter.split(t)] for ts in b.column(b.schema.names.index("raw")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.list_(pa.string()))], [*b.schema.names, "words"])
+            split = [Segmenter(dict(known or ()), total).split(t) for t, known in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(split, pa.list_(pa.string()))], ["token", "split"])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("words", T.ArrayType(T.StringType()))]))
+    splits = written(names.join(inside, "token", "left").select("token", "known").mapInArrow(run, "token string, split array<string>"))
+    found = places.join(splits, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "split"))).alias("found"))
+    return found.select("row", F.flatten("found.split").alias("words"))
 
 
-def bayes(words: DataFrame, size: int, seeds=SEEDS) -> tuple[float, dict[str, float]]:
-    """Log prior odds and log likelihood ratios of block over allow, with add-one smoothing over the `size` most frequent words.
-    A url whose words hold a seed is labelled block; all urls count."""
+def bayes(words: DataFrame, seeds=SEEDS) -> tuple[float, DataFrame]:
+    """Log prior odds, and (w, ratio): log likelihood ratios of block over allow of every word, with add-one smoothing. A url whose words
+    hold a seed is labelled block; all urls count."""
     labelled = words.select("words", F.arrays_overlap("words", F.lit(list(seeds))).alias("bad"))
     n = labelled.agg(F.count_if("bad").alias("b"), F.count("*").alias("n")).first()
-    counted = (
-        labelled.select(F.explode("words").alias("w"), "bad").groupBy("w").agg(F.count_if("bad").alias("b"), F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "w").limit(size).collect()
-    )
-    bad, good = sum(r.b for r in counted), sum(r.n - r.b for r in counted)
-    ratio = {r.w: math.log((r.b + 1) / (bad + len(counted))) - math.log((r.n - r.b + 1) / (good + len(counted))) for r in counted}
-    return math.log(((n.b or 0) + 1) / ((n.n or 0) - (n.b or 0) + 1)), ratio
+    counted = written(labelled.select(F.explode("words").alias("w"), "bad").groupBy("w").agg(F.count_if("bad").alias("b"), F.count("*").alias("n")))
+    sums = counted.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
+    bad, good = sums.b + sums.words, sums.n - sums.b + sums.words
+    ratio = F.log((F.col("b") + 1) / F.lit(float(bad))) - F.log((F.col("n") - F.col("b") + 1) / F.lit(float(good)))
+    return math.log(((n.b or 0) + 1) / ((n.n or 0) - (n.b or 0) + 1)), counted.select("w", ratio.alias("ratio"))
 
 
-def judge(pages: DataFrame, url: str = "url", vocabulary: int = 50_000, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule, words, block_score (log odds of block) and verdict, in place of any columns of those names."""
-    pages = pages.drop("host", "path", "raw", "rule", "words", "block_score", "verdict")
+    pages = pages.drop("host", "path", "raw", "row", "rule", "words", "block_score", "verdict")
     host, path = host_of(F.col(url)), path_of(F.col(url))
     tokens = pages.select("*", host.alias("host"), path.alias("path")).withColumn("raw", raw_tokens(F.col("host"), F.col("path")))
-    words = written(segmented(tokens, unigrams(tokens, vocabulary)))
-    prior, ratio = bayes(words, vocabulary)
-    shared = pages.sparkSession.sparkContext.broadcast(ratio)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [prior + sum(shared.value.get(w, 0.0) for w in ws) for ws in b.column(b.schema.names.index("words")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "block_score"])
-
-    scored = words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("block_score", T.DoubleType())]))
+    tokens = written(tokens.withColumn("row", F.monotonically_increasing_id()))
+    found = segmented(tokens, *unigrams(tokens))
+    words = written(tokens.drop("raw").join(found, "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
+    prior, ratio = bayes(words)
+    # sorted, so that the sum does not depend on the order in which rows arrive
+    ratios = words.select("row", F.explode("words").alias("w")).join(ratio, "w").groupBy("row").agg(F.array_sort(F.collect_list("ratio")).alias("ratios"))
+    score = F.aggregate(F.coalesce("ratios", F.array().cast("array<double>")), F.lit(float(prior)), lambda s, x: s + x)
+    scored = words.join(ratios, "row", "left").withColumn("block_score", score)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return scored.drop("raw").withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("block_score") > 0, "block").otherwise("allow"))})
+    return scored.drop("row", "ratios").withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("block_score") > 0, "block").otherwise("allow"))})
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
