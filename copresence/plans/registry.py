@@ -296,7 +296,7 @@ def day_features(a):
 
 @query
 def night_labels(a):
-    return ml.night_labels(a.pings, a.overlaps.limit(0), _labels(a), a.config, "2024-01-01", "2024-01-31")
+    return ml.night_labels(a.pings, a.overlaps, _labels(a), a.config, "2024-01-01", "2024-01-31")
 
 
 @query
