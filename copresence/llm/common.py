@@ -13,25 +13,29 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
-#: Rows that go to a Python worker at a time: whole texts are long, and a worker's memory follows the batch.
-BATCH_ROWS = "1000"
+#: Rows and bytes that go to a Python worker at a time: whole texts are long, and a worker's memory follows the batch.
+BATCH_ROWS, BATCH_BYTES = "1000", "16m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches of Python workers, a setting of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table in a folder that Spark's readers can open."""
+    """Columns of a table in a folder that Spark's readers can open. The operators' queries start here, so the batches are bounded here."""
     bounded_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local one serves, but in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -62,5 +66,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed_row(docs: DataFrame, *without: str) -> Column:
+    """A struct of all columns but some: names inside it meet no others."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns if c not in without))
+
+
+def unpacked_row(row: Column, columns: list[str], **new: Column) -> list[Column]:
+    """The columns of a packed row, in order, with new values for some."""
+    return [(new[c] if c in new else row.getField(c)).alias(c) for c in columns]

@@ -1,21 +1,26 @@
 """Removal of repeated passages: every byte covered by a 100-byte string that also starts earlier in the corpus.
 
-Each window of 100 bytes has an anchor: the 32-byte string in it of least hash (the last of equals). Windows that are equal have equal
-anchors, so equal windows meet by anchor hash. The consecutive windows of one anchor form a block of 169 bytes at most.
-
-1. Each task hashes blocks with array operations, keeps the first of equal blocks it sees and notes the others as covered.
-2. Blocks meet by anchor. Of equal blocks only the first stays open. Different blocks of an anchor can share a window only if they
-   agree on the 34 bytes left of the anchor (windows that reach so far left) or right of it (the others); parts that agree with
-   another block's there need a look at their bytes.
-3. Those bytes, dealt by anchor and side, go into an enhanced suffix array (suffix array and longest common prefixes). Its common-prefix
-   interval tree is scanned with a stack; intervals of length 100 or more whose suffixes have different left extensions are the maximal
-   repeats, each with all its occurrences. All occurrences but the first are covered.
-   Where very many different blocks agree, each window is dealt by the hash of its own 100 bytes: the same suffixes, by prefix.
+Hashes only decide which bytes meet; what is removed is decided on bytes, by the common-prefix interval tree of an enhanced suffix
+array (suffix array and longest common prefixes). The tree is scanned with a stack; intervals of length 100 or more whose suffixes have
+different left extensions are the maximal repeats, each with all its occurrences. All occurrences but the first are covered.
+
+Each window of 100 bytes has an anchor: the 32-byte string in it of least hash (the last of equals), so equal windows have equal anchors
+at equal places. Consecutive windows of one anchor that reach 34 bytes left of it, and those that do not, form parts of at most 35
+windows. A part's key is the hash of the 66 bytes of anchor and side that all its windows hold: equal windows lie in parts of equal keys.
+
+1. Each task hashes the parts of about 2 MB of text at a time. The bytes of parts that are equal there, or equal to parts that the task has
+   met before, go through a suffix array at once; parts that it shows to be covered need no shuffle, so a passage of a third of all
+   documents sends about a row a task. Keys that a bounded sample of documents shows to be very common are dealt by window instead: their
+   rows have the hash of their own 100 bytes as key.
+2. Parts meet by key, in a stream. Of parts that seem equal the first is the source; each other one claims to repeat it. Different
+   parts of a key ask to be compared with one another, or window by window if there are more of them than PART_LIMIT.
+3. Claims and sources that follow each other are joined into runs, and their bytes are dealt by the place of the source; parts by their
+   key. Suffix arrays of about a MB, always with the source, find what is covered.
 4. Covered intervals are merged per document and cut out.
 
-Order: smaller id first, null ids last; rows with the same id are ordered by text. Defined results: null is the empty text; texts
-under 100 bytes lose nothing; repeated rows each get a row, and all but the first lose all that the first has. Extra columns are left
-alone. Blocks are equal if two 64-bit hashes, of the anchor and of the block, are.
+Order: smaller id first, null ids last; rows with the same id are ordered by a hash of their text. Defined results: null is the empty
+text; texts under 100 bytes lose nothing; of rows that repeat a row in id and text all but one lose what the first has. Extra columns of
+any names are left alone. An empty table gives an empty result. A hash that two different strings share can cause no removal.
 """
 
 from __future__ import annotations
@@ -25,20 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from copresence.llm.common import table, written
+from copresence.llm.common import packed_row, table, unpacked_row, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # anchors to choose from in a window
 SIDE = (LENGTH - GRAM) // 2
-#: Parts of more different blocks than this, in agreement on one side, are dealt by window.
-HEAVY_SIDE = 4096
-#: Bytes of text that a task hashes at a time; longer documents are hashed in overlapping pieces.
-CHUNK, PLACE_BITS = 2 << 20, np.uint64(22)
-COVER, LEFT, RIGHT = 0, 1, 2  # what a row asks for; WINDOWS is added to LEFT or RIGHT
-WINDOWS = 2
+#: A task compares up to this many different parts of a key with one another; more are dealt by window.
+PART_LIMIT = 4096
+#: Documents in the sample that looks for very common keys, and the number of parts of a key there from which it is dealt by window.
+SAMPLE_ROWS, COMMON = 10_000, 32
+#: Bytes of text that a task hashes at a time; longer documents are hashed in overlapping pieces. Bytes of a suffix array.
+CHUNK, SLICE, PLACE_BITS = 2 << 20, 1 << 20, np.uint64(22)
+#: Runs are cut where a part's key says so, or after this many parts; and sources by this many windows.
+CUT_MASK, MOST_PARTS, CELL = np.uint64(31), 64, 1024
+OPEN, COVER, CLAIM, SOURCE, PART, SPLIT = range(6)
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0xD6E8FEB86659FD93
@@ -95,252 +104,105 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[new], start[new], reach[last] - doc[new] * (1 << 33)
 
 
-BLOCK_COLUMNS = ["kind", "anchor", "block", "did", "th", "start", "place", "span", "hl", "hr"]
-BLOCK_SCHEMA = "kind byte, anchor long, block long, did long, th long, start int, place byte, span int, hl int, hr int"
-BLOCK_TYPES = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int32(), pa.int32()]
-OPEN = -1  # the kind of a row that stands for a block
-
-
 def _batch(columns, types, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-class Firsts:
-    """Earliest places so far of keys that a task has met more than once, of bounded number: what comes later is covered and needs no
-    shuffle, so that a passage of very many documents sends a row or two a task."""
-
-    def __init__(self, limit: int = 100_000):
-        self.limit, self.key = limit, np.zeros(0, np.uint64)
-        self.place = np.zeros((3, 0), np.int64)  # did, th, start
-
-    def later(self, key: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Which rows come after a place known for their key; those before it become the known place."""
-        if not len(self.key) or not len(key):
-            return np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        hit = self.key[at] == key
-        known = self.place[:, at]
-        after = _before(known, place) & hit
-        earlier = np.flatnonzero(hit & _before(place, known))
-        for i in earlier.tolist():  # few: a task's documents come in no order
-            if _before(place[:, i], self.place[:, at[i]]):
-                self.place[:, at[i]] = place[:, i]
-        return after
-
-    def learn(self, key: np.ndarray, place: np.ndarray) -> None:
-        """Keys that were met more than once, with their earliest place."""
-        new = ~np.isin(key, self.key)
-        new[np.flatnonzero(new)[max(0, self.limit - len(self.key)) :]] = False
-        if new.any():
-            key, place = np.concatenate([self.key, key[new]]), np.concatenate([self.place, place[:, new]], 1)
-            order = np.argsort(key)
-            self.key, self.place = key[order], place[:, order]
-
-
-def _before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lexicographic order of (did, th, start)."""
-    return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
-
-
-def _chunk_blocks(pieces: list[tuple[int, int, int, bytes]], firsts: Firsts) -> Iterator[pa.RecordBatch]:
-    """pieces (did, th, first byte in the document, bytes) in order -> the first of equal blocks, and covered intervals."""
-    pieces = [p for p in pieces if len(p[3]) >= LENGTH]
-    if not pieces:
-        return
-    data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
-    size = np.array([len(p[3]) for p in pieces])
-    at = np.cumsum(size) - size
-    sums = _HASHER.sums(data)
-    every = np.arange(len(data) - GRAM + 1)
-    gram = _mixed((sums[GRAM:] - sums[:-GRAM]) * _HASHER.up[: len(every)])
-    mask = np.uint64((1 << int(PLACE_BITS)) - 1)
-    low = _sliding_min((gram & ~mask) | (mask - every.astype(np.uint64)), SPAN)
-    piece = np.repeat(np.arange(len(pieces)), size - LENGTH + 1)
-    del every
-    window = np.arange(len(piece)) + np.repeat(at - (np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)), size - LENGTH + 1)
-    anchor_at = (mask - (low[window] & mask)).astype(np.int64)
-    del low
-    first = np.flatnonzero(np.append(True, anchor_at[1:] != anchor_at[:-1]))
-    lo, hi, a, piece = window[first], window[np.append(first[1:], len(window)) - 1], anchor_at[first], piece[first]
-    block, anchor = _HASHER.of(sums, lo, hi + LENGTH), gram[a]
-    side = np.uint64(0xFFFF)
-    hl = np.where(a - lo >= SIDE, (_HASHER.of(sums, np.maximum(a - SIDE, 0), a) & side).astype(np.int64), -1)
-    right = np.minimum(a + GRAM + SIDE, len(data))
-    hr = np.where(a - hi < SIDE, (_HASHER.of(sums, a + GRAM, right) & side).astype(np.int64), -1)
-    did, th, base = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
-    start = lo - at[piece] + base[piece]
-    key = anchor * _M2 + block
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(order), bool)
-    same[1:] = (anchor[order[1:]] == anchor[order[:-1]]) & (block[order[1:]] == block[order[:-1]])
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    itself = (did[piece[order]] == did[piece[head]]) & (th[piece[order]] == th[piece[head]]) & (start[order] == start[head])
-    opened, covered, again = order[~same], order[same & ~itself], np.unique(head[same & ~itself])
-    place = np.stack([did[piece[opened]], th[piece[opened]], start[opened]])
-    late = firsts.later(key[opened], place)
-    firsts.learn(key[again], np.stack([did[piece[again]], th[piece[again]], start[again]]))
-    opened, covered = opened[~late], np.sort(np.concatenate([covered, opened[late]]))
-    p = piece[opened]
-    yield _batch(
-        (np.full(len(opened), OPEN), anchor[opened].view(np.int64), block[opened].view(np.int64), did[p], th[p], start[opened], (a - lo)[opened], (hi - lo)[opened], hl[opened], hr[opened]),
-        BLOCK_TYPES, BLOCK_COLUMNS,
-    )
-    p, s, e = _merged(piece[covered], start[covered], start[covered] + (hi - lo)[covered] + LENGTH)
-    none = np.zeros(len(p), np.int64)
-    yield _batch((none, _mixed(did[p].view(np.uint64) + s.astype(np.uint64)).view(np.int64), none, did[p], th[p], s, none, e - s, none, none), BLOCK_TYPES, BLOCK_COLUMNS)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, th, text) -> rows of BLOCK_SCHEMA."""
-
-    firsts = Firsts()
-
-    def flush(rows):
-        yield from _chunk_blocks(sorted(rows, key=lambda p: p[:3]), firsts)
-
-    rows, held = [], 0
-    for b in batches:
-        for did, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            body = text.as_buffer()
-            body = b"" if body is None else body.to_pybytes()
-            for base in range(0, max(1, len(body) - LENGTH + 1), CHUNK - LENGTH):
-                part = body[base : base + CHUNK - 1]
-                if held + len(part) > CHUNK:
-                    yield from flush(rows)
-                    rows, held = [], 0
-                rows.append((did, th, base, part))
-                held += len(part)
-    yield from flush(rows)
-
-
-ASK_COLUMNS = ["kind", "key", "did", "th", "start", "span"]
-ASK_SCHEMA = "kind byte, key long, did long, th long, start int, span int"
-ASK_TYPES = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-
-
-def _asks(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Whole anchor groups sorted by (anchor, block, did, th, start) -> covered intervals, and parts whose bytes are needed."""
-    done = x["kind"] == COVER
-    yield _batch((x["kind"][done], x["anchor"][done], x["did"][done], x["th"][done], x["start"][done], x["span"][done]), ASK_TYPES, ASK_COLUMNS)
-    x = {k: v[~done] for k, v in x.items()}
-    n = len(x["kind"])
-    if not n:
-        return
-    equal = lambda names: np.append(False, np.logical_and.reduce([x[c][1:] == x[c][:-1] for c in names]))
-    same_block, itself = equal(("anchor", "block")), equal(("anchor", "block", "did", "th", "start"))
-    cover = np.flatnonzero(same_block & ~itself)
-    yield _batch((np.zeros(len(cover)), x["anchor"][cover], x["did"][cover], x["th"][cover], x["start"][cover], x["span"][cover] + LENGTH), ASK_TYPES, ASK_COLUMNS)
-    x = {k: v[~same_block] for k, v in x.items()}
-    shared = np.append(x["anchor"][1:] == x["anchor"][:-1], False)
-    shared[1:] |= shared[:-1]
-    x = {k: v[shared] for k, v in x.items()}
-    for kind, column in ((LEFT, "hl"), (RIGHT, "hr")):
-        y = {k: v[x[column] >= 0] for k, v in x.items()}
-        key = _mixed(_mixed(y["anchor"].view(np.uint64)) + (y[column].astype(np.uint64) * np.uint64(4) + np.uint64(kind)) * _M1)
-        _, where, count = np.unique(key, return_inverse=True, return_counts=True)
-        count = count[where]
-        a, end = y["start"] + y["place"], y["start"] + y["span"]
-        start = y["start"] if kind == LEFT else np.maximum(y["start"], a - SIDE + 1)
-        span = (np.minimum(end, a - SIDE) if kind == LEFT else end) - start
-        keep = count > 1
-        kinds = np.where(count > HEAVY_SIDE, kind + WINDOWS, kind)
-        yield _batch((kinds[keep], key[keep].view(np.int64), y["did"][keep], y["th"][keep], start[keep], span[keep]), ASK_TYPES, ASK_COLUMNS)
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Rows sorted by key, given out in runs of whole groups."""
-    rest = None
-    for b in batches:
-        now = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
-        if rest is not None:
-            now = {c: np.concatenate([rest[c], now[c]]) for c in names}
-        if not len(now[key]):
-            continue
-        at = np.searchsorted(now[key], now[key][-1])
-        rest = {c: v[at:] for c, v in now.items()}
-        if at:
-            yield {c: v[:at] for c, v in now.items()}
-    if rest is not None:
-        yield rest
-
-
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in _whole_groups(batches, BLOCK_COLUMNS, "anchor"):
-        yield from _asks(x)
-
-
-PART_COLUMNS = ["key", "did", "th", "start", "body"]
-PART_SCHEMA = "key long, did long, th long, start int, body binary"
-PART_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, th, text, asked: array<struct(kind, key, start, span)>) -> the bytes asked for. Windows go without bytes, by their hash;
-    those that this task has met earlier are covered and go as empty bytes."""
-    firsts = Firsts()
-    for b in batches:
-        out, windows = [[] for _ in PART_COLUMNS], []
-        for i, asked in enumerate(b.column(3).to_pylist()):
-            if not asked:
-                continue
-            did, th, body = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer().to_pybytes()
-            for r in asked:
-                piece = body[r["start"] : r["start"] + r["span"] + LENGTH]
-                if r["kind"] > WINDOWS:
-                    s = _HASHER.sums(np.frombuffer(piece, np.uint8))
-                    at = np.arange(r["span"] + 1)
-                    places = np.stack([np.full(len(at), did), np.full(len(at), th), at + r["start"]])
-                    windows.append((_HASHER.of(s, at, at + LENGTH), places))
-                else:
-                    for c, v in zip(out, (r["key"], did, th, r["start"], piece), strict=True):
-                        c.append(v)
-        yield _batch(out, PART_TYPES, PART_COLUMNS)
-        if windows:
-            key, place = np.concatenate([w[0] for w in windows]), np.concatenate([w[1] for w in windows], 1)
-            order = np.lexsort((place[2], place[1], place[0], key))
-            key, place = key[order], place[:, order]
-            again = np.append(False, key[1:] == key[:-1])
-            head = np.flatnonzero(~again)
-            late = again.copy()
-            late[head] = firsts.later(key[head], place[:, head])
-            twice = head[np.append(again[1:], False)[head]]
-            firsts.learn(key[twice], place[:, twice])
-            bodies = pa.array([b"" if x else None for x in late.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(x) for x in place[:2]), pa.array(place[2].astype(np.int32)), bodies], PART_COLUMNS)
-
-
 class SuffixArray:
     """Enhanced suffix array of several strings: suffixes end with their string; of equal ones the earlier string's comes first.
 
     order: suffixes sorted; lcp[i]: common prefix of suffixes order[i - 1] and order[i]."""
 
     def __init__(self, strings: list[bytes]):
-        size = np.array([len(s) for s in strings])
+        size = np.array([len(s) for s in strings], np.int64)
         self.data = np.frombuffer(b"".join(strings), np.uint8)
         self.string = np.repeat(np.arange(len(strings)), size)
         self.start = np.cumsum(size) - size
         self.end = np.repeat(np.cumsum(size), size)
+        self.order = self._sorted()
+        self.lcp = self._common_prefixes()
+
+    def _sorted(self) -> np.ndarray:
+        """Prefix doubling from 5 bytes on. A rank is the place of the first of equal suffixes; only ties are sorted again."""
         n = len(self.data)
-        ranks, step = [self.data.astype(np.int64) + 1], 1
+        if not n:
+            return np.zeros(0, np.int64)
         place = np.arange(n)
-        while step < size.max(initial=1):
-            now = ranks[-1]
-            after = place + step
-            inside = after < self.end
-            pair = now * (n + 257) + np.where(inside, now[np.minimum(after, n - 1)], 0)
-            _, rank = np.unique(pair, return_inverse=True)
-            ranks.append(rank.astype(np.int64) + 1)
+        left = self.end - place
+        key = np.zeros(n, np.uint64)
+        for j in range(5):
+            key <<= np.uint64(8)
+            key[: n - j] |= np.where(left[: n - j] > j, self.data[j:], 0).astype(np.uint64)
+        key = (key << np.uint64(3)) | np.minimum(left, 5).astype(np.uint64)  # a shorter suffix comes before its extensions
+        rank, tied = self._ranked(key, 43, place, np.zeros(n, np.int64))
+        step, bits = 5, n.bit_length()
+        while len(tied):
+            tied = tied[left[tied] >= step]
+            if not len(tied):
+                break
+            after = tied + step
+            second = np.where(after < self.end[tied], rank[np.minimum(after, n - 1)] + 1, 0)
+            fresh, still = self._ranked(((rank[tied] << bits) | second).astype(np.uint64), 2 * bits, tied, rank[tied])
+            rank[tied], tied = fresh, still
             step *= 2
-        self.order = np.lexsort((place, ranks[-1]))
-        before, now = self.order[:-1].copy(), self.order[1:].copy()
-        self.lcp = np.zeros(n, np.int64)
-        common = self.lcp[1:]
-        for level in range(len(ranks) - 1, -1, -1):
-            length = 1 << level
-            p, q = before + common, now + common
-            fits = (p + length <= self.end[before]) & (q + length <= self.end[now])
-            p, q = np.minimum(p, n - 1), np.minimum(q, n - 1)
-            common += np.where(fits & (ranks[level][p] == ranks[level][q]), length, 0)
+        return self._order(rank.astype(np.uint64), bits)[1]
+
+    @staticmethod
+    def _order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of so many bits in order, and their places, the first of equals first. Where both fit a word they are sorted as one."""
+        shift = max(1, len(key).bit_length())
+        if bits + shift > 64:
+            order = np.argsort(key, kind="stable")
+            return key[order], order
+        both = np.sort((key << np.uint64(shift)) | np.arange(len(key), dtype=np.uint64))
+        return both >> np.uint64(shift), (both & np.uint64((1 << shift) - 1)).astype(np.int64)
+
+    @classmethod
+    def _ranked(cls, key: np.ndarray, bits: int, member: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of members whose keys decide within groups of equal base rank, which keep their places; and the members still tied."""
+        k, order = cls._order(key, bits)
+        b = base[order]
+        at = np.arange(len(k))
+        new = np.append(True, k[1:] != k[:-1])
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        group = np.maximum.accumulate(np.where(np.append(True, b[1:] != b[:-1]), at, 0))
+        out = np.empty(len(k), np.int64)
+        out[order] = b + first - group
+        again = ~new
+        again[:-1] |= ~new[1:]
+        return out, np.sort(member[order[again]])
+
+    def _common_prefixes(self) -> np.ndarray:
+        """A suffix that its neighbour in order precedes with the same byte has one byte less in common than the suffix before it in the
+        text; only the others are compared, eight bytes at a time."""
+        n = len(self.data)
+        out = np.zeros(n, np.int64)
+        if n < 2:
+            return out
+        neighbour = np.full(n, -1)
+        neighbour[self.order[1:]] = self.order[:-1]
+        at = np.arange(n)
+        begins = self.start[self.string] == at
+        follows = (neighbour >= 0) & ~begins & ~begins[neighbour]
+        follows[follows] = self.data[at[follows] - 1] == self.data[neighbour[follows] - 1]
+        alone = np.flatnonzero(~follows & (neighbour >= 0))
+        words = np.zeros(n + 8, np.uint64)
+        for j in range(8):
+            words[: n - j] |= self.data[j:].astype(np.uint64) << np.uint64(8 * j)
+        p, q, open_ = alone.copy(), neighbour[alone], np.arange(len(alone))
+        room = np.minimum(self.end[p] - p, self.end[q] - q)
+        common = np.zeros(len(alone), np.int64)
+        while len(open_):
+            differ = words[p[open_] + common[open_]] ^ words[q[open_] + common[open_]]
+            lowest = differ & (~differ + np.uint64(1))
+            same = np.where(differ == 0, 8, np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) // 8)
+            common[open_] = np.minimum(common[open_] + same, room[open_])
+            open_ = open_[(same == 8) & (common[open_] < room[open_])]
+        in_text = np.zeros(n, np.int64)
+        in_text[alone] = common
+        last = np.maximum.accumulate(np.where(~follows, at, 0))
+        in_text = np.where(follows, in_text[last] - (at - last), in_text)
+        return in_text[self.order]
 
     def left(self) -> np.ndarray:
         """The byte before each suffix, in order; at the start of a string a value of its own."""
@@ -355,10 +217,12 @@ class SuffixArray:
         high = np.flatnonzero(lcp >= least)
         if not len(high):
             return
-        for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1):
+        cut = np.flatnonzero(np.diff(high) > 1)
+        begins, ends = high[np.append(0, cut + 1)], high[np.append(cut, len(high) - 1)]
+        diverse = changes[ends] != changes[begins - 1]  # a subtree whose suffixes all follow the same byte holds no maximal repeat
+        for begin, end in zip(begins[diverse].tolist(), ends[diverse].tolist(), strict=True):
             stack = []  # (length, first)
-            begin = int(run[0])
-            for i, length in enumerate(lcp[begin : begin + len(run)].tolist(), begin):
+            for i, length in enumerate(lcp[begin : end + 1].tolist(), begin):
                 first = i - 1
                 while stack and stack[-1][0] > length:
                     longer, first = stack.pop()
@@ -368,8 +232,312 @@ class SuffixArray:
                     stack.append((length, first))
             while stack:
                 longer, first = stack.pop()
-                if changes[begin + len(run) - 1] != changes[first]:
-                    yield longer, first, begin + len(run) - 1
+                if changes[end] != changes[first]:
+                    yield longer, first, end
+
+
+def repeats(did: np.ndarray, th: np.ndarray, start: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Strings and their places -> (index of a string, start, length): all occurrences of maximal repeats but the first, in document
+    coordinates."""
+    array = SuffixArray(bodies)
+    string = array.string[array.order]
+    byte = start[string] + array.order - array.start[string]
+    _, doc = np.unique(np.stack([did, th]), axis=1, return_inverse=True)
+    place = doc.ravel()[string] * (1 << 33) + byte
+    at, lengths = [], []
+    for length, first, last in array.maximal_repeats(LENGTH):
+        inside = place[first : last + 1]
+        later = first + np.flatnonzero(inside > inside.min())
+        at.append(later)
+        lengths.append(np.full(len(later), length))
+    if not at:
+        return (np.zeros(0, np.int64),) * 3
+    at = np.concatenate(at)
+    return string[at], byte[at], np.concatenate(lengths)
+
+
+PART_COLUMNS = ["key", "block", "did", "th", "meta"]
+PART_SCHEMA = "key long, block long, did long, th long, meta long"
+PART_TYPES = [pa.int64()] * 5
+_BYTES = LENGTH + SIDE + 2  # the longest part
+
+
+def packed(start: np.ndarray, span: np.ndarray, kind) -> np.ndarray:
+    """start, span (last window's offset; of covers the number of bytes) and kind in one number that sorts by start."""
+    return (np.asarray(start, np.int64) << 32) | (np.asarray(span, np.int64) << 8) | kind
+
+
+def unpacked(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return meta >> 32, (meta >> 8) & 0xFFFFFF, meta & 0xFF
+
+
+class Known:
+    """Bytes and places of parts that a task has met more than once, of bounded number: what repeats them later needs no shuffle."""
+
+    def __init__(self, limit: int = 100_000):
+        self.limit, self.parts = limit, {}
+
+    def learn(self, key: int, place: tuple[int, int, int], body: bytes) -> None:
+        if key in self.parts:
+            if place < self.parts[key][0]:
+                self.parts[key] = (place, body)
+        elif len(self.parts) < self.limit:
+            self.parts[key] = (place, body)
+
+    def before(self, keys: list[int]) -> list[tuple[tuple[int, int, int], bytes]]:
+        found = {k: self.parts[k] for k in keys if k in self.parts}
+        return sorted(found.values())
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+
+def _joined(parts: list[tuple[tuple[int, int, int], bytes]]) -> list[tuple[tuple[int, int, int], bytes]]:
+    """Parts in order of place, those that follow each other without a gap joined into one string."""
+    out: list[list] = []
+    for (did, th, start), body in parts:
+        if out:
+            (d, t, s), pieces, windows = out[-1]
+            if (d, t, s + windows) == (did, th, start) and windows < MOST_PARTS * SIDE:
+                pieces.append(body[LENGTH - 1 :])
+                out[-1][2] += len(body) - LENGTH + 1
+                continue
+        out.append([(did, th, start), [body], len(body) - LENGTH + 1])
+    return [(place, b"".join(pieces)) for place, pieces, _ in out]
+
+
+def _parts_of(data: np.ndarray, size: np.ndarray, common: np.ndarray):
+    """Bytes of several pieces (sizes >= LENGTH) -> piece, first window (in data), span, key and hash of each part, in order."""
+    at = np.cumsum(size) - size
+    sums = _HASHER.sums(data)
+    every = np.arange(len(data) - GRAM + 1)
+    gram = _mixed((sums[GRAM:] - sums[:-GRAM]) * _HASHER.up[: len(every)])
+    mask = np.uint64((1 << int(PLACE_BITS)) - 1)
+    low = _sliding_min((gram & ~mask) | (mask - every.astype(np.uint64)), SPAN)
+    del gram, every
+    windows = size - LENGTH + 1
+    piece = np.repeat(np.arange(len(size)), windows)
+    window = np.arange(len(piece)) + np.repeat(at - (np.cumsum(windows) - windows), windows)
+    anchor = (mask - (low[window] & mask)).astype(np.int64)
+    del low
+    right = anchor - window < SIDE
+    new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (right[1:] != right[:-1]) | (piece[1:] != piece[:-1])))
+    first, last = window[new], window[np.append(new[1:], len(window)) - 1]
+    anchor, right, piece = anchor[new], right[new], piece[new]
+    del window
+    key = _HASHER.of(sums, np.where(right, anchor, anchor - SIDE), np.where(right, anchor + GRAM + SIDE, anchor + GRAM))
+    key = np.where(right, key, _mixed(key + _M1))
+    if len(common):
+        often = np.isin(key, common)
+        if often.any():
+            count = np.where(often, last - first + 1, 1)
+            source = np.repeat(np.arange(len(count)), count)
+            step = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
+            often = often[source]
+            first, piece = first[source] + np.where(often, step, 0), piece[source]
+            last = np.where(often, first, last[source])
+            key = np.where(often, _HASHER.of(sums, first, first + LENGTH), key[source])
+    return piece, first, last - first, key, _HASHER.of(sums, first, last + LENGTH)
+
+
+def _chunk_parts(pieces: list[tuple[int, int, int, bytes]], known: Known, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """pieces (did, th, first byte in the document, bytes) in order -> parts that are not covered here, and covered intervals."""
+    pieces = [p for p in pieces if len(p[3]) >= LENGTH]
+    if not pieces:
+        return
+    data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
+    size = np.array([len(p[3]) for p in pieces])
+    at = np.cumsum(size) - size
+    piece, first, span, key, block = _parts_of(data, size, common)
+    did, th, base = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
+    start = first - at[piece] + base[piece]
+    both = _mixed(key) + block * _M2
+    order = np.argsort(both, kind="stable")
+    same = np.append(False, both[order[1:]] == both[order[:-1]])
+    again = same.copy()
+    again[:-1] |= same[1:]
+    twice = np.zeros(len(both), bool)
+    twice[order[again]] = True
+    earlier = known.before(both[np.isin(both, np.fromiter(known.parts, np.uint64, len(known)))].tolist()) if len(known) else []
+    if earlier:
+        met = np.isin(both, np.array([k for k in known.parts], np.uint64))
+        twice |= met
+    done = np.zeros(len(both), bool)
+    if twice.any():
+        i = np.flatnonzero(twice)
+        follows = np.append(False, (np.diff(i) == 1) & (first[i[1:]] == first[i[:-1]] + span[i[:-1]] + 1) & (piece[i[1:]] == piece[i[:-1]]))
+        follows &= (key[i] & CUT_MASK) != 0
+        run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(i))))
+        follows &= (np.arange(len(i)) - run) % MOST_PARTS != 0
+        head = np.flatnonzero(~follows)
+        tail = np.append(head[1:], len(i)) - 1
+        lo, hi = first[i[head]], first[i[tail]] + span[i[tail]] + LENGTH
+        whole = data.tobytes()
+        bodies = [whole[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        where, shift = piece[i[head]], start[i[head]]
+        old = _joined(earlier)
+        s_did = np.concatenate([did[where], np.array([p[0] for p, _ in old], np.int64)])
+        s_th = np.concatenate([th[where], np.array([p[1] for p, _ in old], np.int64)])
+        s_start = np.concatenate([shift, np.array([p[2] for p, _ in old], np.int64)])
+        found, byte, length = repeats(s_did, s_th, s_start, [*bodies, *(b for _, b in old)])
+        mine = found < len(bodies)
+        found, byte, length = where[found[mine]], byte[mine], length[mine]
+        if len(found):
+            p, s, e = _merged(found, byte, byte + length - LENGTH + 1)  # windows
+            slot = np.searchsorted(p * (1 << 33) + s, piece[i] * (1 << 33) + start[i], "right") - 1
+            inside = (slot >= 0) & (p[slot] == piece[i]) & (start[i] + span[i] + 1 <= e[slot])
+            done[i[inside]] = True
+            p, s, e = _merged(found, byte, byte + length)
+            spread = _mixed(did[p].view(np.uint64) + s.astype(np.uint64)).view(np.int64)
+            yield _batch((spread, np.zeros(len(p), np.int64), did[p], th[p], packed(s, e - s, COVER)), PART_TYPES, PART_COLUMNS)
+        for j in i[~done[i]].tolist():
+            q = piece[j]
+            known.learn(int(both[j]), (int(did[q]), int(th[q]), int(start[j])), whole[first[j] : first[j] + span[j] + LENGTH])
+    o = np.flatnonzero(~done)
+    p = piece[o]
+    yield _batch((key[o].view(np.int64), block[o].view(np.int64), did[p], th[p], packed(start[o], span[o], OPEN)), PART_TYPES, PART_COLUMNS)
+
+
+def _parts(common: np.ndarray):
+    """(did, th, text) -> rows of PART_SCHEMA."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
+
+        def flush(rows):
+            yield from _chunk_parts(sorted(rows, key=lambda p: p[:3]), known, common)
+
+        rows, held = [], 0
+        for b in batches:
+            for did, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                body = text.as_buffer()
+                body = b"" if body is None else body.to_pybytes()
+                for base in range(0, max(1, len(body) - LENGTH + 1), CHUNK - LENGTH):
+                    part = body[base : base + CHUNK - 1]
+                    if held + len(part) > CHUNK:
+                        yield from flush(rows)
+                        rows, held = [], 0
+                    rows.append((did, th, base, part))
+                    held += len(part)
+        yield from flush(rows)
+
+    return run
+
+
+ASK_COLUMNS = ["kind", "key", "did", "th", "start", "span", "delta", "of_did", "of_th"]
+ASK_SCHEMA = "kind byte, key long, did long, th long, start int, span int, delta int, of_did long, of_th long"
+ASK_TYPES = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+
+def _asks(x: dict[str, np.ndarray], split: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, block, did, th, meta) -> covered intervals, claims, sources and parts to compare. split: the key of rows that
+    other calls see more of, so that all its parts are dealt by window."""
+    start, span, kind = unpacked(x["meta"])
+    done = kind == COVER
+    none = lambda n: np.zeros(n, np.int64)
+    if done.any():
+        n = int(done.sum())
+        yield _batch((np.full(n, COVER), none(n), x["did"][done], x["th"][done], start[done], span[done], none(n), none(n), none(n)), ASK_TYPES, ASK_COLUMNS)
+    key, block, did, th = (x[c][~done] for c in PART_COLUMNS[:4])
+    start, span = start[~done], span[~done]
+    n = len(key)
+    if not n:
+        return
+    new_key = np.append(True, key[1:] != key[:-1])
+    new = new_key | np.append(True, block[1:] != block[:-1])
+    source = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    claim = np.flatnonzero(~new & ~((did == did[source]) & (th == th[source]) & (start == start[source])))
+    of = source[claim]
+    group = np.cumsum(new_key) - 1
+    different = np.bincount(group[new], minlength=group[-1] + 1)[group]
+    compared = np.flatnonzero(new & (different > 1))
+    used = np.unique(of)
+    rows = np.concatenate([claim, used, compared])
+    wide = (different[compared] > PART_LIMIT) | ((key[compared] == split) if split is not None else False)
+    kinds = np.concatenate([np.full(len(claim), CLAIM), np.full(len(used), SOURCE), np.where(wide, SPLIT, PART)])
+    rest = none(len(used) + len(compared))
+    delta = np.concatenate([start[claim] - start[of], rest])
+    yield _batch(
+        (kinds, key[rows], did[rows], th[rows], start[rows], span[rows], delta, np.concatenate([did[of], rest]), np.concatenate([th[of], rest])), ASK_TYPES, ASK_COLUMNS
+    )
+
+
+def _asked(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Streams _asks over runs of whole keys; a key with very many rows comes in several, each led by the last source of the one before."""
+    rest, split = None, None
+    for b in batches:
+        now = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(PART_COLUMNS)}
+        if rest is not None:
+            now = {c: np.concatenate([rest[c], now[c]]) for c in PART_COLUMNS}
+        key = now["key"]
+        if not len(key):
+            continue
+        at = int(np.searchsorted(key, key[-1]))
+        if at:
+            yield from _asks({c: v[:at] for c, v in now.items()}, split)
+        rest = {c: v[at:] for c, v in now.items()}
+        if len(rest["key"]) > most:
+            split = int(rest["key"][0])
+            yield from _asks(rest, split)
+            opened = np.flatnonzero((rest["meta"] & 0xFF) == OPEN)
+            block = rest["block"][opened]
+            head = opened[np.searchsorted(block, block[-1])] if len(opened) else 0
+            rest = {c: v[head : head + 1] for c, v in rest.items()} if len(opened) else None
+    if rest is not None:
+        yield from _asks(rest, split)
+
+
+STRING_COLUMNS = ["key", "did", "th", "start", "sliced", "body"]
+STRING_SCHEMA = "key long, did long, th long, start int, sliced boolean, body binary"
+STRING_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+
+
+def _cell_key(did: np.ndarray, th: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(_mixed(did.view(np.uint64)) + th.view(np.uint64)) + (start // CELL).astype(np.uint64) * _M1)
+
+
+def _strings_of(did: int, th: int, body: bytes, asked: pa.StructArray) -> Iterator[tuple[int, int, bool, bytes]]:
+    """(key, start, sliced, bytes) of what is asked of a document: runs of claims and sources, parts, windows."""
+    kind, key, start, span, delta, of_did, of_th = (asked.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kind", "key", "start", "span", "delta", "of_did", "of_th"))
+    mine = kind == SOURCE
+    of_did, of_th, delta = np.where(mine, did, of_did), np.where(mine, th, of_th), np.where(mine, 0, delta)
+    runs = np.flatnonzero(mine | (kind == CLAIM))
+    if len(runs):
+        runs = runs[np.lexsort((start[runs], delta[runs], of_th[runs], of_did[runs], kind[runs]))]
+        cell = _cell_key(of_did[runs], of_th[runs], start[runs] - delta[runs])
+        s, e = start[runs], start[runs] + span[runs] + 1
+        alike = np.append(False, (cell[1:] == cell[:-1]) & (delta[runs[1:]] == delta[runs[:-1]]) & (kind[runs[1:]] == kind[runs[:-1]]))
+        first = np.flatnonzero(~(alike & np.append(False, s[1:] == e[:-1])))
+        last = np.append(first[1:], len(runs)) - 1
+        for k, a, b in zip(cell[first].view(np.int64).tolist(), s[first].tolist(), e[last].tolist(), strict=True):
+            yield k, a, True, body[a : b + LENGTH - 1]
+    for i in np.flatnonzero(kind == PART).tolist():
+        yield int(key[i]), int(start[i]), False, body[start[i] : start[i] + span[i] + LENGTH]
+    for i in np.flatnonzero(kind == SPLIT).tolist():
+        a, n = int(start[i]), int(span[i]) + 1
+        piece = body[a : a + n + LENGTH - 1]
+        at = np.arange(n)
+        hashes = _HASHER.of(_HASHER.sums(np.frombuffer(piece, np.uint8)), at, at + LENGTH).view(np.int64)
+        for j, h in enumerate(hashes.tolist()):
+            yield h, a + j, True, piece[j : j + LENGTH]
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(did, th, text, asked: array<struct>) -> the bytes asked for."""
+    for b in batches:
+        out, held = [[] for _ in STRING_COLUMNS], 0
+        for i in range(b.num_rows):
+            if not b.column(3)[i].is_valid:
+                continue
+            did, th, body = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer().to_pybytes()
+            for key, start, sliced, piece in _strings_of(did, th, body, b.column(3)[i].values):
+                for c, v in zip(out, (key, did, th, start, sliced, piece), strict=True):
+                    c.append(v)
+                held += len(piece)
+                if held > 4 * SLICE:
+                    yield _batch(out, STRING_TYPES, STRING_COLUMNS)
+                    out, held = [[] for _ in STRING_COLUMNS], 0
+        yield _batch(out, STRING_TYPES, STRING_COLUMNS)
 
 
 COVER_COLUMNS = ["did", "th", "start", "span"]
@@ -377,44 +545,35 @@ COVER_SCHEMA = "did long, th long, start int, span int"
 COVER_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
-def _covers(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Whole groups sorted by (key, did, th, start) -> covered intervals."""
-    bare = np.array([not b for b in x["body"]], bool)
-    w = {k: v[bare] for k, v in x.items()}
-    later = np.array([b is not None for b in w["body"]], bool)
-    whole = np.flatnonzero(~later)
-    later[whole[1:]] = w["key"][whole[1:]] == w["key"][whole[:-1]]
-    yield _batch((w["did"][later], w["th"][later], w["start"][later], np.full(int(later.sum()), LENGTH)), COVER_TYPES, COVER_COLUMNS)
-    x = {k: v[~bare] for k, v in x.items()}
-    if not len(x["key"]):
-        return
-    group = np.cumsum(np.append(True, x["key"][1:] != x["key"][:-1]))
-    size = np.array([len(b) for b in x["body"]])
-    share = np.append(0, np.cumsum(size))[:-1] // (1 << 20)
-    _, head = np.unique(group, return_index=True)
-    slice_of = share[head][group - 1]  # whole groups, about a MB of text at a time
-    for part in np.unique(slice_of):
-        at = np.flatnonzero(slice_of == part)
-        did, th, start = x["did"][at], x["th"][at], x["start"][at].astype(np.int64)
-        array = SuffixArray(list(x["body"][at]))
-        string = array.string[array.order]
-        byte = start[string] + array.order - array.start[string]
-        _, doc = np.unique(np.stack([did, th]), axis=1, return_inverse=True)
-        place = doc.ravel()[string] * (1 << 32) + byte
-        found = []
-        for length, first, last in array.maximal_repeats(LENGTH):
-            all_of = np.arange(first, last + 1)
-            found.append(np.stack([np.delete(all_of, place[first : last + 1].argmin()), np.full(last - first, length)]))
-        if found:
-            found = np.concatenate(found, 1)
-            doc_of, s, e = _merged(doc.ravel()[string[found[0]]], byte[found[0]], byte[found[0]] + found[1])
-            _, one = np.unique(doc.ravel(), return_index=True)
-            yield _batch((did[one[doc_of]], th[one[doc_of]], s, e - s), COVER_TYPES, COVER_COLUMNS)
+def _covers(strings: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    did, th, start = (np.array([s[i] for s in strings], np.int64) for i in range(3))
+    string, byte, length = repeats(did, th, start, [s[3] for s in strings])
+    _, one, doc = np.unique(np.stack([did, th]), axis=1, return_index=True, return_inverse=True)
+    d, s, e = _merged(doc.ravel()[string], byte, byte + length)
+    return _batch((did[one[d]], th[one[d]], s, e - s), COVER_TYPES, COVER_COLUMNS)
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in _whole_groups(batches, PART_COLUMNS, "key"):
-        yield from _covers(x)
+    """Strings sorted by (key, did, th, start) -> covered intervals, from suffix arrays of about SLICE bytes. A key's strings lie in one array,
+    but for claims and windows of very many documents: these come in several arrays, each with the strings of the first document."""
+    held, size, key, head = [], 0, None, []
+    for b in batches:
+        for k, did, th, start, sliced, body in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(5), strict=True):
+            row = (did, th, start, body.as_buffer().to_pybytes())
+            if k != key:
+                if size > SLICE:
+                    yield _covers(held)
+                    held, size = [], 0
+                key, head = k, []
+            elif sliced and size > SLICE and head[0][:2] != row[:2]:
+                yield _covers(held)
+                held, size = list(head), sum(len(h[3]) for h in head)
+            if sliced and (not head or head[0][:2] == row[:2]):
+                head.append(row)
+            held.append(row)
+            size += len(row[3])
+    if held:
+        yield _covers(held)
 
 
 def spans(covers: list[int] | None, size: int, whole: bool) -> list[tuple[int, int]]:
@@ -423,52 +582,64 @@ def spans(covers: list[int] | None, size: int, whole: bool) -> list[tuple[int, i
         return [(0, size)] if size >= LENGTH else []
     if not covers:
         return []
-    packed = np.array(covers, np.int64)
-    start, length = packed >> 32, packed & 0xFFFFFFFF
-    _, s, e = _merged(np.zeros(len(packed), np.int64), start, start + length)
+    both = np.array(covers, np.int64)
+    start, length = both >> 32, both & 0xFFFFFFFF
+    _, s, e = _merged(np.zeros(len(both), np.int64), start, start + length)
     return list(zip(s.tolist(), e.tolist(), strict=True))
 
 
+def common_keys(texts: DataFrame) -> np.ndarray:
+    """Keys of very many parts in a sample of about SAMPLE_ROWS of texts(did, th, body): how rows are dealt depends on it, what is found does
+    not. A row of the sample has a bounded share of them, so there are few."""
+    every = max(1, texts.count() // SAMPLE_ROWS)
+    sample = texts.filter(F.pmod(F.xxhash64("did", "th"), F.lit(every)) == 0)
+    parts = sample.mapInArrow(_parts(np.zeros(0, np.uint64)), PART_SCHEMA).filter((F.col("meta") % 256) == OPEN)
+    often = parts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON).select("key")
+    return np.sort(np.array([r.key for r in often.collect()], np.int64).view(np.uint64))
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `_covers`, covered intervals packed as start << 32 | length (null if there are none), and `_nth`: 1 but for rows that
-    repeat a row in id and text, which are covered whole."""
-    spark = docs.sparkSession
-    ids = docs.groupBy(F.col(doc_id).cast("long").alias("i")).agg(F.count("*").alias("n")).filter("n > 1 OR i IS NULL")
-    unique = ids.isEmpty()
-    th = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(text, F.lit("")))
-    keyed = docs.withColumns({"_did": F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), "_th": th})
-    body = F.coalesce(F.col(text), F.lit("")).alias("body")
-    blocks = keyed.select("_did", "_th", body).mapInArrow(_blocks, BLOCK_SCHEMA)
-    met = blocks.repartition("anchor").sortWithinPartitions("anchor", "block", "did", "th", "start")
+    """(row, body, covers, again): a struct of the other columns, the text, its covered intervals packed as start << 32 | length (null if
+    there are none), and whether the row repeats one in id and text, so that it is covered whole."""
+    named = docs.select(
+        packed_row(docs, text).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.col(text).cast("string").alias("body")
+    )
+    unique = named.groupBy("did").agg(F.count("*").alias("n")).filter(f"n > 1 OR did = {(1 << 63) - 1}").isEmpty()
+    if unique:
+        keyed = texts = named.withColumns({"th": F.lit(0).cast("long"), "again": F.lit(False)})
+    else:
+        placed = written(named.withColumns({"th": F.xxhash64(F.coalesce("body", F.lit(""))), "at": F.monotonically_increasing_id()}))
+        firsts = placed.groupBy("did", "th").agg(F.min("at").alias("first")).withColumnsRenamed({"did": "of", "th": "of_th"})
+        joined = placed.join(firsts, (F.col("did") == F.col("of")) & (F.col("th") == F.col("of_th")))
+        keyed = written(joined.select("row", "did", "body", "th", (F.col("at") != F.col("first")).alias("again")))
+        texts = keyed.filter("NOT again")
+    bodies = texts.select("did", "th", F.coalesce("body", F.lit("")).alias("body"))
+    met = bodies.mapInArrow(_parts(common_keys(bodies)), PART_SCHEMA).repartition("key").sortWithinPartitions(*PART_COLUMNS)
     asks = written(met.mapInArrow(_asked, ASK_SCHEMA))
-    wanted = asks.filter(f"kind <> {COVER}").groupBy("did", "th").agg(F.collect_list(F.struct("kind", "key", "start", "span")).alias("_asked"))
-    wanted = wanted.withColumnsRenamed({"did": "_of", "th": "_of_th"})
-    mine = (F.col("_did") == F.col("_of")) & (F.col("_th") == F.col("_of_th"))
+    asked = F.collect_list(F.struct("kind", "key", "start", "span", "delta", "of_did", "of_th"))
+    wanted = asks.filter(f"kind <> {COVER}").groupBy("did", "th").agg(asked.alias("asked")).withColumnsRenamed({"did": "of", "th": "of_th"})
+    mine = (F.col("did") == F.col("of")) & (F.col("th") == F.col("of_th"))
     # every column goes along, so that this exchange of texts and the last one are the same and Spark runs it once
-    others = [c for c in docs.columns if c != text]
-    parts = keyed.join(wanted, mine, "left").select("_did", "_th", text, "_asked", *others).mapInArrow(_parts, PART_SCHEMA)
-    dealt = parts.repartition("key").sortWithinPartitions("key", "did", "th", "start")
-    more = dealt.mapInArrow(_covered, COVER_SCHEMA)
+    strings = keyed.join(wanted, mine, "left").select("did", "th", "body", "asked", "row", "again").filter("NOT again").mapInArrow(_strings, STRING_SCHEMA)
+    dealt = strings.repartition("key").sortWithinPartitions("key", "did", "th", "start")
     covers = (
-        asks.filter(f"kind = {COVER}").select(*COVER_COLUMNS).unionAll(more)
-        .groupBy("did", "th").agg(F.collect_list(F.expr("shiftleft(CAST(start AS BIGINT), 32) | span")).alias("_covers"))
-        .withColumnsRenamed({"did": "_of", "th": "_of_th"})
+        asks.filter(f"kind = {COVER}").select(*COVER_COLUMNS).unionAll(dealt.mapInArrow(_covered, COVER_SCHEMA))
+        .groupBy("did", "th").agg(F.collect_list(F.expr("shiftleft(CAST(start AS BIGINT), 32) | span")).alias("covers"))
+        .withColumnsRenamed({"did": "of", "th": "of_th"})
     )
-    out = keyed.join(covers, mine, "left").drop("_of", "_of_th")
-    nth = F.lit(1) if unique else F.row_number().over(Window.partitionBy("_did", "_th").orderBy(F.lit(0)))
-    return out.withColumn("_nth", nth).drop("_did", "_th")
+    return keyed.join(covers, mine, "left").select("row", "body", "covers", "again")
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """The contract's columns from (doc_id, text, _covers, _nth)."""
+def digests(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The contract's columns from what repeated_spans() gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, count, digest = [], [], [], []
-            for text, covers, nth in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, covers, again in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 body = text.as_buffer()
                 body = b"" if body is None else body.to_pybytes()
-                gone, at, kept = spans(covers, len(body), nth > 1), 0, hashlib.sha256()
+                gone, at, kept = spans(covers, len(body), again), 0, hashlib.sha256()
                 for s, e in gone:
                     kept.update(body[at:s])
                     at = e
@@ -479,32 +650,34 @@ def digests(found: DataFrame) -> DataFrame:
                 digest.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n, removed, count)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select("doc_id", "text", "_covers", "_nth").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    given = found.select(F.col("row").getField(doc_id).alias("doc_id"), "body", "covers", "again")
+    return given.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What the removal of repeated passages leaves of every document."""
     return digests(repeated_spans(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with repeated passages cut out of the text; a character that loses a byte goes whole."""
-    found = repeated_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, out = b.schema.names, []
-            for value, covers, nth in zip(b.column(names.index(text)), b.column(names.index("_covers")).to_pylist(), b.column(names.index("_nth")).to_pylist(), strict=True):
+            out = []
+            for value, covers, again in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 body = value.as_buffer()
                 if body is None:
                     out.append(None)
                     continue
                 body, at, left = body.to_pybytes(), 0, []
-                for s, e in spans(covers, len(body), nth > 1):
+                for s, e in spans(covers, len(body), again):
                     left.append(body[at:s].decode("utf-8", "ignore"))
                     at = e
                 out.append("".join([*left, body[at:].decode("utf-8", "ignore")]))
-            columns = [pa.array(out, pa.string()) if n == text else b.column(i) for i, n in enumerate(names) if n not in ("_covers", "_nth")]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n not in ("_covers", "_nth")])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "body"])
 
-    return found.mapInArrow(run, docs.schema)
+    found = repeated_spans(docs, doc_id, text)
+    schema = T.StructType([found.schema["row"], T.StructField("body", T.StringType())])
+    back = found.mapInArrow(run, schema)
+    return back.select(*unpacked_row(F.col("row"), docs.columns, **{text: F.col("body")}))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -89,34 +90,82 @@ def test_maximal_repeats(seed):
     assert got == want
 
 
-def test_windows_of_heavy_sides_give_the_same(monkeypatch):
-    """The whole flow in this process, with every part dealt by window."""
+def _flow(rows, common=np.zeros(0, np.uint64)):
+    """The whole flow in this process: removed bytes of each document, and how many of them a suffix array of a chunk or of a slice found."""
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["did", "th", "text"])
+    parts = pa.Table.from_batches(list(S._parts(common)(iter([batch])))).sort_by([(c, "ascending") for c in S.PART_COLUMNS])
+    asks = pa.Table.from_batches(list(S._asked(iter(parts.combine_chunks().to_batches(max_chunksize=50)), most=20))).to_pylist()
+    covers = [(r["did"], r["start"], r["span"]) for r in asks if r["kind"] == S.COVER]
+    by = {}
+    for r in asks:
+        if r["kind"] != S.COVER:
+            by.setdefault(r["did"], []).append({k: r[k] for k in ("kind", "key", "start", "span", "delta", "of_did", "of_th")})
+    fields = [("kind", pa.int8()), ("key", pa.int64()), ("start", pa.int32()), ("span", pa.int32()), ("delta", pa.int32()), ("of_did", pa.int64()), ("of_th", pa.int64())]
+    asked = pa.array([by.get(i) for i, _ in rows], pa.list_(pa.struct(fields)))
+    joined = pa.RecordBatch.from_arrays([*batch.columns, asked], ["did", "th", "text", "asked"])
+    strings = pa.Table.from_batches(list(S._strings(iter([joined])))).sort_by([(c, "ascending") for c in ("key", "did", "th", "start")])
+    more = [r for b in S._covered(iter(strings.combine_chunks().to_batches())) for r in b.to_pylist()]
+    covers += [(r["did"], r["start"], r["span"]) for r in more]
+    out = {}
+    for i, t in rows:
+        found = S.spans([(s << 32) | n for d, s, n in covers if d == i], len(t.encode()), False)
+        out[i] = sum(e - s for s, e in found)
+    return out, {r["kind"] for r in asks}
+
+
+def test_every_way_of_dealing_gives_the_same(monkeypatch):
     rows = [(i, t) for i, t in _rows(3) if t]
+    want = {i: removed for i, _, removed, _, _ in _plain(rows)}
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["did", "th", "text"])
+    keys = np.concatenate([b.column(0).to_numpy() for b in S._parts(np.zeros(0, np.uint64))(iter([batch]))]).view(np.uint64)
+    every, number = np.unique(keys, return_counts=True)
+    for chunk in (S.CHUNK, 3000, 700):
+        for limit in (1, S.PART_LIMIT):
+            for size in (200, S.SLICE):
+                for common in (every[:0], every[number > 3], every):
+                    monkeypatch.setattr(S, "CHUNK", chunk)
+                    monkeypatch.setattr(S, "PART_LIMIT", limit)
+                    monkeypatch.setattr(S, "SLICE", size)
+                    got, kinds = _flow(rows, common)
+                    assert got == want, (chunk, limit, size, len(common))
+                    if chunk == 700:
+                        assert {S.CLAIM, S.SOURCE} <= kinds
+
+
+def test_hot_anchor_of_many_contexts(docs_of):
+    """A line of 90 bytes in very many contexts: no window of 100 bytes repeats but where the contexts are equal too."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    line = " ".join(word() for _ in range(20))[:90]
+    rows = [(i, f"{word()} {word()} {word()} {line} {word()} {word()} {rng.choice(['same end of it', word()])}") for i in range(700)]
+    assert _digests(docs_of(rows).repartition(4)) == sorted(_plain(rows))
+
+
+def test_a_shared_hash_removes_nothing(monkeypatch):
+    """Keys and hashes that all parts share: the bytes decide."""
+    rows = [(i, t) for i, t in _rows(5)[:40] if t]
+    whole = S._parts_of
+
+    def blind(*args):
+        piece, first, span, key, block = whole(*args)
+        return piece, first, span, key * np.uint64(0), block * np.uint64(0)
+
+    monkeypatch.setattr(S, "_parts_of", blind)
+    want = {i: removed for i, _, removed, _, _ in _plain(rows)}
+    got, _ = _flow(rows)
+    assert all(got[i] <= want[i] for i in want)
 
-    def flow():
-        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["did", "th", "text"])
-        blocks = pa.Table.from_batches(list(S._blocks(iter([batch])))).sort_by([(c, "ascending") for c in ("anchor", "block", "did", "th", "start")])
-        asks = pa.Table.from_batches(list(S._asked(iter(blocks.combine_chunks().to_batches())))).to_pylist()
-        covers = [(r["did"], r["start"], r["span"]) for r in asks if r["kind"] == S.COVER]
-        by = {}
-        for r in asks:
-            if r["kind"] != S.COVER:
-                by.setdefault(r["did"], []).append({k: r[k] for k in ("kind", "key", "start", "span")})
-        asked = pa.array([by.get(i) for i, _ in rows], pa.list_(pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("start", pa.int32()), ("span", pa.int32())])))
-        joined = pa.RecordBatch.from_arrays([*batch.columns, asked], ["did", "th", "text", "asked"])
-        parts = pa.Table.from_batches(list(S._parts(iter([joined])))).sort_by([(c, "ascending") for c in ("key", "did", "th", "start")])
-        more = pa.Table.from_batches(list(S._covered(iter(parts.combine_chunks().to_batches())))).to_pylist()
-        covers += [(r["did"], r["start"], r["span"]) for r in more]
-        out = {}
-        for i, t in rows:
-            found = S.spans([(s << 32) | n for d, s, n in covers if d == i], len(t.encode()), False)
-            out[i] = sum(e - s for s, e in found)
-        return out
 
-    want = {i: removed for i, _, removed, _, _ in _plain(rows)}
-    assert flow() == want
-    for chunk in (S.CHUNK, 3000):
-        for heavy in (1, 4096):
-            monkeypatch.setattr(S, "HEAVY_SIDE", heavy)
-            monkeypatch.setattr(S, "CHUNK", chunk)
-            assert flow() == want
+def test_internal_names_as_extra_columns(spark):
+    names = ["row", "body", "did", "th", "at", "first", "again", "of", "of_th", "asked", "covers", "key", "block", "meta", "kind", "start", "span", "delta", "sliced", "n", "_did", "_th", "_covers", "_nth", "_of", "a.b"]
+    rows = _rows(6)[:20]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for some in (docs, docs.unionAll(docs)):
+        cut = S.cut_repeats(some)
+        assert cut.columns == docs.columns and cut.count() == some.count()
+        assert {tuple(r)[2:] for r in cut.collect()} == {tuple(range(len(names)))}
+
+
+def test_all_null(docs_of):
+    got = S.digests(S.repeated_spans(docs_of([(None, None), (None, None), (1, None)]))).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(0, 0, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0)]
