@@ -56,6 +56,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that is not read any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, even where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
@@ -76,6 +82,6 @@ def packed_row(docs: DataFrame, *without: str) -> Column:
     return F.struct(*(F.col(quoted(c)) for c in docs.columns if c not in without))
 
 
-def unpacked_row(row: Column, columns: list[str], **new: Column) -> list[Column]:
+def unpacked_row(row: Column, columns: list[str], /, **new: Column) -> list[Column]:
     """The columns of a packed row, in order, with new values for some."""
     return [(new[c] if c in new else row.getField(c)).alias(c) for c in columns]

@@ -5,9 +5,12 @@ keys with probability (1 - s ** ROWS) ** BANDS at similarity s, which is 0.00007
 the sets themselves. First the neighbours in each key's order are tested, then every pair of a key that is not in one component yet,
 so the components are those of all similar candidates, while a group of copies needs no pairs of all with all.
 
+Rows are told apart by id and a hash of their text, ordered by both, null ids last; so rows of one id with different texts are documents
+of their own, and rows equal in both are copies.
+
 Defined results: texts without a word have equal, empty sets; a text of fewer words than a shingle is one shingle. Rows with a null id
-get the component of their set (null where no row of that set has an id) and link nothing. Repeated rows and ids count once and are
-returned each. Only id and text are read.
+link like any other; a component without an id has the id null. near_duplicates() returns repeated rows each, keep_first() one of them.
+Other columns, of any names, are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copresence.llm.common import written
+from copresence.llm.common import packed_row, unpacked_row, written
 from copresence.llm.components import components
 from copresence.llm.simhash import SEED, shingle_hashes
 
@@ -50,23 +53,28 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (least * _MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
 
 
-def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+LAST = (1 << 63) - 1  # stands for null ids
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> list:
+    """Columns did, th: the row's identity; and text."""
+    body = F.col(text).cast("string")
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), body.alias("text")]
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, keys) of each row."""
+    """(did, th, node, keys) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, keys = np.zeros(b.num_rows, np.uint64), []
-            for i, t in enumerate(b.column(1)):
+            for i, t in enumerate(b.column(2)):
                 hashes = shingle_set(t.as_py(), width)
                 nodes[i] = node_of(hashes)
                 keys.append(band_keys(hashes).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["did", "th", "node", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, keys array<long>")
+    return docs.mapInArrow(run, "did long, th long, node long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -98,15 +106,14 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """(doc_id, component_id) of each row: the smallest id of the documents that similar ones connect."""
-    docs = _read(docs, doc_id, text)
+def _classes(docs: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """docs(did, th, text) -> (did, th, node) of each row, and (node, first) with the (did, th) that comes first in the node's component."""
     prints = written(_prints(docs, width))
-    nodes = written(prints.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
+    nodes = written(prints.groupBy("node").agg(F.min(F.struct("did", "th")).alias("first"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", "first", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     keyed = written(keyed.join(shared, "key", "left_semi"))
-    wanted = docs.join(keyed.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = docs.join(keyed.select("first.did", "first.th").distinct(), ["did", "th"], "left_semi")
     sets = written(_sets(wanted, width).dropDuplicates(["node"]))
 
     before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
@@ -121,6 +128,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = components(links.unionAll(similar(apart, sets, least)))
 
     joined = nodes.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least_ids = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = joined.join(least_ids, "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "component_id")
+    firsts = joined.groupBy("root").agg(F.min("first").alias("of_all"))
+    return prints.select("did", "th", "node"), joined.join(firsts, "root").select("node", F.col("of_all").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(doc_id, component_id) of each row: the smallest id of the documents that similar ones connect."""
+    prints, classes = _classes(docs.select(*_keyed(docs, doc_id, text)), width, least)
+    found = prints.join(classes, "node", "left")
+    null = lambda c: F.nullif(F.col(c), F.lit(LAST))
+    return found.select(null("did").alias("doc_id"), null("first.did").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """One row, the first, of each component."""
+    keyed = docs.select(packed_row(docs, text).alias("row"), *_keyed(docs, doc_id, text))
+    prints, classes = _classes(keyed.select("did", "th", "text"), width, least)
+    firsts = written(classes.select("first.did", "first.th").distinct())
+    kept = keyed.join(firsts, ["did", "th"], "left_semi")
+    if not prints.join(firsts, ["did", "th"], "left_semi").groupBy("did", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["did", "th"])
+    return kept.select(*unpacked_row(F.col("row"), docs.columns, **{text: F.col("text")}))

@@ -3,9 +3,9 @@
 Each line is judged by itself (end punctuation, navigation, boilerplate); lines that fail are removed; a document that
 loses too much of its text, or fails the base rules, is rejected.
 
-Defined results: a null or empty text has no words, fails the base rules and keeps an empty text. Null in any other column,
-repeated rows and clashing names of extra columns have no effect: the operator reads only the text column and adds one
-struct column. Lines without a word are neither kept nor lost.
+Defined results: a null or empty text has no words, fails the base rules and keeps an empty text. Null in any other column and
+repeated rows have no effect: the operator reads only the text column and adds one struct column, in place of a column of that
+name. Lines without a word are neither kept nor lost. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copresence.llm.common import let, table, words_of
+from copresence.llm.common import let, quoted, table, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: Phrases of web furniture. A line of at most `boilerplate_words` words that holds one is boilerplate.
@@ -100,7 +100,7 @@ def repeated_window_words(words: Column) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", out: str = "quality", rules: LineRules = LineRules()) -> DataFrame:
-    """docs with a struct column `out`: the counts, base_failed, kept, lost_chars, line_chars, n_lines_removed, clean_text."""
+    """docs (out may not be the text's own name) with a struct column `out`: the counts, base_failed, kept, lost_chars, line_chars, n_lines_removed, clean_text."""
     whole = F.coalesce(F.col(text), F.lit(""))
     total = lambda lines: F.char_length(F.array_join(lines, "")).cast("long")
 
@@ -140,9 +140,9 @@ def judge(docs: DataFrame, text: str = "text", out: str = "quality", rules: Line
         )
         return let(flags, lambda f: F.struct(f["n_symbols"].alias("n_symbols"), let(F.filter(lines, has_word), lambda worded: of_lines(lines, worded, f)).alias("l")))
 
-    parts = docs.withColumn(
-        out, F.struct(let(words_of(F.col(text)), of_words).alias("w"), let(F.split(whole, "\n"), of_text).alias("t"))
-    )
+    # a generator of one row: filters on the verdict stay above it, so the rules are evaluated once
+    found = F.struct(let(words_of(F.col(text)), of_words).alias("w"), let(F.split(whole, "\n"), of_text).alias("t"))
+    parts = docs.select(*(F.col(quoted(c)) for c in docs.columns if c != out), F.explode_outer(F.array(found)).alias(out))
     w, t = F.col(out)["w"], F.col(out)["t"]
     l = t["l"]
     failed = (w["n_words"] < rules.min_words) | (w["n_repeat_words"] * 100 > w["n_words"] * rules.max_repeat_percent)

@@ -2,7 +2,6 @@
 
 import random
 
-import corpus_pipeline
 from copresence.llm import near_sets
 
 
@@ -46,7 +45,16 @@ def test_matches_all_pairs(docs_of):
     assert near_sets.near_duplicates(docs_of([])).collect() == []
 
 
-def test_stage_drops_edited_copies(spark, docs_of):
+def test_keep_first_drops_edited_copies(docs_of):
     rows = _rows()
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "")
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(_plain_roots(rows).values()))
+    docs = docs_of(rows)
+    kept = near_sets.keep_first(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(_plain_roots(rows).values())) and kept.columns == docs.columns
+    assert near_sets.keep_first(docs_of([])).collect() == []
+
+
+def test_rows_of_one_id_and_null_ids(docs_of):
+    """Rows of one id with different texts are documents of their own; copies go whatever their ids are."""
+    rows = [(1, "one two three"), (1, "four five six"), (1, "one two three"), (2, "four five six"), (None, "seven"), (None, "seven"), (None, "eight"), (3, "eight")]
+    kept = sorted((r.doc_id or 0, r.text) for r in near_sets.keep_first(docs_of(rows)).collect())
+    assert kept == [(0, "seven"), (1, "four five six"), (1, "one two three"), (3, "eight")]

@@ -42,3 +42,43 @@ def test_empty(spark, tmp_path):
     _, _, docs = _documents(spark)
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+#: Names that the operators use inside.
+INSIDE = (
+    "row", "body", "did", "th", "at", "first", "again", "of", "of_th", "asked", "covers", "key", "block", "meta", "kind", "start", "span", "delta", "sliced",
+    "lang_pred", "score", "quality", "node", "keys", "hashes", "root", "a", "b", "piece", "length", "ids_crc32", "_salt", "_key", "_part", "_base", "_inside",
+    "rank", "sequence_id", "offset", "_lang", "_score", "_quality", "_th", "_did", "_covers", "_nth", "_of", "n", "label", "kept", "a.b", "h", "c",
+)
+
+
+def test_stages_leave_extra_columns_alone(spark, tmp_path):
+    _, _, docs = _documents(spark)
+    more = docs.selectExpr("*", *(f"CAST(concat(doc_id, ' {n}') AS STRING) AS `{n}`" for n in INSIDE))
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.write.parquet(str(tmp_path / "plain.parquet"))
+    with_more, plain = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "plain.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        for kind, rows in (("more", with_more), ("plain", plain)):
+            stage(spark, rows, str(tmp_path)).write.parquet(str(tmp_path / f"{kind}{k}"))
+        with_more, plain = (spark.read.parquet(str(tmp_path / f"{kind}{k}")) for kind in ("more", "plain"))
+        assert with_more.columns == more.columns, name
+        got = with_more.collect()
+        assert sorted(tuple(r)[: len(plain.columns)] for r in got) == sorted(tuple(r) for r in plain.collect()), name
+        assert all(r[len(plain.columns) + i] == f"{r.doc_id} {n}" for r in got for i, n in enumerate(INSIDE)), name
+    last = [stage(spark, rows, "").collect() for rows in (with_more, plain) for _, stage in corpus_pipeline.STAGES[-1:]]
+    assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in last[0]) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in last[1])
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    clean, _, docs = _documents(spark)
+    text = clean[0]
+    rows = [(1, text), (1, text), (None, text), (None, clean[1]), (None, clean[1]), (1, clean[2]), (2, clean[3])]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1, 1, 2]
+
+
+def test_rules_are_evaluated_once(spark):
+    _, _, docs = _documents(spark)
+    plan = corpus_pipeline.clean_lines(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("all rights reserved") <= 3  # one evaluation names the phrases in the flags and in both uses of the line rules

@@ -50,14 +50,6 @@ def test_matches_brute_force(docs_of):
             assert (r.fp & (2**64 - 1), r.component_id) == (prints[r.doc_id], roots[r.doc_id])
 
 
-def test_keep_first(docs_of):
-    docs = docs_of(_rows())
-    roots = _plain_roots({i: _plain_print(t) for i, t in _rows()})
-    kept = simhash.keep_first(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values())) and kept.columns == docs.columns
-    assert simhash.keep_first(docs_of([])).collect() == []
-
-
 def test_golay_keys_meet_within_two_bits():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 23, 2000)
