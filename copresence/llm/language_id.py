@@ -1,191 +1,190 @@
 """Language identification with a blended-spectrum string kernel.
 
-k(x, y) is the mean over n = 1, 2, 3 of |G_n(x) ∩ G_n(y)| / sqrt(|G_n(x)| |G_n(y)|), where G_n is the set of character
-n-grams present in a text over an alphabet of 64 symbols. Landmark texts give a Nyström feature map; one-versus-rest kernel ridge
-regression is fitted on those features, and documents are scored with two matrix products a batch.
+k(x, y) is the mean over n = 1, 2, 3 of |G_n(x) ∩ G_n(y)| / sqrt(|G_n(x)| |G_n(y)|), where G_n is the set of character n-grams present in
+a text. Letters of any script are symbols of their own, in lower case; all else is one symbol. Landmark texts give a Nyström feature map;
+one-versus-rest kernel ridge regression is fitted on those features, and documents are scored with two matrix products a batch.
 
 Defined results: null text, or text without a letter, gives `und` and 0; so does everything where no labelled row exists.
 Ties go to the language that sorts first. Text is scored whole, row by row, so repeated rows get equal results. Null labels and
-null ids only keep a row out of training. Extra columns pass through untouched.
+null ids only keep a row out of training; rows equal in id, text and label count once there. Extra columns of any names pass through, but
+for those that the results replace. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copresence.llm.common import cut, table
+from copresence.llm.common import cut, quoted, table
 
 UNDETERMINED = "und"
-OTHER, SPACE, NAMED = 63, 0, 62
 ORDERS = (1, 2, 3)
-SIZES = tuple(64**n for n in ORDERS)
-STARTS = tuple(int(x) for x in np.cumsum((0, *SIZES[:-1])))
-GRAMS = sum(SIZES)
+#: Bits of a symbol in the code of an n-gram; an n-gram's code has its order on top.
+BITS = 20
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the labelled sample: expected rows over all languages, landmarks among them; ridge strength."""
+    """Bounds of the labelled sample: rows over all languages, landmarks among them, languages (the most frequent ones); ridge strength."""
 
     sample_rows: int = 3000
     landmark_rows: int = 120
+    most_languages: int = 500
     ridge: float = 1e-2
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbols: str = ""
+    grams: np.ndarray | None = None  # the sorted n-grams of all landmarks
     landmarks: np.ndarray | None = None  # grams x landmarks, each column scaled by 1 / sqrt(|G_n|)
-    rows: np.ndarray | None = None  # gram -> row of landmarks, -1 for grams that no landmark has
     weights: np.ndarray | None = None  # landmarks x languages, the last row the intercepts
-    _cache: dict = field(default_factory=dict, repr=False)
 
 
-def letters() -> np.ndarray:
-    """True for every code point that is a letter."""
-    flags = np.zeros(0x110000, bool)
+def symbol_table() -> np.ndarray:
+    """Code point -> symbol: 0 for what is no letter, else a number for the letter in lower case (its code point, less what is over 20 bits)."""
+    codes = np.zeros(0x110000, np.int64)
     for c in range(0x110000):
         if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha():
-            flags[c] = True
-    return flags
-
-
-def symbol_table(symbols: str, is_letter: np.ndarray) -> np.ndarray:
-    """Code point -> symbol: 0 for what is no letter, 1 to 62 for the named letters, 63 for other letters."""
-    codes = np.where(is_letter, OTHER, SPACE).astype(np.uint8)
-    for i, c in enumerate(symbols, 1):
-        codes[ord(c)] = i
-        if len(c.upper()) == 1:
-            codes[ord(c.upper())] = i
+            low = chr(c).lower()
+            codes[c] = (ord(low) if len(low) == 1 else c) & ((1 << BITS) - 1)
     return codes
 
 
 def grams(text: str, codes: np.ndarray) -> np.ndarray:
-    """Sorted ids of the n-grams that are present in a text framed by spaces."""
+    """Sorted codes of the n-grams that are present in a text framed by spaces."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    s = np.zeros(len(points) + 2, np.int32)
+    s = np.zeros(len(points) + 2, np.int64)
     s[1:-1] = codes[points]
     out, code = [], s
-    for n, start, size in zip(ORDERS, STARTS, SIZES, strict=True):
+    for n in ORDERS:
         if n > 1:
-            code = code[:-1] * 64 + s[n - 1 :]
-        flags = np.zeros(size, bool)
-        flags[code] = True
-        out.append(np.flatnonzero(flags) + start)
+            code = (code[:-1] << BITS) | s[n - 1 :]
+        ordered = np.sort(code)
+        out.append(ordered[np.append(True, ordered[1:] != ordered[:-1])] | (n << (3 * BITS)))
     return np.concatenate(out)
 
 
 def scales(present: np.ndarray) -> np.ndarray:
     """For each gram of a text, 1 / sqrt(|G_n|) of its order n, over the number of orders."""
-    order = np.searchsorted(STARTS, present, "right") - 1
+    order = (present >> (3 * BITS)) - 1
     return 1 / np.sqrt(np.bincount(order, minlength=len(ORDERS))[order] * len(ORDERS))
 
 
-def kernel(texts: list[str], codes: np.ndarray, landmarks: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Texts x landmarks. rows: gram -> row of `landmarks`, or -1 for grams that no landmark has."""
+def kernel(texts: list[str], codes: np.ndarray, landmarks: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Texts x landmarks. known: the grams of the rows of `landmarks`; others have no part in any product."""
     x = np.zeros((len(texts), len(landmarks)), np.float32)
     for i, text in enumerate(texts):
         present = grams(text, codes)
-        at = rows[present]
-        known = at >= 0
-        x[i, at[known]] = scales(present)[known]
+        at = np.minimum(np.searchsorted(known, present), len(known) - 1)
+        hit = known[at] == present
+        x[i, at[hit]] = scales(present)[hit]
     return x @ landmarks
 
 
-def _alphabet(sample: DataFrame) -> str:
-    """The 62 most frequent letters of the sample, counted by Spark."""
-    letter = F.explode(F.split(F.lower("text"), "")).alias("c")
-    counted = sample.select(letter).filter(F.rlike("c", F.lit(r"^\p{L}$"))).groupBy("c").count().orderBy(F.desc("count"), "c").limit(NAMED)
-    return "".join(r.c for r in counted.collect() if len(r.c) == 1)
+def sampled(docs: DataFrame, settings: Fit) -> tuple[list[str], DataFrame]:
+    """Languages, and a sample (lang, text, h) of at most settings.sample_rows rows (8 a language at least) of docs(doc_id, text, lang), about
+    equally many of each language; h orders them. Which rows it holds depends on a hash of id and text alone."""
+    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
+    most = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_languages).collect()
+    counts = {r.lang: r.n for r in most}
+    if not counts:
+        return [], usable
+    share = max(8, settings.sample_rows // len(counts))
+    # twice the share is expected to pass; the exact bound is drawn from that
+    rate = F.create_map(*(x for l, n in sorted(counts.items()) for x in (F.lit(l), F.lit(min(1.0, 2 * share / n)))))
+    h = F.xxhash64("doc_id", "text")
+    chance = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+    passed = usable.select("lang", "text", h.alias("h")).filter(chance < rate[F.col("lang")])
+    once = passed.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    within = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("h"), F.lit(1 << 40)), "h"))
+    return sorted(counts), once.withColumn("place", within).filter(F.col("place") <= share)
 
 
 def fit(docs: DataFrame, settings: Fit = Fit()) -> Model:
-    """Fit on labelled rows of docs(doc_id, text, lang). The sample is bounded by `settings`, each language getting an equal share;
-    which rows it holds depends on a hash of doc_id alone."""
-    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    languages = sorted(counts)
+    """Fit on labelled rows of docs(doc_id, text, lang), on a sample of rows that `settings` bounds."""
+    languages, sample = sampled(docs, settings)
     if not languages:
         return Model([])
-    share = max(8, settings.sample_rows // len(languages))
-    rate = F.create_map(*(x for l in languages for x in (F.lit(l), F.lit(min(1.0, share / counts[l])))))
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = cut(usable.filter(chance < rate[F.col("lang")]).select("doc_id", "text", "lang"))
-    symbols = _alphabet(sample)
-    codes = symbol_table(symbols, letters())
+    sample = cut(sample)
+    codes = symbol_table()
     each = max(2, settings.landmark_rows // len(languages))
-    first = F.expr(f"slice(array_sort(collect_list(struct(xxhash64(doc_id, 7) AS h, doc_id))), 1, {each})")
-    chosen = sample.groupBy("lang").agg(first.alias("x")).select(F.explode("x.doc_id").alias("doc_id")).distinct()
-    picked = [r.text for r in sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").orderBy("doc_id", "text").collect()]
+    picked = [r.text for r in sample.filter(F.col("place") <= each).select("lang", "place", "text").orderBy("lang", "place").collect()]
     present = [grams(t, codes) for t in picked]
-    vocabulary = np.unique(np.concatenate(present))
-    rows = np.full(GRAMS, -1, np.int32)
-    rows[vocabulary] = np.arange(len(vocabulary))
-    landmarks = np.zeros((len(vocabulary), len(picked)), np.float32)
+    known = np.unique(np.concatenate(present))
+    landmarks = np.zeros((len(known), len(picked)), np.float32)
     for j, p in enumerate(present):
-        landmarks[rows[p], j] = scales(p)
-    shared = docs.sparkSession.sparkContext.broadcast((codes, landmarks, rows))
+        landmarks[np.searchsorted(known, p), j] = scales(p)
+    shared = docs.sparkSession.sparkContext.broadcast((landmarks, known))
 
     def kernel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = kernel(b.column(0).to_pylist(), *shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(k.astype(np.float64)), pa.list_(pa.float64()))], ["lang", "k"])
+        codes = _symbols()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                k = kernel(b.column(0).to_pylist(), codes, *shared.value)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(k.astype(np.float64)), pa.list_(pa.float64()))], ["lang", "k"])
 
     got = sample.select("text", "lang").mapInArrow(kernel_rows, "lang string, k array<double>").collect()
     k = np.array([r.k for r in got])
     y = np.where(np.array([r.lang for r in got])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     between = landmarks.astype(np.float64).T @ landmarks
+    return Model(languages, known, landmarks, ridge(between, k, y, settings.ridge * len(k) / len(languages)))
+
+
+def ridge(between: np.ndarray, k: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights of landmarks, and intercepts, of ridge regression on Nyström features. between: kernel of the landmarks; k: of the sample
+    with them; y: sample x languages, 1 or -1."""
     value, vector = np.linalg.eigh(between)
     good = value > 1e-8 * value.max()
     whiten = vector[:, good] / np.sqrt(value[good])
     z = np.hstack([k @ whiten, np.ones((len(k), 1))])
-    penalty = settings.ridge * len(z) / len(languages) * np.eye(z.shape[1])
-    penalty[-1, -1] = 0
-    beta = np.linalg.solve(z.T @ z + penalty, z.T @ y)
-    return Model(languages, symbols, landmarks, rows, np.vstack([whiten @ beta[:-1], beta[-1:]]))
+    diagonal = penalty * np.eye(z.shape[1])
+    diagonal[-1, -1] = 0
+    beta = np.linalg.solve(z.T @ z + diagonal, z.T @ y)
+    return np.vstack([whiten @ beta[:-1], beta[-1:]])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score", batch: int = 256) -> DataFrame:
+_SYMBOLS: list[np.ndarray] = []
+
+
+def _symbols() -> np.ndarray:
+    """The table of symbols, built once a worker."""
+    if not _SYMBOLS:
+        _SYMBOLS.append(symbol_table())
+    return _SYMBOLS[0]
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score", batch: int = 64) -> DataFrame:
     """docs with two more columns, in place of any of the same names: the predicted language and a score from 0 to 1."""
-    docs = docs.drop(label, score)
+    docs = docs.select(*(F.col(quoted(c)) for c in docs.columns if c not in (label, score)))
     if not model.languages:
         return docs.withColumns({label: F.lit(UNDETERMINED), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _prepared(shared.value)
+        model, codes = shared.value, _symbols()
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), batch):
                 part = whole.slice(at, batch)
-                labels, values = classify(part.column(part.schema.names.index(text)).to_pylist(), *state)
+                labels, values = classify(part.column(part.schema.names.index(text)).to_pylist(), model, codes)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(values, pa.float64())], [*part.schema.names, label, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(scored, schema)
 
 
-def _prepared(model: Model):
-    """What classify() needs, built once a worker and model."""
-    if "state" not in model._cache:
-        is_letter = letters()
-        codes = symbol_table(model.symbols, is_letter)
-        model._cache["state"] = (model, codes, model.rows)
-    return model._cache["state"]
-
-
-def classify(texts: list[str | None], model: Model, codes: np.ndarray, rows: np.ndarray) -> tuple[list[str], list[float]]:
+def classify(texts: list[str | None], model: Model, codes: np.ndarray) -> tuple[list[str], list[float]]:
     labels, values = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     have = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
     if have:
-        k = kernel([texts[i] for i in have], codes, model.landmarks, rows)
+        k = kernel([texts[i] for i in have], codes, model.landmarks, model.grams)
         s = k.astype(np.float64) @ model.weights[:-1] + model.weights[-1]
         best = s.argmax(1)
         for i, b, v in zip(have, best, np.clip((s.max(1) + 1) / 2, 0, 1), strict=True):
