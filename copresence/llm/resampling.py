@@ -1,36 +1,55 @@
 """Quality classifier by importance resampling.
 
-Two bags of hashed word 1-grams and 2-grams, one of target texts and one of all raw texts, are generative models; a text's weight is the
-log ratio of its probability under them. Adding Gumbel noise to the weights and taking the top k samples k texts without
-replacement in proportion to their weights. The noise is a hash of the id and the seed, so results can be repeated.
-
-Defined results: null or empty text has weight 0. Weights are for each feature on average times a bounded length, so that very long
-texts do not win or lose by length alone. Ties in the key go to the smaller id, then arbitrarily among repeated rows. Without target
-texts all weights are 0. Null ids get a noise of their own. Extra columns do not matter.
+Two bags of hashed word 1-grams and 2-grams, one of target texts and one of all raw texts, are generative models; a text's log weight is
+the log ratio of its probability under them, over the whole text. Adding Gumbel noise to the log weights and taking the top k samples k
+texts without replacement in proportion to weight.
+
+Defined results: null or empty text has weight 0. Exactly ceil(share * n) rows are kept: ties in the key go to the smaller id, null ids
+last, then to the smaller hash of the text, and among rows equal in all of these it does not matter which. Noise is a hash of the id and
+the seed, so results can be repeated; rows whose id is null or not their own draw noise of their own, by their place in the table. Without
+target texts all weights are 0. Extra columns of any names are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copresence.llm.common import table, written
 
 BUCKETS = 10_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
+_PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class WordHashes(dict):
+    """Hash of each distinct word, kept in a table of bounded size."""
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 7)
+        return out
+
+    def of(self, words: list[str], limit: int = 500_000) -> np.ndarray:
+        if len(self) > limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_WORDS = WordHashes()
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     """Bucket of each word and word pair."""
-    words = [w.encode("utf-8", "replace") for w in TOKEN.findall((text or "").lower())]
-    crc = zlib.crc32
-    return np.array([crc(w) for w in words] + [crc(b + b" ", crc(a + b" ")) for a, b in zip(words, words[1:], strict=False)], np.int64) % buckets
+    h = _WORDS.of(TOKEN.findall((text or "").lower()))
+    pairs = (h[:-1] * _PAIR) ^ (h[1:] + _MIX)
+    pairs = (pairs ^ (pairs >> np.uint64(29))) * _MIX
+    return (np.concatenate([h, pairs ^ (pairs >> np.uint64(32))]) % np.uint64(buckets)).astype(np.int64)
 
 
 def bag(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
@@ -51,73 +70,103 @@ def bag(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
     return out
 
 
-def weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, most_features: int = 200) -> DataFrame:
-    """(doc_id, weight): mean log ratio a feature, times the number of features up to `most_features`."""
-    raw, wanted = bag(docs, text, buckets), bag(target, text, buckets)
-    ratio = np.log((wanted + 1) / (wanted.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
-    shared = docs.sparkSession.sparkContext.broadcast(ratio if wanted.any() else np.zeros(buckets))
+def log_ratios(raw: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket's probability, with add-one smoothing; zeros without target texts."""
+    if not wanted.any():
+        return np.zeros(len(raw))
+    return np.log((wanted + 1) / (wanted.sum() + len(raw))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+
+
+def weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, th, weight): the log weight of each row, and a hash of its text."""
+    shared = docs.sparkSession.sparkContext.broadcast(log_ratios(bag(docs, text, buckets), bag(target, text, buckets)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                f = features(t, buckets)
-                out.append(float(shared.value[f].mean() * min(len(f), most_features)) if len(f) else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "weight"])
+            out = [float(shared.value[features(t, buckets)].sum()) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.float64())], ["doc_id", "th", "weight"])
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, weight double")
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
+    return given.mapInArrow(run, "doc_id long, th long, weight double")
 
 
-def keep_top(rows: DataFrame, key: str, share: float) -> DataFrame:
-    """rows with `kept`: true for the ceil(share * n) largest keys, smaller doc_id first among equals. The kth (key, id) is found by
-    narrowing ranges of keys with counts a thousand at a time; no task sorts more than what shares one key's range."""
+def keep_top(rows: DataFrame, key: str, share: float, most_tied: int = 100_000) -> DataFrame:
+    """rows(doc_id, th, ...) with `kept`: true for exactly ceil(share * n) rows, the largest by key, then smallest by id (null last) and th.
+    The order is turned into whole numbers one after another, and the kth of each is found by narrowing ranges with a thousand counts at
+    a time; so no task ever sorts more than the rows that are equal in all of them, in salted parts."""
     n = rows.count()
     k = int(np.ceil(share * n))
     if k >= n:
         return rows.withColumn("kept", F.lit(True))
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    above, cells = 0, 1000
+    last = F.lit((1 << 63) - 1)
+    edge, above = F.lit(True), 0
+    wins = F.lit(False)
+    for column in (-F.col(key), F.coalesce(F.col("doc_id"), last), F.col("th")):
+        tied = rows.filter(edge).select(column.alias("x"))
+        value, before = _kth(tied, k - above)
+        wins = wins | (edge & (column < F.lit(value)))
+        edge = edge & (column == F.lit(value))
+        above += before
+    same = rows.filter(edge).count()
+    if above + same == k:
+        return rows.withColumn("kept", wins | edge)
+    # equal in all: so many of each part of them, by their place in it
+    parts = max(1, -(-same // most_tied))
+    marked = rows.withColumns({"edge": edge, "wins": wins, "part": F.when(edge, F.pmod(F.monotonically_increasing_id(), F.lit(parts)))})
+    marked = written(marked)
+    sizes = {r.part: r.n for r in marked.filter("edge").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    need, quota = k - above, {}
+    for part, size in sorted(sizes.items()):
+        quota[part] = min(size, need)
+        need -= quota[part]
+    limit = F.create_map(*(F.lit(x) for pair in sorted(quota.items()) for x in pair))[F.col("part")]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.lit(0)))
+    chosen = marked.filter("edge").withColumn("kept", place <= limit)
+    return chosen.unionByName(marked.filter("NOT edge").withColumn("kept", F.col("wins"))).drop("edge", "wins", "part")
+
+
+def _kth(rows: DataFrame, k: int, cells: int = 1000):
+    """The kth smallest x of rows(x), and how many are smaller."""
+    low, high = rows.agg(F.min("x"), F.max("x")).first()
+    before = 0
     while low < high:
-        width = (high - low) / cells
-        cell = F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((F.col(key) - low) / F.lit(width)))) if width > 0 else F.lit(0)
-        inside = rows.filter((F.col(key) >= low) & (F.col(key) <= high)).select(key, cell.alias("cell"))
-        counts = inside.groupBy("cell").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy(F.desc("cell")).collect()
+        # by doubles, so that ranges of whole numbers of 64 bits do not overflow
+        width = (float(high) - float(low)) / cells
+        x = F.col("x").cast("double")
+        cell = F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((x - F.lit(float(low))) / F.lit(width)))) if width > 0 else F.lit(0)
+        inside = rows.filter((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high))).select("x", cell.alias("cell"))
+        counts = inside.groupBy("cell").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("cell").collect()
         for r in counts:
-            if above + r.n >= k:
+            if before + r.n >= k:
                 break
-            above += r.n
-        if (r.low, r.high) == (low, high):
-            break
-        low, high = r.low, r.high
-    # all keys in low..high are equal now (or cannot be told apart by width): ids decide, by the same counting over hashed parts
-    tied = rows.filter((F.col(key) >= low) & (F.col(key) <= high))
-    need = k - above
-    bound = _smallest_ids(tied, need)
-    by_id = F.lit(True) if bound is None else (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) <= bound)
-    return rows.withColumn("kept", (F.col(key) > high) | ((F.col(key) >= low) & by_id))
-
-
-def _smallest_ids(rows: DataFrame, need: int) -> int | None:
-    """The need-th smallest id of rows, by bisection on counts; null ids come last."""
-    ids = rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"))
-    total = ids.count()
-    if need >= total:
-        return None
-    low, high = ids.agg(F.min("i"), F.max("i")).first()
-    while low < high:
-        middle = (low + high) // 2
-        if ids.filter(F.col("i") <= middle).count() >= need:
-            high = middle
+            before += r.n
+        if (r.low, r.high) == (low, high):  # doubles tell no more apart: by halves
+            middle = (low + high) // 2 if isinstance(low, int) else low
+            n = rows.filter((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(middle))).count()
+            if before + n >= k:
+                high = middle
+            else:
+                before += n
+                low = rows.filter(F.col("x") > F.lit(middle)).agg(F.min("x")).first()[0]
         else:
-            low = middle + 1
-    return low
+            low, high = r.low, r.high
+    return low, before
+
+
+def noise(doc_id, own, place, seed: int):
+    """Gumbel noise from a hash of the id; of rows without an id of their own, from that of their place too."""
+    unit = (F.pmod(F.when(own, F.xxhash64(doc_id, F.lit(seed))).otherwise(F.xxhash64(doc_id, place, F.lit(seed))), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    return -F.log(-F.log(unit))
 
 
 def resample(docs: DataFrame, target: DataFrame, share: float = 0.85, seed: int = 17) -> DataFrame:
-    """(doc_id, weight, key, kept) of each row of docs(doc_id, text): a sample of ceil(share * n) rows."""
-    unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-    keyed = weights(docs, target).withColumn("key", F.col("weight") - F.log(-F.log(unit)))
-    return keep_top(written(keyed), "key", share)
+    """(doc_id, weight, key, kept) of each row of docs(doc_id, text): a sample of exactly ceil(share * n) rows."""
+    weighed = written(weights(docs, target).withColumn("place", F.monotonically_increasing_id()))
+    shared = weighed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("of"))
+    own = F.col("doc_id").isNotNull() & F.col("of").isNull()
+    marked = weighed.join(shared, F.col("doc_id") == F.col("of"), "left")
+    keyed = marked.withColumn("key", F.col("weight") + noise(F.col("doc_id"), own, F.col("place"), seed)).select("doc_id", "th", "weight", "key")
+    return keep_top(written(keyed), "key", share).drop("th")
 
 
 def bounded_sample(ids: DataFrame, most: int, seed: int = 5) -> DataFrame:

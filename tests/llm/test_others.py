@@ -80,12 +80,46 @@ def test_weights_follow_their_definition(docs_of):
 @pytest.mark.parametrize("keys", [[1.0] * 40, [float(i % 7) for i in range(40)], [math.exp(i) for i in range(40)], [-0.0, 0.0] * 20])
 @pytest.mark.parametrize("share", [0.01, 0.3, 0.999, 1.0])
 def test_top_share_is_exact(spark, keys, share):
-    df = spark.createDataFrame(list(enumerate(keys)), "doc_id long, key double")
+    df = spark.createDataFrame([(i, 0, k) for i, k in enumerate(keys)], "doc_id long, th long, key double")
     kept = sorted(r.doc_id for r in resampling.keep_top(df, "key", share).collect() if r.kept)
     want = sorted(sorted(range(len(keys)), key=lambda i: (-keys[i], i))[: math.ceil(share * len(keys))])
     assert kept == want
 
 
+@pytest.mark.parametrize("kind", ["one row", "one id", "null ids", "mixed", "far ids"])
+def test_exactly_so_many_rows_are_kept(spark, kind):
+    """Repeated rows, ids and keys against a sort."""
+    make = {
+        "one row": lambda i: (7, 3, 1.0), "one id": lambda i: (7, i * 997 % 41, 1.0), "null ids": lambda i: (None, i % 3, 2.0),
+        "mixed": lambda i: (None if i % 3 == 0 else i % 5, i % 2, float(i % 2)), "far ids": lambda i: ((1 << 62) - i if i % 2 else i - (1 << 62), (-1) ** i * (1 << 62), 0.0),
+    }[kind]
+    rows = [make(i) for i in range(43)]
+    df = spark.createDataFrame(rows, "doc_id long, th long, key double").repartition(3)
+    order = sorted(rows, key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1]))
+    for share in (0.05, 0.3, 0.6):
+        got = resampling.keep_top(df, "key", share, most_tied=5).collect()
+        assert len(got) == len(rows)
+        want = order[: math.ceil(share * len(rows))]
+        assert sorted(map(str, ((r.doc_id, r.th, r.key) for r in got if r.kept))) == sorted(map(str, want))
+
+
+def test_keys_are_weights_with_noise(spark, docs_of):
+    """Gumbel keys, by hand; rows of one id and null ids draw noise of their own; the sample has exactly its share of rows."""
+    rows = [(i, f"word{i} here") for i in range(30)] + [(None, "a b")] * 20 + [(99, "same text")] * 40
+    docs, target = docs_of(rows), docs_of([(1, "word1 here")])
+    got = resampling.resample(docs, target, share=0.3, seed=17).collect()
+    assert len(got) == 90 and sum(r.kept for r in got) == 27
+    low = min(r.key for r in got if r.kept)
+    assert all(r.kept == (r.key >= low) for r in got)
+    hashes = {r.doc_id: r.h for r in spark.sql("SELECT id AS doc_id, xxhash64(id, 17) AS h FROM range(30)").collect()}
+    for r in got:
+        if r.doc_id in hashes:
+            unit = (hashes[r.doc_id] % (1 << 52) + 0.5) / (1 << 52)
+            assert r.key == pytest.approx(r.weight - math.log(-math.log(unit)))
+    for i, n in ((None, 20), (99, 40)):
+        assert len({r.key for r in got if r.doc_id == i}) == n
+
+
 def test_sample_is_bounded_and_whole_if_it_fits(spark):
     ids = spark.range(5000).withColumnRenamed("id", "doc_id")
     assert resampling.bounded_sample(ids, 5000).count() == 5000 and resampling.bounded_sample(ids.limit(0), 10).count() == 0
