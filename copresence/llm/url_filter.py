@@ -1,10 +1,12 @@
 """URL filters: host and path rules first, then naive Bayes over segmented host and path tokens.
 
-Names in hosts are split into words by a unigram Viterbi search whose counts come from the urls of all pages. A multinomial naive
-Bayes model, fitted on all pages with labels from seed words, judges every url that no rule fits.
+Names are split into words by a unigram Viterbi search; the unigrams are counted in the texts of all pages, and in what hyphens and paths
+part in their urls. Urls that a rule fits are labelled with its verdict; a multinomial naive Bayes model over their words, with more
+prior weight for words that are known to be unwanted, judges every url that no rule fits.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and has no token, so the class prior
-decides. Equal scores give `allow`. Rows are judged one by one: repeated rows and null ids change nothing but the counts.
+decides; without labelled urls the classes are even. Equal scores give `allow`. A null text counts nothing. Rows are judged one by one:
+repeated rows and null ids change nothing but the counts. Extra columns of any names pass through, but for those that the results replace.
 An empty table gives an empty result.
 """
 
@@ -14,21 +16,25 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copresence.llm.common import table, written
+from copresence.llm.common import packed_row, quoted, table, unpacked_row, written
 
 #: Fixed values: (verdict, host and path) of the rules; the first slash ends the host.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words that label a host as unwanted for training.
+#: Words that are known to be unwanted. In the block class each counts as this share of its words, and PRIOR times at least.
 SEEDS = (
     "ads", "adult", "bet", "bets", "betting", "casino", "cheap", "dating", "escort", "gambling", "jackpot", "loans", "pharmacy", "pills",
     "poker", "porn", "replica", "sex", "slots", "spam", "viagra", "warez", "xxx",
 )
+PRIOR, PRIOR_SHARE = 20, 0.01
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST_WORD = 24
+#: A key with more than this share of all rows is joined by broadcast, so there are at most 1000 such keys.
+HOT_SHARE = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -67,26 +73,33 @@ def parted_words(host: Column, path: Column) -> Column:
     return F.regexp_extract_all(F.concat_ws("/", F.concat_ws("/", labels), F.lower(path)), F.lit(r"(\p{L}+)"))
 
 
+def text_words(html: Column) -> Column:
+    """Lower-case words of letters of a page's text: what is outside scripts, styles, comments, tags and entities."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w+;", " ")
+    return F.regexp_extract_all(F.lower(bare), F.lit(r"(\p{L}+)"))
+
+
 class Segmenter:
     """Unigram Viterbi: the most probable split of a name into words; a letter outside words costs more than any word, and letters
-    outside words next to each other make one token."""
+    outside words next to each other make one token. Of equal splits the one whose last word is longest counts."""
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
         total = total or sum(counts.values()) or 1
-        self.cost = {w: math.log(total / n) for w, n in counts.items() if len(w) <= LONGEST_WORD}
+        self.cost = {w: math.log(total / n) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
         self.unknown = math.log(total) + 5
-        self.seen: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
-        if name in self.seen:
-            return self.seen[name]
         best, last = [0.0] * (len(name) + 1), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
-            best[end], last[end] = best[end - 1] + self.unknown, end - 1
-            for start in range(max(0, end - LONGEST_WORD), end):
-                c = self.cost.get(name[start:end])
-                if c is not None and best[start] + c < best[end]:
-                    best[end], last[end] = best[start] + c, start
+            least, at = math.inf, end - 1
+            for n in self.lengths:
+                c = self.cost.get(name[end - n : end]) if n <= end else None
+                if c is not None and best[end - n] + c < least:
+                    least, at = best[end - n] + c, end - n
+            if best[end - 1] + self.unknown < least:
+                least, at = best[end - 1] + self.unknown, end - 1
+            best[end], last[end] = least, at
         parts, end = [], len(name)
         while end:
             parts.append(name[last[end] : end])
@@ -98,83 +111,117 @@ class Segmenter:
                 unknown = ""
             else:
                 unknown += part
-        if unknown:
-            out.append(unknown)
-        if len(self.seen) > 200_000:
-            self.seen.clear()
-        self.seen[name] = out
-        return out
-
-
-def unigrams(tokens: DataFrame, seeds=SEEDS) -> tuple[DataFrame, int]:
-    """(part, n): all words of all urls, and the seed words, with their counts; and the sum of the counts. Words are what hyphens part in
-    hosts and what paths hold; names written in one are what is to be split, so they do not count."""
-    words = tokens.select(F.explode(parted_words(F.col("host"), F.col("path"))).alias("part")).filter(F.char_length("part") > 1)
-    counted = written(words.groupBy("part").agg(F.count("*").alias("n")))
-    most = max(10, counted.agg(F.max("n")).first()[0] or 0)
-    seeded = tokens.sparkSession.createDataFrame([(s, most) for s in seeds], "part string, n long")
-    counts = counted.filter(~F.col("part").isin(*seeds)).unionAll(seeded)
+        return [*out, unknown] if unknown else out
+
+
+def unigrams(tokens: DataFrame, seeds=SEEDS, prior: int = PRIOR) -> tuple[DataFrame, int]:
+    """(part, n): every word of two letters or more of the texts, of the hyphened names and of the paths of tokens(host, path, text), and the
+    seed words, with counts; and the sum of the counts."""
+    found = [text_words(F.col("text")), parted_words(F.col("host"), F.col("path"))]
+    words = tokens.select(F.explode(F.concat(*found)).alias("part")).filter(F.char_length("part") > 1)
+    seeded = tokens.sparkSession.createDataFrame([(s, prior) for s in seeds], "part string, n long")
+    counted = words.groupBy("part").agg(F.count("*").alias("n")).unionByName(seeded)
+    counts = written(counted.groupBy("part").agg(F.sum("n").alias("n")))
     return counts, counts.agg(F.sum("n")).first()[0]
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token -> (token, part): each of its strings that a dictionary may hold."""
-    for b in batches:
-        for token in b.column(0).to_pylist():
-            parts = list({token[i:j] for i in range(len(token)) for j in range(i + 2, min(len(token), i + LONGEST_WORD) + 1)})
-            for at in range(0, len(parts), 10_000):
-                some = parts[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([token] * len(some), pa.string()), pa.array(some, pa.string())], ["token", "part"])
+def joined_by(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with facts(key, n, ...), n the number of rows with a key. Keys of very many rows are few and go by broadcast."""
+    most = (facts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot, cold = facts.filter(F.col("n") > most).drop("n"), facts.filter(F.col("n") <= most).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _parts(lengths: list[int], rows: int = 50_000):
+    """(t, token) -> (t, h): hashes of the token's strings of so many letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ts, hs = [], []
+        for b in batches:
+            for t, token in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for n in lengths:
+                    if n > len(token):
+                        break
+                    h = {xxhash.xxh64_intdigest(token[i : i + n].encode(), 42) for i in range(len(token) - n + 1)}
+                    ts += [t] * len(h)
+                    hs += h
+                    if len(hs) >= rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(np.array(hs, np.uint64).view(np.int64))], ["t", "h"])
+                        ts, hs = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(np.array(hs, np.uint64).view(np.int64))], ["t", "h"])
+
+    return run
 
 
 def segmented(tokens: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """tokens(row, raw) -> (row, words). Each distinct name is split with the dictionary words that are in it."""
-    places = tokens.select("row", F.posexplode("raw").alias("at", "token"))
-    names = written(places.select("token").distinct())
-    inside = names.mapInArrow(_parts, "token string, part string").join(counts, "part").groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("known"))
+    """tokens(row, raw) -> (row, words). Each distinct name is split once, with the dictionary words that are in it: strings of the name and
+    words of the dictionary meet by hash, and are compared as strings when the name is split."""
+    places = tokens.select("row", F.posexplode("raw").alias("at", "token")).withColumn("t", F.xxhash64("token"))
+    names = written(places.groupBy("token").agg(F.count("*").alias("n"), F.first("t").alias("t")))
+    lengths = sorted(r.x for r in counts.select(F.char_length("part").alias("x")).distinct().collect())
+    inside = names.select("t", "token").mapInArrow(_parts(lengths), "t long, h long")
+    met = inside.join(counts.withColumn("h", F.xxhash64("part")), "h").groupBy("t").agg(F.map_from_entries(F.collect_set(F.struct("part", "n"))).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [Segmenter(dict(known or ()), total).split(t) for t, known in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(split, pa.list_(pa.string()))], ["token", "split"])
+            split = [Segmenter({w: n for w, n in known or () if w in t}, total).split(t) for t, known in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(split, pa.list_(pa.string()))], ["t", "n", "split"])
 
-    splits = written(names.join(inside, "token", "left").select("token", "known").mapInArrow(run, "token string, split array<string>"))
-    found = places.join(splits, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "split"))).alias("found"))
+    splits = written(names.join(met, "t", "left").select("t", "n", "token", "known").mapInArrow(run, "t long, n long, split array<string>"))
+    found = joined_by(places.select("row", "at", "t"), splits, "t").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "split"))).alias("found"))
     return found.select("row", F.flatten("found.split").alias("words"))
 
 
-def bayes(words: DataFrame, seeds=SEEDS) -> tuple[float, DataFrame]:
-    """Log prior odds, and (w, ratio): log likelihood ratios of block over allow of every word, with add-one smoothing. A url whose words
-    hold a seed is labelled block; all urls count."""
-    labelled = words.select("words", F.arrays_overlap("words", F.lit(list(seeds))).alias("bad"))
-    n = labelled.agg(F.count_if("bad").alias("b"), F.count("*").alias("n")).first()
-    counted = written(labelled.select(F.explode("words").alias("w"), "bad").groupBy("w").agg(F.count_if("bad").alias("b"), F.count("*").alias("n")))
-    sums = counted.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
-    bad, good = sums.b + sums.words, sums.n - sums.b + sums.words
-    ratio = F.log((F.col("b") + 1) / F.lit(float(bad))) - F.log((F.col("n") - F.col("b") + 1) / F.lit(float(good)))
-    return math.log(((n.b or 0) + 1) / ((n.n or 0) - (n.b or 0) + 1)), counted.select("w", ratio.alias("ratio"))
-
-
-def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
-    """pages with host, path, rule, words, block_score (log odds of block) and verdict, in place of any columns of those names."""
-    pages = pages.drop("host", "path", "raw", "row", "rule", "words", "block_score", "verdict")
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    tokens = pages.select("*", host.alias("host"), path.alias("path")).withColumn("raw", raw_tokens(F.col("host"), F.col("path")))
-    tokens = written(tokens.withColumn("row", F.monotonically_increasing_id()))
-    found = segmented(tokens, *unigrams(tokens))
+def bayes(words: DataFrame, seeds=SEEDS, prior: int = PRIOR) -> tuple[float, DataFrame]:
+    """words(words, label) -> log prior odds, and (w, n, ratio): log likelihood ratios of block over allow of every word, with add-one
+    smoothing and the seeds' prior. n counts the word in all urls, labelled or not."""
+    bad, good = F.coalesce(F.col("label") == "block", F.lit(False)), F.coalesce(F.col("label") == "allow", F.lit(False))
+    n = words.agg(F.count_if(bad).alias("b"), F.count_if(good).alias("g")).first()
+    each = words.select(F.explode("words").alias("w"), bad.cast("long").alias("b"), good.cast("long").alias("g"), F.lit(1).cast("long").alias("n"))
+    counted = written(each.groupBy("w").agg(*(F.sum(c).alias(c) for c in "bgn")))
+    prior = max(prior, round(PRIOR_SHARE * (counted.agg(F.sum("b")).first()[0] or 0)))
+    counted = counted.unionByName(words.sparkSession.createDataFrame([(s, prior, 0, 0) for s in seeds], "w string, b long, g long, n long"))
+    counted = written(counted.groupBy("w").agg(*(F.sum(c).alias(c) for c in "bgn")))
+    sums = counted.agg(F.sum("b").alias("b"), F.sum("g").alias("g"), F.count("*").alias("words")).first()
+    ratio = F.log((F.col("b") + 1) / F.lit(float(sums.b + sums.words))) - F.log((F.col("g") + 1) / F.lit(float(sums.g + sums.words)))
+    return math.log((n.b + 1) / (n.g + 1)), counted.select("w", "n", ratio.alias("ratio"))
+
+
+def judge(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES, learn: Column | None = None) -> DataFrame:
+    """pages with host, path, rule, words, block_score (log odds of block) and verdict, in place of any columns of those names. learn: which
+    of the pages that a rule fits are learned from; all as a rule."""
+    text = F.col(quoted(html)) if html else F.lit(None).cast("string")
+    learns = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
+    read = pages.select(packed_row(pages).alias("page"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"), text.alias("text"), learns.alias("learns"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    counts, total = unigrams(read)
+    tokens = read.drop("text").withColumns({"raw": raw_tokens(F.col("host"), F.col("path")), "rule": rule, "ruled": verdict, "row": F.monotonically_increasing_id()})
+    tokens = written(tokens)
+    found = segmented(tokens, counts, total)
     words = written(tokens.drop("raw").join(found, "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
-    prior, ratio = bayes(words)
+    odds, ratio = bayes(words.select("words", F.when(F.col("learns"), F.col("ruled")).alias("label")))
     # sorted, so that the sum does not depend on the order in which rows arrive
-    ratios = words.select("row", F.explode("words").alias("w")).join(ratio, "w").groupBy("row").agg(F.array_sort(F.collect_list("ratio")).alias("ratios"))
-    score = F.aggregate(F.coalesce("ratios", F.array().cast("array<double>")), F.lit(float(prior)), lambda s, x: s + x)
+    ratios = joined_by(words.select("row", F.explode("words").alias("w")), ratio, "w").groupBy("row").agg(F.array_sort(F.collect_list("ratio")).alias("ratios"))
+    score = F.aggregate(F.coalesce("ratios", F.array().cast("array<double>")), F.lit(float(odds)), lambda s, x: s + x)
     scored = words.join(ratios, "row", "left").withColumn("block_score", score)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return scored.drop("row", "ratios").withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("block_score") > 0, "block").otherwise("allow"))})
+    judged = F.when(F.col("block_score") > 0, "block").otherwise("allow")
+    new = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "words": F.col("words"), "block_score": F.col("block_score"), "verdict": F.coalesce("ruled", judged)}
+    return scored.select(*unpacked_row(F.col("page"), [c for c in pages.columns if c not in new]), *(v.alias(k) for k, v in new.items()))
+
+
+def held_out_accuracy(pages: DataFrame, page_id: str = "page_id", rules=RULES) -> DataFrame:
+    """One row: how many of the urls that a rule fits were kept from learning (by a hash of the id), and the share on which the model agrees with
+    the rule."""
+    kept = F.crc32(F.col(page_id).cast("string")) % 4 != 2
+    found = judge(pages, rules=rules, learn=kept).filter(~kept & F.col("rule").isNotNull())
+    agrees = F.when(F.col("block_score") > 0, "block").otherwise("allow") == F.col("verdict")
+    return found.agg(F.count("*").alias("n"), F.avg(agrees.cast("double")).alias("accuracy"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
-    return judge(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "words", "block_score")
+    return judge(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict", "words", "block_score")
 
 
 def split_url(url: str | None) -> tuple[str, str]:

@@ -1,10 +1,16 @@
 """URL filters, license scans, importance resampling."""
 
 import math
+import random
+import re
+import textwrap
+from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from copresence.llm import license_scan, resampling, url_filter
 from copresence.llm.license_texts import LICENSES
@@ -16,8 +22,18 @@ URLS = [
 ] + [(100 + i, f"http://{w}.net/{i}") for i, w in enumerate(["casino-games", "cheap-pills", "rose-garden", "green-garden", "cheap-casino"] * 8)]
 
 
+HTML = [
+    "<p>Cheap <b>casino</b> games</p><script>var cheapcasino=1</script>", "<style>.rosegarden{}</style>rose garden, green &amp; red roses <!-- greengarden -->", None, "<a href='/garden'>garden rose</a> pills",
+]
+
+
+def _pages(spark, urls=URLS):
+    rows = [(i, u, HTML[k % len(HTML)], 1, 2, "x", "y") for k, (i, u) in enumerate(urls)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, row int, raw int, page string, t string")
+
+
 def test_urls(spark, tmp_path):
-    spark.createDataFrame(URLS, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    _pages(spark).write.parquet(str(tmp_path / "pages.parquet"))
     got = url_filter.op2_url_filter(spark, str(tmp_path)).collect()
     assert len(got) == len(URLS)
     by = {r.page_id: r for r in got}
@@ -25,19 +41,119 @@ def test_urls(spark, tmp_path):
         assert (by[i].host, by[i].path) == url_filter.split_url(url)
     rules = {i: (by[i].rule, by[i].verdict) for i in (1, 2, 3, 4, 5)}
     assert rules == {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("org/", "allow"), 4: ("com/fr/", "allow"), 5: ("com/de/", "block")}
-    assert by[6].rule is None and by[12].rule is None and by[7].verdict == "allow"
-    assert by[9].words[:2] == ["cheap", "casino"] and by[9].verdict == "block" and by[10].verdict == "allow"
+    assert by[6].rule is None and by[12].rule is None
+    assert by[9].words == ["cheap", "casino", "bonus"] and by[9].block_score > by[10].block_score and by[10].verdict == "allow"
 
 
-def test_no_urls(spark, tmp_path):
-    spark.createDataFrame([], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+def test_no_urls_and_clashing_names(spark, tmp_path):
+    _pages(spark, []).write.parquet(str(tmp_path / "pages.parquet"))
     assert url_filter.op2_url_filter(spark, str(tmp_path)).collect() == []
-
-
-def test_viterbi_takes_the_cheapest_split():
-    counts = {"cheap": 5, "pills": 5, "che": 1, "ap": 1, "cheappi": 1}
-    assert url_filter.Segmenter(counts).split("cheappills") == ["cheap", "pills"]
-    assert url_filter.Segmenter(counts).split("qcheap") == ["q", "cheap"] and url_filter.Segmenter({}).split("ab") == ["ab"]
+    got = url_filter.judge(_pages(spark).withColumns({"verdict": F.lit("old"), "words": F.lit(1)}))
+    assert got.columns == ["page_id", "url", "html", "row", "raw", "page", "t", "host", "path", "rule", "words", "block_score", "verdict"]
+    assert {(r.row, r.raw, r.page, r.t) for r in got.collect()} == {(1, 2, "x", "y")} and not any(r.verdict == "old" for r in got.collect())
+
+
+def test_words_of_pages(spark):
+    got = spark.createDataFrame([(h,) for h in HTML], "h string").select(url_filter.text_words(F.col("h"))).collect()
+    assert [r[0] for r in got] == [["cheap", "casino", "games"], ["rose", "garden", "green", "red", "roses"], [], ["garden", "rose", "pills"]]
+
+
+def _splits(name):
+    return [[name[:i], *rest] for i in range(1, len(name)) for rest in _splits(name[i:])] + [[name]] if name else [[]]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_viterbi_against_all_splits(seed):
+    """On random names and dictionaries: no split costs less, and letters outside words are joined."""
+    rng = random.Random(seed)
+    for _ in range(40):
+        word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+        counts = {word(rng.randint(2, 4)): rng.randint(1, 50) for _ in range(6)}
+        total, name = sum(counts.values()), word(rng.randint(1, 9))
+        cost = lambda parts: sum(math.log(total / counts[p]) if p in counts else (math.log(total) + 5) * len(p) for p in parts)
+        got = url_filter.Segmenter(counts).split(name)
+        assert "".join(got) == name and cost(got) == pytest.approx(min(cost(s) for s in _splits(name)))
+        assert not any(a not in counts and b not in counts for a, b in zip(got, got[1:], strict=False))
+    assert url_filter.Segmenter({}).split("ab") == ["ab"]
+
+
+def test_segments_and_scores_against_plain_python(spark):
+    """All of it again with Counter and log: dictionary, splits, labels, ratios, scores."""
+    got = url_filter.judge(_pages(spark)).collect()
+    texts = {0: ["cheap", "casino", "games"], 1: ["rose", "garden", "green", "red", "roses"], 2: [], 3: ["garden", "rose", "pills"]}
+    counts = Counter({s: url_filter.PRIOR for s in url_filter.SEEDS})
+    hosts = [url_filter.split_url(u) for _, u in URLS]
+    letters = lambda t: re.findall(r"[^\W\d_]+", t)
+    for k, (host, path) in enumerate(hosts):
+        hyphened = "/".join(x for x in host.split(".") if "-" in x)
+        counts.update(w for w in [*texts[k % 4], *letters(hyphened), *letters(path.lower())] if len(w) > 1)
+    segmenter, words = url_filter.Segmenter(counts), []
+    for host, path in hosts:
+        named = re.sub(r"(:\d+)?$|\.[^.]*(:\d+)?$", "", host, count=1) if ":" not in host else re.sub(r"\.[^.]*(:\d+)?$", "", host)
+        words.append([w for t in [*letters(named), *letters(path.lower())] for w in segmenter.split(t)])
+    by = {}
+    for r in got:
+        by.setdefault((r.page_id, r.url), r)
+    assert [by[x].words for x in URLS] == words
+    block, allow, n = Counter({s: url_filter.PRIOR for s in url_filter.SEEDS}), Counter(), Counter()
+    for x, ws in zip(URLS, words, strict=True):
+        if by[x].rule:
+            (block if by[x].verdict == "block" else allow).update(ws)
+            n[by[x].verdict] += 1
+    vocabulary = set(url_filter.SEEDS).union(*words)
+    total = lambda c: sum(c.values()) + len(vocabulary)
+    for x, ws in zip(URLS, words, strict=True):
+        ratio = sum(math.log((block[w] + 1) / total(block)) - math.log((allow[w] + 1) / total(allow)) for w in ws)
+        assert by[x].block_score == pytest.approx(ratio + math.log((n["block"] + 1) / (n["allow"] + 1)))
+        if not by[x].rule:
+            assert by[x].verdict == ("block" if by[x].block_score > 0 else "allow")
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the driver's tables")
+def test_model_agrees_with_rules_that_it_has_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = url_filter.held_out_accuracy(pages).first()
+    assert found.n > 150 and found.accuracy > 0.85, found
+    judged = url_filter.judge(pages).filter("rule IS NULL").collect()
+    seeded = [bool(set(r.words) & set(url_filter.SEEDS)) for r in judged]
+    assert any(r.verdict == "block" and not s for r, s in zip(judged, seeded, strict=True))
+
+
+def _wrapped(text, width):
+    return "\n".join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+NOTICES = ("", "Copyright (c) 2020 Jane Doe\n\n", "Copyright 2019-2024 The Authors. All rights reserved.\n", "© 2021 X\n", "Copyright (C) 2001 A\nCopyright (c) 2007, 2008 B, Inc.\n")
+TITLED = {"MIT": "The MIT License (MIT)", "BSD-3-Clause": "BSD 3-Clause License", "BSD-2-Clause": "BSD 2-Clause Licence", "ISC": "ISC License", "Zlib": "zlib License", "MIT-0": "MIT No Attribution", "0BSD": "Zero-Clause BSD"}
+
+
+def test_licenses_however_they_are_written(docs_of):
+    """Every license wrapped, titled, noticed, commented and spelled in other ways; and near misses, which are none."""
+    rows, want = [], {}
+    for name, text in LICENSES.items():
+        made = [_wrapped(text, w) for w in range(60, 91, 3)]
+        made += [f"{t}\n\n{n}{_wrapped(text, 72)}" for t in ("", TITLED[name]) for n in NOTICES]
+        made += [" ".join(f"{TITLED[name]} {n} {text}".split()) for n in NOTICES[1:]]
+        made += ["\n".join(f" * {x}" for x in _wrapped(text, 70).split("\n")), text.upper(), text.replace("merchantability", "merchantibility").replace("COPYRIGHT HOLDERS", "copyright  owners").replace(",", " ,")]
+        near = [text[:-30], text.replace("without", "with", 1) if "without" in text else text.replace("not", "", 1), f"{text} And one more thing.", f"{text[:50]}x{text[50:]}"]
+        for t, license in [(m, name) for m in made] + [(m, None) for m in near]:
+            want[len(rows)] = license
+            rows.append((len(rows), t))
+    got = {r.doc_id: r.license for r in license_scan.scan(docs_of(rows)).collect()}
+    assert {i: (want[i], got[i], rows[i][1][:200]) for i in want if want[i] != got[i]} == {}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="needs the texts of long licenses")
+def test_digests_of_long_licenses(docs_of):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [], {}
+    for name, file in files.items():
+        text = Path(f"/usr/share/common-licenses/{file}").read_text(encoding="utf-8")
+        for made in (text, _wrapped(text, 66), " ".join(text.split()), "\n".join(f"# {x}" for x in text.split("\n"))):
+            want[len(rows)] = name
+            rows.append((len(rows), made))
+    got = {r.doc_id: r.license for r in license_scan.scan(docs_of(rows)).collect()}
+    assert got == want
 
 
 def test_licenses(spark, docs_of, tmp_path):
@@ -45,7 +161,7 @@ def test_licenses(spark, docs_of, tmp_path):
     rows = [(1, mit), (2, "MIT License\n" + mit), (3, "Copyright (c) 2020 Someone\n\n" + mit.lower().replace(",", " ;")), (4, mit.replace("Software", "software") + "\n© 2021 X"), (5, None), (6, ""), (7, mit[:-3])]
     rows += [(8, LICENSES["BSD-3-Clause"].replace("COPYRIGHT HOLDERS", "Copyright owners")), (9, "x" * 100_000), (1, mit), (None, LICENSES["ISC"].replace("merchantability", "merchantibility"))]
     got = {r.doc_id: r.license for r in license_scan.scan(docs_of(rows)).collect()}
-    assert got == {1: "MIT", 2: None, 3: "MIT", 4: "MIT", 5: None, 6: None, 7: None, 8: "BSD-3-Clause", 9: None, None: "ISC"}
+    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: None, 6: None, 7: None, 8: "BSD-3-Clause", 9: None, None: "ISC"}
     docs = docs_of(rows).select("doc_id", "text")
     documents = docs.toArrow()  # noqa: F841
     docs.write.parquet(str(tmp_path / "documents.parquet"))
