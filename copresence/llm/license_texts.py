@@ -1,4 +1,4 @@
-"""The public texts of short software licenses, without their copyright lines."""
+"""The public texts of short software licenses, without their copyright lines; titles; digests of the normalised long ones."""
 
 _AS_IS_MIT = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
@@ -58,3 +58,27 @@ LICENSES = {
         "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
     ),
 }
+
+#: Titles of short licenses, normalised, without a leading article.
+TITLES = (
+    "0bsd license", "bsd 2 clause license", "bsd 2 clause simplified license", "bsd 3 clause license", "bsd 3 clause new or revised license", "bsd license",
+    "bsd zero clause license", "expat license", "isc license", "isc license isc", "mit license", "mit license mit", "mit no attribution", "mit no attribution license",
+    "modified bsd license", "new bsd license", "revised bsd license", "simplified bsd license", "x11 license", "zero clause bsd", "zlib libpng license", "zlib license",
+)
+
+#: Digests of the normalised public texts of long licenses, appendices included.
+DIGESTS = {
+    "Apache-2.0": "7aa35209ad8efaa01b7775d942441730c970af45bc8faff8d0ad1f188add867b",
+    "Artistic-1.0-Perl": "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2": "0fc3eba04a0e2ef782dd290d85630c52cafe619f2e9392c944255b881ea4130e",
+    "GFDL-1.3": "868fb11397ac2aeed8c74b4b42bbd9644f0469e4e1ec8dc385ee99c80a4c6aa7",
+    "GPL-1.0": "c518dbc42d539fb665a0fc2660c1d7117f706ab08da1b9495a0c4424157e97ce",
+    "GPL-2.0": "4488ffb4b6add39cb373aba964cc400f5ac17d920039ece76f11400c5b01e5e5",
+    "GPL-3.0": "8f22d2ddca4a1c3ee73f1077f59a161b4fd2f7ae080d2abaf4394ff0c9a2120d",
+    "LGPL-2.0": "07ea55842178b65d9e7ee1bbf398dda46d3f1ae7036217e299c0d5ef1eab3649",
+    "LGPL-2.1": "2edbc90847a6ddf5651b29a800076db76eb12973e92d3076c52492d9a9b06772",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "cbf8a79979c94b47092c8b5f097c9499b7c33e91ab50216a663f180fbe2ecd1e",
+    "MPL-2.0": "c6a506eb968bd2cfbb1ea819736390e6ef797bab6d08beb74875c8a0dbc1d917",
+}
