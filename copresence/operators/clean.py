@@ -25,7 +25,12 @@ def usable(pings: DataFrame, start_date: str) -> DataFrame:
 
 
 def dedup_2min(pings: DataFrame) -> DataFrame:
-    """One ping a person and 2-minute bin: the most accurate, the earliest of those. Minima combine before the shuffle."""
+    """One ping a person and 2-minute bin: the most accurate, the earliest of those. Minima combine before the shuffle. Without accuracies only
+    pings of equal time and place count as one."""
+    if "accuracy" not in pings.columns:
+        rest = [c for c in pings.columns if c not in ("person", "us", "lat", "lon", "ping_id")]
+        first = pings.groupBy("person", "us", "lat", "lon").agg(F.min(F.struct("ping_id", *rest)).alias("best"))
+        return first.select("person", "us", "lat", "lon", "best.*").select(*pings.columns)
     bin_ = F.floor(F.col("us") / F.lit(2 * MICROS_MINUTE)).alias("bin")
     rest = [c for c in pings.columns if c not in ("accuracy", "us", "ping_id", "person")]
     best = F.min(F.struct("accuracy", "us", "ping_id", *rest)).alias("best")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copresence.config import Config
-from copresence.functions.geo import between_positions, country, fast_distance, geodesic_distance, in_home_region, planar_distance
+from copresence.functions.geo import between_positions, country, fast_distance, geodesic_distance, in_home_region, planar_distance, short_distance
 from copresence.functions.rules import MICROS_HOUR, MICROS_MINUTE, fine_tier, from_micros, raw_tier
 
 
@@ -42,15 +42,21 @@ def _side(df: DataFrame, person: int, prefix: str) -> DataFrame:
 
 
 def raw_overlaps(pings: DataFrame, config: Config, first: int = 1, second: int = 2) -> DataFrame:
-    """All pairs of pings of two persons close in time and space. pings need geofence_radius and speed_kmh."""
-    columns = ["person", "ping_id", "us", "lat", "lon", "geofence_radius", "speed_kmh"]
-    one, two = (_side(pings.select(*columns), p, f"p{i}_") for i, p in ((1, first), (2, second)))
+    """All pairs of pings of two persons close in time and space. pings need speed_kmh; where they have no geofence_radius, all within the
+    city radius count. Where they have them, the source files of both and whether one is made up go along."""
+    with_radius = "geofence_radius" in pings.columns
+    radius = F.col("geofence_radius") if with_radius else F.lit(None).cast("double")
+    given = lambda name, kind, default: (F.coalesce(name, F.lit(default)) if name in pings.columns else F.lit(default)).cast(kind).alias(name)
+    read = pings.select("person", "ping_id", "us", "lat", "lon", radius.alias("geofence_radius"), "speed_kmh", given("source_file", "string", "unknown"), given("interpolated", "boolean", False))
+    one, two = (_side(read, p, f"p{i}_") for i, p in ((1, first), (2, second)))
     pairs = bucketed_range_join(one, two, "p1_us", "p2_us", config.time_minutes * MICROS_MINUTE)
     c = F.col
-    distance = geodesic_distance(c("p1_lat"), c("p1_lon"), c("p2_lat"), c("p2_lon"))
+    places = (c("p1_lat"), c("p1_lon"), c("p2_lat"), c("p2_lon"))
     tier1 = F.lit(config.distance_m)
-    reach = F.coalesce("p1_geofence_radius", tier1) + F.coalesce("p2_geofence_radius", tier1)
-    pairs = pairs.withColumn("distance_m", distance).filter(c("distance_m") <= reach)
+    reach = F.coalesce("p1_geofence_radius", tier1) + F.coalesce("p2_geofence_radius", tier1) if with_radius else F.lit(config.city_m)
+    # pairs that are far apart by the short formula need no series
+    pairs = pairs.filter(short_distance(*places) <= reach * 1.05 + 100.0)
+    pairs = pairs.withColumn("distance_m", geodesic_distance(*places)).filter(c("distance_m") <= reach)
     label = country(c("p1_lat"), c("p1_lon"), config)
     at_home = F.lit(False)
     for name in config.home_countries:
@@ -61,7 +67,8 @@ def raw_overlaps(pings: DataFrame, config: Config, first: int = 1, second: int =
     return pairs.filter(~dropped).select(
         c("p1_us").alias("us"), from_micros(c("p1_us")).alias("ts"), ((c("p1_lat") + c("p2_lat")) / 2).alias("lat"),
         ((c("p1_lon") + c("p2_lon")) / 2).alias("lon"), "distance_m", raw_tier(c("distance_m"), config).alias("tier"),
-        "p1_ping_id", "p2_ping_id", "p1_lat", "p1_lon", "p2_lat", "p2_lon",
+        "p1_ping_id", "p2_ping_id", "p1_lat", "p1_lon", "p2_lat", "p2_lon", "p1_source_file", "p2_source_file",
+        (c("p1_interpolated") | c("p2_interpolated")).alias("interpolated"),
     )
 
 

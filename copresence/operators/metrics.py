@@ -97,7 +97,7 @@ def day_spine(bounds: DataFrame) -> DataFrame:
 
 
 def bounds_of(config: Config, *frames: DataFrame) -> DataFrame:
-    """(start, end): from the start date to the last day of any frame."""
+    """(start, end): from the start date to the last day of any frame; no end without rows."""
     last = None
     for f in frames:
         one = f.agg(F.max(F.to_date("ts")).alias("end"))

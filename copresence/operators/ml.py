@@ -66,7 +66,7 @@ def labelled_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
 def leave_one_group_out(features: DataFrame, labels: DataFrame, group: Callable[[Column], Column] = month_of, seed: int = 42) -> DataFrame:
     """(date, y, cv_probability): each labelled day predicted without its group of days, months as a rule. Groups whose rest holds one
     class only are left out. The loop runs over groups on the driver; each fit is a Spark job."""
-    rows = labelled_rows(features, labels).select("date", "y", "features", group(F.col("date")).alias("part")).cache()
+    rows = labelled_rows(features, labels).select("date", "y", "features", group(F.col("date")).alias("part")).coalesce(1).cache()
     parts = [r.part for r in rows.select("part").distinct().orderBy("part").collect()]
     out = None
     for part in parts:
@@ -93,19 +93,27 @@ def metrics_of(scored: DataFrame, truth: str = "y", probability: str = "cv_proba
 
 
 def fit(features: DataFrame, labels: DataFrame, seed: int = 42):
-    """The classifier on all labelled days, or None if they hold one class only."""
-    rows = labelled_rows(features, labels)
-    return _classifier(seed).fit(rows) if rows.select("y").distinct().count() == 2 else None
+    """The classifier on all labelled days, or None if they hold one class only. There is a row a day, so one task holds them, and the
+    many small jobs of the fit stay small."""
+    rows = labelled_rows(features, labels).select("date", "y", "features").coalesce(1).cache()
+    try:
+        return _classifier(seed).fit(rows) if rows.select("y").distinct().count() == 2 else None
+    finally:
+        rows.unpersist()
+
+
+def rule_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rule for every day, next to the label."""
+    rows = features.select("date", "n_overlaps", F.round("min_distance_m", 6).alias("min_distance_m"))
+    return rows.join(labels.select("date", F.col("label").alias("true_label")), "date", "left").select(
+        "date", (F.col("n_overlaps") > 0).cast("int").alias("rule_based"), F.coalesce("true_label", F.lit("unknown")).alias("true_label"), "n_overlaps", "min_distance_m"
+    )
 
 
 def predict_all(model, features: DataFrame, labels: DataFrame) -> DataFrame:
     """Model and rule for every day, next to the label."""
     scored = _scored(model, _assembled(features), "ml_probability")
-    rows = features.select("date", "n_overlaps", F.round("min_distance_m", 6).alias("min_distance_m")).join(scored, "date")
-    return rows.join(labels.select("date", F.col("label").alias("true_label")), "date", "left").select(
-        "date", (F.col("ml_probability") >= 0.5).cast("int").alias("ml_prediction"), "ml_probability", (F.col("n_overlaps") > 0).cast("int").alias("rule_based"),
-        F.coalesce("true_label", F.lit("unknown")).alias("true_label"), "n_overlaps", "min_distance_m",
-    )
+    return rule_rows(features, labels).join(scored, "date").withColumn("ml_prediction", (F.col("ml_probability") >= 0.5).cast("int"))
 
 
 def attach_cv(predictions: DataFrame, cv: DataFrame) -> DataFrame:

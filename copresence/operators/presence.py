@@ -31,7 +31,7 @@ def overnight_fill(pings: DataFrame, homes: DataFrame, config: Config) -> DataFr
     ahead = pings.withColumns({"n_us": nxt("us"), "n_ts": nxt("ts"), "n_lat": nxt("lat"), "n_lon": nxt("lon")})
     night = (F.hour("ts") >= 19) & (F.hour("n_ts") <= 10) & (F.to_date("n_ts") > F.to_date("ts")) & (c("n_us") - c("us") <= 16 * MICROS_HOUR)
     near = lambda lat, lon: fast_distance(c(lat), c(lon), c("home_lat"), c("home_lon")) <= config.home_tolerance_m
-    stays = ahead.filter(night).join(F.broadcast(homes), "person").filter(near("lat", "lon") & near("n_lat", "n_lon"))
+    stays = ahead.filter(night).join(homes, "person").filter(near("lat", "lon") & near("n_lat", "n_lon"))
     first = (F.floor(c("us") / F.lit(MICROS_HOUR)) + 1) * MICROS_HOUR
     last = F.floor(c("n_us") / F.lit(MICROS_HOUR)) * MICROS_HOUR - MICROS_HOUR
     hours = stays.withColumns({"_a": first, "_b": last}).filter("_b >= _a").withColumn("t", F.explode(F.sequence("_a", "_b", F.lit(MICROS_HOUR))))

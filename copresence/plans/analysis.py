@@ -8,14 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copresence.config import Config
-from copresence.operators import clean, datasets, features, joins, matrix, metrics, presence
+from copresence.operators import clean, datasets, features, joins, matrix, metrics, ml, presence
+from copresence.sources.photos import photo_labels
 
 
 class Analysis:
-    """From raw pings(ping_id, person, ts, us, accuracy, lat, lon) of persons 1 and 2 to days together."""
+    """From raw pings(ping_id, person, ts, us, accuracy, lat, lon) of persons 1 and 2 to days together; with labels(date, label), and photos
+    if there are any, also to a classifier of days and the ensemble of rules and model. close() gives up what is cached."""
 
-    def __init__(self, pings: DataFrame, config: Config = Config()):
-        self.raw, self.config = pings, config
+    def __init__(self, pings: DataFrame, config: Config = Config(), labels: DataFrame | None = None, photos: DataFrame | None = None, threshold: float = 0.7):
+        self.raw, self.config, self.given_labels, self.photos, self.threshold = pings, config, labels, photos, threshold
+        self._cached: list[DataFrame] = []
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        """rows in the cache: bounded by the days of the observation, and what an executor takes with it is computed anew."""
+        self._cached.append(rows.cache())
+        return rows
+
+    def close(self) -> None:
+        for rows in self._cached:
+            rows.unpersist()
+        self._cached.clear()
 
     @cached_property
     def deduplicated(self) -> DataFrame:
@@ -32,14 +45,13 @@ class Analysis:
 
     @cached_property
     def overnight(self) -> DataFrame:
-        """Pings and overnight stays. Most results start here, several times over; a person has a bounded number a day, so they are
-        cached (what an executor takes with it is computed anew)."""
-        return presence.with_overnight(self.pings, self.homes, self.config).cache()
+        """Pings and overnight stays; a person has a bounded number a day. Legs and made-up pings start here."""
+        return self._kept(presence.with_overnight(self.pings, self.homes, self.config))
 
     @cached_property
     def filled(self) -> DataFrame:
-        """Pings, overnight stays and presence in gaps."""
-        return presence.with_interpolation(self.overnight, self.config)
+        """Pings, overnight stays and presence in gaps, which most results use several times over."""
+        return self._kept(presence.with_interpolation(self.overnight, self.config))
 
     @cached_property
     def raw_overlaps(self) -> DataFrame:
@@ -52,7 +64,7 @@ class Analysis:
     @cached_property
     def overlaps(self) -> DataFrame:
         """At most one in 15 minutes, so they are cached like the pings."""
-        return joins.fine_overlaps(self.legs, self.config).cache()
+        return self._kept(joins.fine_overlaps(self.legs, self.config))
 
     @cached_property
     def trusted(self) -> DataFrame:
@@ -60,22 +72,59 @@ class Analysis:
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return matrix.presence_matrix(self.filled, self.overlaps, metrics.bounds_of(self.config, self.filled), self.config)
+        """Every hour from the start date to the day of the last overlap."""
+        last = metrics.bounds_of(self.config, self.overlaps).withColumn("end", F.coalesce("end", "start"))
+        return matrix.presence_matrix(self.filled, self.overlaps, last, self.config)
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.day_features(self.filled, self.overlaps)
+        return self._kept(features.day_features(self.filled, self.overlaps, self.photos))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """Given labels, then days with photos, then nights apart."""
+        if self.given_labels is None:
+            raise ValueError("an analysis without labels has no classifier")
+        known = self.given_labels.select("date", "label")
+        if self.photos is not None:
+            known = ml.merge_labels(known, photo_labels(self.photos))
+        period = metrics.days(self.pings).agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+        apart = ml.night_labels(self.pings, self.overlaps, known, self.config, str(period.a), str(period.b)) if period.a else known.limit(0)
+        return self._kept(ml.merge_labels(known, apart))
+
+    @cached_property
+    def classifier(self):
+        """The fitted model, or None where labels hold one class only."""
+        return ml.fit(self.features, self.labels)
+
+    @cached_property
+    def cross_validation(self) -> DataFrame:
+        """Each labelled day predicted without its month."""
+        return ml.leave_one_group_out(self.features, self.labels)
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return ml.attach_cv(ml.predict_all(self.classifier, self.features, self.labels), self.cross_validation)
+
+    @cached_property
+    def ensemble(self) -> DataFrame | None:
+        """(date, state) of rules and model; None without labels, or without a model."""
+        if self.given_labels is None or self.classifier is None:
+            return None
+        scored = ml.predict_all(self.classifier, self.features, self.labels)
+        return self._kept(ml.ensemble(self.filled, self.trusted, scored, self.threshold))
 
     def charts(self) -> dict[str, DataFrame]:
-        """The dataset of each chart."""
+        """The dataset of each chart, with the ensemble where there is one."""
+        hours = self.matrix if self.ensemble is None else matrix.overlay(self.matrix, self.ensemble)
         return {
             "calendar_raw": datasets.calendar(self.filled, self.raw_overlaps, self.config),
             "calendar_interpolated": datasets.calendar(self.filled, self.overlaps, self.config),
-            "hourly_matrix": matrix.with_codes(matrix.fill_dense_days(self.matrix)),
+            "hourly_matrix": matrix.with_codes(matrix.fill_dense_days(hours)),
             "monthly_summary": metrics.month_coverage(self.filled, self.overlaps, self.config),
             "interactive_map": datasets.map_cells(self.overlaps),
             "confidence_timeline": datasets.density(self.filled, self.overlaps, self.config),
-            "day_calendar": datasets.day_states(self.filled, self.trusted, None, self.config),
+            "day_calendar": datasets.day_states(self.filled, self.trusted, self.ensemble, self.config),
         }
 
     def days_together(self) -> DataFrame:

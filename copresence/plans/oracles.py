@@ -16,7 +16,7 @@ def _fast(a: str, b: str, x: str, y: str) -> str:
     return f"sqrt(pow(({x} - {a}) * 111320.0::DOUBLE, 2) + pow(({y} - {b}) * 111320.0::DOUBLE * {cosine}, 2))"
 
 
-def _geodesic(a: str, b: str, x: str, y: str) -> str:
+def _short(a: str, b: str, x: str, y: str) -> str:
     phi = f"radians(({a} + {x}) * 0.5::DOUBLE)"
     w = f"sqrt(1.0::DOUBLE - 0.00669437999014::DOUBLE * sin({phi}) * sin({phi}))"
     north = f"radians({x} - {a}) * (6378137.0::DOUBLE * (1.0::DOUBLE - 0.00669437999014::DOUBLE)) / ({w} * {w} * {w})"
@@ -24,6 +24,35 @@ def _geodesic(a: str, b: str, x: str, y: str) -> str:
     return f"sqrt(pow({north}, 2) + pow({east}, 2))"
 
 
+def _geodesic(a: str, b: str, x: str, y: str) -> str:
+    """Short distances by radii of curvature, long ones by Vincenty's formulae as published (Survey Review 1975), ten iterations."""
+    f, major = "(1.0::DOUBLE / 298.257223563::DOUBLE)", "6378137.0::DOUBLE"
+    minor = f"({major} * (1.0::DOUBLE - {f}))"
+    u = lambda lat: f"atan((1.0::DOUBLE - {f}) * tan(radians({lat})))"
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def sphere(lam: str, body: str) -> str:
+        """body over s: {ss, cs} and t: {sigma, sa, ca2} and m: cos of twice the mid angle."""
+        s = f"{{ss: sqrt(pow(cos(p.u2) * sin({lam}), 2) + pow(cos(p.u1) * sin(p.u2) - sin(p.u1) * cos(p.u2) * cos({lam}), 2)), cs: sin(p.u1) * sin(p.u2) + cos(p.u1) * cos(p.u2) * cos({lam})}}"
+        sa = f"CASE WHEN s.ss = 0 THEN 0.0::DOUBLE ELSE cos(p.u1) * cos(p.u2) * sin({lam}) / s.ss END"
+        t = f"{{sigma: atan2(s.ss, s.cs), sa: {sa}, ca2: 1.0::DOUBLE - pow({sa}, 2)}}"
+        m = "CASE WHEN t.ca2 < 1e-15::DOUBLE THEN 0.0::DOUBLE ELSE s.cs - 2.0::DOUBLE * sin(p.u1) * sin(p.u2) / t.ca2 END"
+        return let(s, "s", let(t, "t", let(m, "m", body)))
+
+    c = f"({f} / 16.0::DOUBLE * t.ca2 * (4.0::DOUBLE + {f} * (4.0::DOUBLE - 3.0::DOUBLE * t.ca2)))"
+    step = f"p.l + (1.0::DOUBLE - {c}) * {f} * t.sa * (t.sigma + {c} * s.ss * (m + {c} * s.cs * (2.0::DOUBLE * m * m - 1.0::DOUBLE)))"
+    q = f"(t.ca2 * (pow({major}, 2) - pow({minor}, 2)) / pow({minor}, 2))"
+    big_a = f"(1.0::DOUBLE + {q} / 16384.0::DOUBLE * (4096.0::DOUBLE + {q} * (-768.0::DOUBLE + {q} * (320.0::DOUBLE - 175.0::DOUBLE * {q}))))"
+    big_b = f"({q} / 1024.0::DOUBLE * (256.0::DOUBLE + {q} * (-128.0::DOUBLE + {q} * (74.0::DOUBLE - 47.0::DOUBLE * {q}))))"
+    rest = f"s.cs * (2.0::DOUBLE * m * m - 1.0::DOUBLE) - {big_b} / 6.0::DOUBLE * m * (4.0::DOUBLE * s.ss * s.ss - 3.0::DOUBLE) * (4.0::DOUBLE * m * m - 3.0::DOUBLE)"
+    length = f"{minor} * {big_a} * (t.sigma - {big_b} * s.ss * (m + {big_b} / 4.0::DOUBLE * ({rest})))"
+    turn = f"CASE WHEN {y} - {b} > 180 THEN {y} - {b} - 360 WHEN {y} - {b} < -180 THEN {y} - {b} + 360 ELSE {y} - {b} END"
+    settled = f"list_reduce(list_concat([p.l], list_transform(range(10), lambda i: 0.0::DOUBLE)), lambda g, i: {sphere('g', step)})"
+    whole = let(f"{{u1: {u(a)}, u2: {u(x)}, l: radians({turn})}}", "p", let(settled, "g", sphere("g", length)))
+    near = _short(a, b, x, y)
+    return f"CASE WHEN {near} < 2000 THEN {near} ELSE {whole} END"
+
+
 def _home(lat: str, lon: str) -> str:
     return f"({lat} BETWEEN 47.0 AND 55.0 AND {lon} BETWEEN 2.5 AND 15.0)"
 
@@ -121,7 +150,7 @@ WHERE hour(ts) >= 19 AND hour(n_ts) <= 10 AND n_ts::DATE > ts::DATE AND n_us - u
     "rawov": f"""SELECT p1_ping_id, p2_ping_id, us, {TS}, lat, lon, d AS distance_m,
   CASE WHEN d <= 150 THEN 'confirmed' WHEN d <= 750 THEN 'neighborhood' ELSE 'city' END AS tier FROM (
   SELECT a.ping_id AS p1_ping_id, b.ping_id AS p2_ping_id, a.us, (a.lat + b.lat) / 2 AS lat, (a.lon + b.lon) / 2 AS lon, a.speed_kmh AS s1, b.speed_kmh AS s2,
-    a.geofence_radius + b.geofence_radius AS reach, {_country("a.lat", "a.lon")} AS country, {_geodesic("a.lat", "a.lon", "b.lat", "b.lon")} AS d
+    a.geofence_radius + b.geofence_radius AS reach, {_country("a.lat", "a.lon")} AS country, {_short("a.lat", "a.lon", "b.lat", "b.lon")} AS d
   FROM speeds a JOIN speeds b ON a.person = 1 AND b.person = 2 AND abs(a.us - b.us) <= 1800000000
 ) WHERE d <= reach AND NOT (d > 150 AND (country LIKE '%Netherlands%' OR country LIKE '%Belgium%' OR country LIKE '%Germany%')
   AND (((s1 > 20 OR s2 > 20) AND (s1 < 2 OR s2 < 2)) OR d > 750 OR NOT (s1 < 7 AND s2 < 7)))""",
@@ -148,6 +177,7 @@ WHERE hour(ts) >= 19 AND hour(n_ts) <= 10 AND n_ts::DATE > ts::DATE AND n_us - u
 FROM (SELECT *, row_number() OVER (PARTITION BY t // 900000000 ORDER BY d, a.start_us, a.seg_id, b.start_us, b.seg_id, t) AS k FROM matched) WHERE k = 1""",
     "trust": f"SELECT * FROM fine WHERE tier = 'confirmed' OR NOT {_home('lat', 'lon')}",
     "spine": "SELECT unnest(generate_series(DATE '2024-01-01', (SELECT max(ts)::DATE FROM filled), INTERVAL 1 DAY))::DATE AS date",
+    "hourspine": "SELECT unnest(generate_series(DATE '2024-01-01', (SELECT max(ts)::DATE FROM fine), INTERVAL 1 DAY))::DATE AS date",
     "known": f"SELECT {DAY} AS date, bool_or(person = 1) AS d1, bool_or(person = 2) AS d2, bool_or(person = 1 AND {NIGHT}) AS n1, bool_or(person = 2 AND {NIGHT}) AS n2 FROM filled GROUP BY 1",
     "hours": f"SELECT {DAY} AS date, hour(ts) AS hour FROM filled WHERE person = 1 INTERSECT SELECT {DAY}, hour(ts) FROM filled WHERE person = 2",
     "besth": """SELECT date, hour, CASE WHEN distance_m <= p1_geofence + p2_geofence THEN 1.0 WHEN distance_m <= 150 THEN 0.95 WHEN distance_m <= 750 THEN 0.8
@@ -155,12 +185,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY t // 900000000 ORDER BY d, a.sta
   SELECT *, ts::DATE AS date, hour(ts) AS hour, row_number() OVER (PARTITION BY ts::DATE, hour(ts) ORDER BY distance_m, us) AS k FROM fine) WHERE k = 1""",
     "matrix": """SELECT date, CAST(hour AS INTEGER) AS hour, CAST(prob AS DOUBLE) AS prob, CASE WHEN prob IS NULL THEN 'no_data' WHEN prob >= 0.4 THEN 'co_located' ELSE 'apart' END AS state FROM (
   SELECT s.date, g.hour, coalesce(b.prob, CASE WHEN h.date IS NOT NULL THEN 0.0 END) AS prob
-  FROM spine s CROSS JOIN (SELECT unnest(range(24)) AS hour) g LEFT JOIN besth b ON b.date = s.date AND b.hour = g.hour LEFT JOIN hours h ON h.date = s.date AND h.hour = g.hour)""",
+  FROM hourspine s CROSS JOIN (SELECT unnest(range(24)) AS hour) g LEFT JOIN besth b ON b.date = s.date AND b.hour = g.hour LEFT JOIN hours h ON h.date = s.date AND h.hour = g.hour)""",
     "overlaydays": f"SELECT DISTINCT {DAY} AS date, CASE WHEN day({DAY}) % 3 = 0 THEN 'ml_together' ELSE 'apart' END AS state FROM tagged",
     "labels_": f"""SELECT DISTINCT {DAY} AS date, CASE WHEN day(ts) % 11 = 0 THEN 'mixed' WHEN day(ts) % 4 < 2 THEN 'together' ELSE 'apart' END AS label
-  FROM tagged WHERE day(ts) % 3 <> 0""",
-    "side1": f"SELECT DISTINCT {DAY} AS date FROM tagged WHERE person = 1",
-    "side2": f"SELECT DISTINCT {DAY} AS date FROM tagged WHERE person = 2 AND day(ts) % 7 <> 0",
+  FROM trust""",
+    "side1": "SELECT date FROM known WHERE d1 AND d2",
+    "side2": f"SELECT DISTINCT {DAY} AS date FROM trust WHERE {NIGHT}",
+    "mornings": f"SELECT *, concat('person-', person, '-', {DAY}) AS source_file, row_number() OVER (PARTITION BY person, {DAY} ORDER BY us, ping_id) AS k, row_number() OVER (PARTITION BY person, {DAY} ORDER BY us DESC, ping_id DESC) AS back FROM dedup",
+    "ends": """SELECT a.source_file, day(a.ts) AS d, a.ts AS a_ts, b.ts AS b_ts, a.lat AS a_lat, a.lon AS a_lon, b.lat AS b_lat, b.lon AS b_lon FROM mornings a JOIN mornings b USING (source_file)
+  WHERE a.k = 1 AND b.back = 1""",
+    "paths": "SELECT source_file, avg(lat) AS w_lat, avg(lon) AS w_lon FROM dedup JOIN mornings USING (ping_id, person, ts, us, accuracy, lat, lon) GROUP BY 1",
     "monthly": f"""SELECT strftime(ts, '%Y-%m') AS month, count(*) AS total_colocations, count(DISTINCT {DAY}) AS unique_days,
   count(DISTINCT {DAY}) FILTER ({NIGHT}) AS nights FROM SOURCE GROUP BY 1""",
     "density": f"""SELECT s.date, coalesce(p1_reports, 0) AS p1_reports, coalesce(p2_reports, 0) AS p2_reports, coalesce(p1_interpolated, 0) AS p1_interpolated,
@@ -268,14 +302,13 @@ FINALS = {
     "speed_lead": f"SELECT person, ping_id, {_r('speed_kmh')} FROM speeds",
     "movement_segments": f"SELECT person, seg_id, start_us, end_us, {_r('dist_m')}, {_r('speed_kmh')}, movement, geofence_radius FROM ({_legs('tagged')})",
     "movement_summary": f"SELECT {_SIDE_MOVES}, count(*) AS n, round(sum(dist_m), 3) AS total_m, round(sum(gap_h), 6) AS hours FROM ({_legs('tagged')}) GROUP BY 1, 2",
-    "distance_functions": f"""SELECT ping_id, round({_fast("lat", "lon", "la", "lo")}, 6) AS fast_m, round({_geodesic("lat", "lon", "la", "lo")}, 6) AS geodesic_m FROM (
+    "distance_functions": f"""SELECT ping_id, round({_fast("lat", "lon", "la", "lo")}, 6) AS fast_m, round({_geodesic("lat", "lon", "la", "lo")}, 3) AS geodesic_m FROM (
   SELECT *, lead(lat) OVER w AS la, lead(lon) OVER w AS lo FROM dedup WINDOW w AS (PARTITION BY person ORDER BY us, ping_id)) WHERE la IS NOT NULL""",
     "country_detect": f"SELECT ping_id, {_country('lat', 'lon')} AS country, {_home('lat', 'lon')} AS home_region FROM tagged",
     "privacy_rounding": f"SELECT ping_id, {_cell('lat', 3)} AS lat, {_cell('lon', 3)} AS lon FROM tagged",
     "date_parts": f"""SELECT ping_id, strftime(ts, '%Y-%m') AS month, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, isodow(ts) >= 6 AS is_weekend, {NIGHT} AS night,
   hour(ts) BETWEEN 6 AND 10 AS morning, hour(ts) >= 18 AND hour(ts) < 22 AS evening FROM tagged""",
-    "coordinate_parse": """SELECT ping_id, CASE WHEN ping_id % 5 <> 4 THEN CAST(ping_id % 90 + 0.25 AS DOUBLE) END AS lat,
-  CASE WHEN ping_id % 5 <> 4 THEN CAST(CASE WHEN ping_id % 2 = 0 THEN 1 ELSE -1 END * (ping_id % 180 + 0.5) AS DOUBLE) END AS lon FROM dedup""",
+    "coordinate_parse": "SELECT ping_id, CASE WHEN ping_id % 5 <> 4 THEN lat END AS lat, CASE WHEN ping_id % 5 <> 4 THEN lon END AS lon FROM dedup",
     "home_cell": "SELECT * FROM homes",
     "home_cell_3_decimals": "SELECT * FROM homes3",
     "overnight_fill": f"SELECT person, {TS}, round(home_lat, 6) AS lat, round(home_lon, 6) AS lon, 50.0::DOUBLE AS geofence_radius, 50 AS accuracy FROM stays",
@@ -298,7 +331,7 @@ FINALS = {
   FROM (SELECT *, date >= DATE '2024-01-05' AS f FROM known LEFT JOIN (SELECT {DAY} AS met, bool_or({NIGHT}) AS met_night FROM trust GROUP BY 1) ON date = met))""",
     "day_intersect": "SELECT * FROM side1 INTERSECT SELECT * FROM side2",
     "day_except": "SELECT * FROM side1 EXCEPT SELECT * FROM side2",
-    "day_symdiff": """(SELECT * FROM side1 EXCEPT SELECT * FROM side2 WHERE day(date) > 1) UNION (SELECT * FROM side2 WHERE day(date) > 1 EXCEPT SELECT * FROM side1)""",
+    "day_symdiff": """(SELECT * FROM side1 EXCEPT SELECT * FROM side2) UNION (SELECT * FROM side2 EXCEPT SELECT * FROM side1)""",
     "day_union": "SELECT * FROM side1 UNION SELECT * FROM side2",
     "monthly_summary": "SELECT * FROM monthly",
     "month_coverage": """SELECT strftime(m, '%Y-%m') AS month, CAST(day(last_day(m)) AS INTEGER) AS days_in_month, coalesce(total_colocations, 0) AS total_colocations,
@@ -326,13 +359,23 @@ FINALS = {
     count(*) FILTER ({NIGHT}) AS nights FROM fine GROUP BY 1, 2)""",
     "density_timeline": "SELECT * FROM density",
     "gap_islands": f"""SELECT min(date) AS first_day, max(date) AS last_day FROM (
-  SELECT date, date - CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS island FROM (
-    SELECT unnest(generate_series(DATE '2024-01-01', (SELECT max(ts)::DATE FROM tagged WHERE day(ts) NOT BETWEEN 9 AND 14 AND day(ts) <> 20), INTERVAL 1 DAY))::DATE AS date)
-  WHERE date NOT IN (SELECT {DAY} FROM tagged WHERE person = 1 AND day(ts) NOT BETWEEN 9 AND 14 AND day(ts) <> 20)) GROUP BY island HAVING count(*) >= 4""",
+  SELECT date, date - CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS island FROM spine WHERE date NOT IN (SELECT {DAY} FROM trust)) GROUP BY island""",
     "day_calendar": _calendar_tail(
         _STATE.format("coalesce(o.state, CASE WHEN d1 AND d2 AND t.date IS NOT NULL THEN 'together' WHEN d1 AND d2 THEN 'apart' ELSE 'no_data' END)"),
-        f"LEFT JOIN (SELECT DISTINCT {DAY} AS date FROM trust) t USING (date) LEFT JOIN (SELECT * FROM overlaydays WHERE day(date) % 2 = 0) o USING (date)",
+        f"LEFT JOIN (SELECT DISTINCT {DAY} AS date FROM trust) t USING (date) LEFT JOIN ens o USING (date)",
     ),
+    "prediction_rows": """SELECT f.date, CAST(coalesce(n_overlaps, 0) > 0 AS INTEGER) AS rule_based, coalesce(label, 'unknown') AS true_label, coalesce(n_overlaps, 0) AS n_overlaps,
+  round(coalesce(min_distance_m, 999999), 6) AS min_distance_m FROM feat f LEFT JOIN ovf USING (date) LEFT JOIN labels_ USING (date)""",
+    "cv_groups": "SELECT date, CASE label WHEN 'apart' THEN 0.0 ELSE 1.0 END::DOUBLE AS y, CASE WHEN day(date) <= 15 THEN 'first' ELSE 'second' END AS part FROM feat JOIN labels_ USING (date)",
+    "export_a_pings": f"""SELECT source_file, ts, {_r("lat")}, {_r("lon")}, 10 AS accuracy, NULL::VARCHAR AS place_type FROM mornings
+UNION ALL SELECT source_file, unnest([a_ts, b_ts]), round(a_lat, 6), round(a_lon, 6), 20, 'HOME' FROM ends""",
+    "export_b_pings": f"""SELECT m.source_file, date_trunc('minute', ts) AS ts, {_r("lat")}, {_r("lon")}, 15 AS accuracy FROM mornings m
+UNION ALL SELECT source_file, unnest([date_trunc('minute', a_ts), date_trunc('minute', b_ts)]), round(a_lat, 6), round(a_lon, 6), 20 FROM ends JOIN paths USING (source_file)
+  WHERE d % 2 = 1 AND {_short("a_lat", "a_lon", "w_lat", "w_lon")} <= 5000
+UNION ALL SELECT source_file, ts, lat, lon, 30 FROM (
+  SELECT source_file, date_trunc('minute', a_ts) AS ts, round(a_lat, 6) AS lat, round(a_lon, 6) AS lon, {_short("a_lat", "a_lon", "w_lat", "w_lon")} AS d FROM ends JOIN paths USING (source_file)
+  UNION ALL SELECT source_file, date_trunc('minute', b_ts), round(b_lat, 6), round(b_lon, 6), {_short("b_lat", "b_lon", "w_lat", "w_lon")} FROM ends JOIN paths USING (source_file)
+) WHERE d <= 5000""",
     "day_features": f"SELECT f.date, {_FEATURES} FROM feat f LEFT JOIN ovf USING (date)",
     "night_labels": f"""SELECT date, 'apart' AS label FROM (
   SELECT CASE WHEN us % 86400000000 >= 22 * 3600000000 THEN {DAY} WHEN us % 86400000000 <= 6 * 3600000000 THEN {DAY} - 1 END AS date, person

@@ -11,6 +11,8 @@ from copresence.operators import clean, datasets, features, joins, matrix, metri
 from copresence.plans.analysis import Analysis
 from copresence.plans.oracles import ORACLES
 from copresence.session import configure
+from copresence.plans.report import report
+from copresence.sources import exports
 from copresence.sources.exports import file_fingerprints
 from copresence.sources.pings import event_pings
 
@@ -38,10 +40,10 @@ def _positions(df: DataFrame, *more):
 
 
 def _labels(a: Analysis) -> DataFrame:
-    """Made-up labels for training: weeks turn from apart to together, every eleventh day is mixed, a third has none."""
+    """Made-up labels for training of the days with trusted overlaps: together and apart take turns, every eleventh day is mixed."""
     day = F.dayofmonth("date")
     label = F.when(day % 11 == 0, "mixed").when(day % 4 < 2, "together").otherwise("apart")
-    return metrics.days(a.pings).filter(day % 3 != 0).select("date", label.alias("label"))
+    return metrics.days(a.trusted).select("date", label.alias("label"))
 
 
 @query
@@ -91,7 +93,7 @@ def distance_functions(a):
     nxt = [F.lead(x).over(order) for x in ("lat", "lon")]
     legs = a.deduplicated.select("ping_id", "lat", "lon", nxt[0].alias("la"), nxt[1].alias("lo")).filter("la IS NOT NULL")
     points = (c("lat"), c("lon"), c("la"), c("lo"))
-    return legs.select("ping_id", F.round(geo.fast_distance(*points), 6).alias("fast_m"), F.round(geo.geodesic_distance(*points), 6).alias("geodesic_m"))
+    return legs.select("ping_id", F.round(geo.fast_distance(*points), 6).alias("fast_m"), F.round(geo.geodesic_distance(*points), 3).alias("geodesic_m"))
 
 
 @query
@@ -115,9 +117,10 @@ def date_parts(a):
 
 @query
 def coordinate_parse(a):
-    made = a.deduplicated.select("ping_id", F.when(c("ping_id") % 5 == 4, "nowhere").when(
-        c("ping_id") % 2 == 0, F.concat(F.lit("geo:"), (c("ping_id") % 90).cast("string"), F.lit(".25,"), (c("ping_id") % 180).cast("string"), F.lit(".5"))
-    ).otherwise(F.concat((c("ping_id") % 90).cast("string"), F.lit(".25°, -"), (c("ping_id") % 180).cast("string"), F.lit(".5°"))).alias("text"))
+    lat, lon = c("lat").cast("string"), c("lon").cast("string")
+    made = a.deduplicated.select("ping_id", F.when(c("ping_id") % 5 == 4, F.concat(F.lit("near "), lat)).when(
+        c("ping_id") % 2 == 0, F.concat(F.lit("geo:"), lat, F.lit(","), lon)
+    ).otherwise(F.concat(lat, F.lit("°, "), lon, F.lit("°"))).alias("text"))
     lat, lon = geo.parsed_coordinate(c("text"))
     return made.select("ping_id", lat.alias("lat"), lon.alias("lon"))
 
@@ -185,7 +188,8 @@ def tracked_metrics(a):
 
 
 def _sides(a):
-    return metrics.days(metrics.of_person(a.pings, 1)), metrics.days(metrics.of_person(a.pings, 2).filter(F.dayofmonth("ts") % 7 != 0))
+    """Days on which both were tracked, and nights on which they were together."""
+    return metrics.both_tracked(a.filled), metrics.days(a.trusted, night_only=True)
 
 
 @query
@@ -203,7 +207,7 @@ def day_except(a):
 @query
 def day_symdiff(a):
     one, two = _sides(a)
-    return metrics.either_not_both(one, two.filter(F.dayofmonth("date") > 1))
+    return metrics.either_not_both(one, two)
 
 
 @query
@@ -279,13 +283,12 @@ def density_timeline(a):
 
 @query
 def gap_islands(a):
-    away = a.pings.filter(~F.dayofmonth("ts").between(9, 14) & (F.dayofmonth("ts") != 20))
-    return datasets.gap_islands(datasets.density(presence.marked_raw(away), a.overlaps, a.config), "p1_reports")
+    return datasets.gap_islands(datasets.density(a.filled, a.trusted, a.config), "overlaps", least_days=1)
 
 
 @query
 def day_calendar(a):
-    return datasets.day_states(a.filled, a.trusted, _overlay_days(a).filter(F.dayofmonth("date") % 2 == 0), a.config)
+    return datasets.day_states(a.filled, a.trusted, _rule_ensemble(a), a.config)
 
 
 @query
@@ -324,16 +327,106 @@ def prob_at_instant(a):
     return matrix.probability_at(a.pings, targets, a.config).select("target_us", _r("prob"))
 
 
+@query
+def prediction_rows(a):
+    """What gbt_predictions has beside the model's own columns."""
+    return ml.rule_rows(a.features, _labels(a))
+
+
+@query
+def cv_groups(a):
+    """The days that loo_half_month_cv predicts, and their groups."""
+    return ml.labelled_rows(a.features, _labels(a)).select("date", "y", _half("date").alias("part"))
+
+
+def _half(date):
+    return F.when(F.dayofmonth(date) <= 15, "first").otherwise("second")
+
+
 def _trained(a):
-    rows = a.features.cache()
-    return rows, _labels(a)
+    return a.features, _labels(a)
+
+
+def _labelled(a) -> Analysis:
+    """The analysis with labels, from end to end."""
+    return Analysis(a.raw, a.config, _labels(a))
+
+
+@query
+def ensemble_from_model(a):
+    return _labelled(a).ensemble
+
+
+@query
+def analysis_report(a):
+    """The report's lines."""
+    lines = list(enumerate(report(_labelled(a)).split("\n")))
+    return a.raw.sparkSession.createDataFrame(lines, "line int, text string")
+
+
+def _documents(a, body) -> DataFrame:
+    """A file of an export for each person and day, sorted by time."""
+    times = F.array_sort(F.collect_list(F.struct("us", "ping_id", "ts", "lat", "lon")))
+    days = a.deduplicated.groupBy("person", F.to_date("ts").alias("date")).agg(times.alias("p"))
+    name = F.concat_ws("-", F.lit("person"), "person", c("date").cast("string"))
+    return days.select(name.alias("source_file"), body(c("p"), c("date")).alias("body"))
+
+
+def _iso(ts, zone: str = "Z"):
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(zone))
+
+
+def _geo(p):
+    return F.concat(F.lit("geo:"), p["lat"].cast("string"), F.lit(","), p["lon"].cast("string"))
+
+
+@query
+def export_a_pings(a):
+    """Layout A: each day's pings as a path, and a visit from the first to the last."""
+
+    def body(p, date):
+        path = F.transform(p, lambda x: F.struct(_geo(x).alias("point"), _iso(x["ts"], "+02:00").alias("time")))
+        place = F.struct(F.struct(_geo(p[0]).alias("latLng")).alias("placeLocation"), F.lit("HOME").alias("semanticType"))
+        visit = F.struct(_iso(p[0]["ts"]).alias("startTime"), _iso(F.element_at(p, -1)["ts"]).alias("endTime"), F.lit(None).cast(path_type).alias("timelinePath"), F.struct(place.alias("topCandidate")).alias("visit"))
+        legs = F.struct(_iso(p[0]["ts"]).alias("startTime"), _iso(F.element_at(p, -1)["ts"]).alias("endTime"), path.alias("timelinePath"), F.lit(None).cast(visit_type).alias("visit"))
+        return F.to_json(F.struct(F.array(legs, visit).alias("semanticSegments")))
+
+    path_type = "array<struct<point: string, time: string>>"
+    visit_type = "struct<topCandidate: struct<placeLocation: struct<latLng: string>, semanticType: string>>"
+    found = exports.parse_a(_documents(a, body), a.config.start_date)
+    return found.select("source_file", "ts", _r("lat"), _r("lon"), "accuracy", "place_type")
+
+
+@query
+def export_b_pings(a):
+    """Layout B: each day's pings as a path by minutes from the first, which has no offset; a visit, on every other day too far off to be true;
+    and a move."""
+
+    def body(p, date):
+        start, last = p[0], F.element_at(p, -1)
+        minute = lambda x: F.hour(x["ts"]) * 60 + F.minute(x["ts"]) - (F.hour(start["ts"]) * 60 + F.minute(start["ts"]))
+        path = F.transform(p, lambda x, i: F.struct(_geo(x).alias("point"), F.when(i > 0, minute(x).cast("string")).alias("durationMinutesOffsetFromStartTime")))
+        far = F.when(F.dayofmonth(date) % 2 == 0, 1.0).otherwise(0.0)
+        place = F.concat((start["lat"] + far).cast("string"), F.lit("°, "), start["lon"].cast("string"), F.lit("°"))
+        item = lambda **given: F.struct(*((given[n] if n in given else F.lit(None).cast(t)).alias(n) for n, t in kinds.items()))
+        times = {"startTime": _iso(F.date_trunc("MINUTE", start["ts"])), "endTime": _iso(F.date_trunc("MINUTE", last["ts"]))}
+        visit = F.struct(F.struct(place.alias("placeLocation"), F.lit(None).cast("string").alias("semanticType")).alias("topCandidate"))
+        move = F.struct(_geo(start).alias("start"), _geo(last).alias("end"))
+        return F.to_json(F.array(item(timelinePath=path, **times), item(visit=visit, **times), item(activity=move, **times)))
+
+    kinds = {
+        "startTime": "string", "endTime": "string", "visit": "struct<topCandidate: struct<placeLocation: string, semanticType: string>>",
+        "activity": "struct<start: string, end: string>", "timelinePath": "array<struct<point: string, durationMinutesOffsetFromStartTime: string>>",
+    }
+    found = exports.parse_b(_documents(a, body), a.config.start_date)
+    return found.select("source_file", "ts", _r("lat"), _r("lon"), "accuracy")
 
 
 @query
 def loo_half_month_cv(a):
     """The driver's events lie in one month, so halves of it are the groups."""
     rows, labels = _trained(a)
-    return ml.leave_one_group_out(rows, labels, lambda date: F.when(F.dayofmonth(date) <= 15, "first").otherwise("second"))
+    return ml.leave_one_group_out(rows, labels, _half)
 
 
 @query
@@ -362,7 +455,7 @@ def classification_metrics(a):
 
 
 def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_fingerprints(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"])
+    return file_fingerprints(spark, [f"{sf_dir}/*.parquet"])
 
 
 QUERIES["file_fingerprint"] = file_fingerprint

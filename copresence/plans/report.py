@@ -44,5 +44,10 @@ def report(analysis: Analysis, file_metadata=None) -> str:
         out += _section("SHARED RESIDENCE", f"Near {home['lat']:.2f}, {home['lon']:.2f}: {home['nights']} nights from {home['first_date']} to {home['last_date']}")
     out += _section("KEY DATES", *(f"{k.replace('_', ' ').title()}: {v}" for k, v in config.key_dates.items()))
     out += _section("BY MONTH", *(f"{r.month}: {r.total_colocations} overlaps, {r.unique_days} days, {r.nights} nights" for r in months))
+    if analysis.ensemble is not None:
+        days = _one(metrics.ensemble_counts(analysis.ensemble, config))
+        total = days["together"] + days["ml_together"]
+        share = f" ({100 * total / days['tracked']:.1f}%)" if days["tracked"] else ""
+        out += _section("RULES AND MODEL", f"Together on {total} of {days['tracked']} days with both tracked{share}: {days['together']} by rule, {days['ml_together']} by the model alone.")
     out += _section("CONCLUSION", f"Together on {tracked['days_together']} of {tracked['total_tracked_days']} days on which both were tracked.")
     return "\n".join(out)

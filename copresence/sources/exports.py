@@ -69,7 +69,7 @@ def parse_a(docs: DataFrame, start_date: str) -> DataFrame:
 def parse_b(docs: DataFrame, start_date: str, phantom_m: float = 5000.0) -> DataFrame:
     parsed = docs.select("source_file", F.posexplode(F.from_json("body", f"array<{ITEM_B}>")).alias("item", "s"))
     base = parsed.withColumns({"a": wall_clock(F.col("s.startTime")), "b": wall_clock(F.col("s.endTime"))})
-    minutes = F.col("p.durationMinutesOffsetFromStartTime").try_cast("double")
+    minutes = F.coalesce(F.col("p.durationMinutesOffsetFromStartTime"), F.lit("0")).try_cast("double")
     points = base.select("source_file", "item", "a", F.explode("s.timelinePath").alias("p")).select(
         "source_file", "item", from_micros(micros(F.col("a")) + (minutes * MICROS_MINUTE).cast("long")).alias("t"), "a", F.col("p.point").alias("point")
     )

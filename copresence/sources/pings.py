@@ -1,4 +1,5 @@
-"""Pings of the driver's event table, which has no coordinates of its own: a deterministic derivation in SQL."""
+"""Pings of the driver's event table, which has no coordinates of its own: a deterministic derivation in SQL. Every event is a ping; most of
+those between 23:00 and 06:00 are moved to the hour before or after, so that nights have gaps."""
 
 from __future__ import annotations
 
@@ -14,7 +15,8 @@ SELECT event_id, person, ts, accuracy,
   alat + ((event_id % 11) - 5) * 0.0001 + CASE WHEN event_id % 97 = 0 THEN 3.0 ELSE 0.0 END AS lat,
   alon + ((event_id % 7) - 3) * 0.0001 AS lon
 FROM (
- SELECT event_id, CAST(user_id % 2 AS INT) + 1 AS person, ts,
+ SELECT event_id, CAST(user_id % 2 AS INT) + 1 AS person,
+  CASE WHEN event_id % 40 = 0 THEN ts WHEN h >= 23 THEN ts - INTERVAL '1' HOUR WHEN h < 6 THEN ts + INTERVAL '1' HOUR * (6 - h) ELSE ts END AS ts,
   CASE event_type WHEN 'view' THEN 10 WHEN 'click' THEN 15 WHEN 'error' THEN 30 ELSE 20 END AS accuracy,
   CASE WHEN d BETWEEN 21 AND 26 THEN 40.42 + h * 0.02
        WHEN h >= 20 OR h <= 8 THEN CASE WHEN p = 1 AND d % 3 = 0 THEN 50.93 WHEN p = 1 AND d % 3 = 1 THEN 50.854 ELSE 50.85 END
@@ -23,7 +25,6 @@ FROM (
        WHEN h >= 20 OR h <= 8 THEN CASE WHEN p = 1 AND d % 3 = 0 THEN 5.34 ELSE 5.70 END
        WHEN p = 0 THEN 5.98 ELSE 5.69 END AS alon
  FROM (SELECT event_id, user_id, event_type, ts, user_id % 2 AS p, hour(ts) AS h, day(ts) AS d FROM {events}) a
- WHERE NOT (h >= 23 OR h < 6) OR event_id % 40 = 0
 ) b
 ) z
 """

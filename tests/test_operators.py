@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from copresence.config import Config
 from copresence.functions.rules import MICROS_MINUTE, micros
-from copresence.operators import clean, joins, metrics, presence
+from copresence.operators import clean, datasets, joins, metrics, presence
 from copresence.plans.analysis import Analysis
 
 CONFIG = Config()
@@ -123,3 +123,35 @@ def test_no_rows_give_typed_empty_results(pings_of):
     assert tracked.total_tracked_days == 0 and tracked.pct_days_together == 0
 
 
+
+
+def test_dedup_without_accuracies(pings_of):
+    pings = pings_of([(1, 0, 50.0, 5.0, 20), (1, 0, 50.0, 5.0, 10), (1, 0, 50.0, 5.1, 10), (1, 1, 50.0, 5.0, 10), (2, 0, 50.0, 5.0, 10)]).drop("accuracy")
+    kept = clean.dedup_2min(pings)
+    assert kept.columns == pings.columns and sorted(r.ping_id for r in kept.collect()) == [0, 2, 3, 4]
+
+
+def test_overlaps_without_radii_reach_the_city_radius(pings_of):
+    """40.0 lies outside the home region, so distance alone decides; sources and made-up marks go along."""
+    rows = [(1, 0, 40.0, -3.0, 10), (2, 5, 40.04, -3.0, 10), (2, 6, 40.05, -3.0, 10)]
+    pings = clean.with_speed(pings_of(rows)).withColumn("source_file", F.concat(F.lit("f"), "person"))
+    got = joins.raw_overlaps(pings, CONFIG).collect()
+    assert [(r.p2_ping_id, r.tier, r.p1_source_file, r.p2_source_file, r.interpolated) for r in got] == [(1, "city", "f1", "f2", False)]
+    marked = clean.tag_radius(pings).withColumn("interpolated", F.col("person") == 2).drop("source_file")
+    assert joins.raw_overlaps(marked, CONFIG).count() == 0
+    near = clean.tag_radius(clean.with_speed(pings_of([(1, 0, 40.0, -3.0, 10), (2, 5, 40.0005, -3.0, 10)]))).withColumn("interpolated", F.col("person") == 2)
+    assert [(r.tier, r.p1_source_file, r.interpolated) for r in joins.raw_overlaps(near, CONFIG).collect()] == [("confirmed", "unknown", True)]
+
+
+def test_sets_of_days(spark):
+    dates = lambda *days: spark.createDataFrame([(datetime(2024, 1, d),) for d in days], "ts timestamp_ntz")
+    one, two = metrics.days(dates(1, 2, 2, 5)), metrics.days(dates(2, 3))
+    day = lambda rows: sorted(r.date.day for r in rows.collect())
+    assert day(metrics.only_first(one, two)) == [1, 5] and day(metrics.either_not_both(one, two)) == [1, 3, 5] and day(one.intersect(two)) == [2]
+    assert day(one.union(two).distinct()) == [1, 2, 3, 5]
+
+
+def test_gap_islands(spark):
+    daily = spark.createDataFrame([(datetime(2024, 1, d).date(), 0 if d in (3, 9, 10, 11, 12, 20, 21, 22) else 1) for d in range(1, 32)], "date date, n int")
+    got = [(r.first_day.day, r.last_day.day) for r in datasets.gap_islands(daily, "n").collect()]
+    assert got == [(9, 12)]

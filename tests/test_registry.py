@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from copresence.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"gbt_predictions", "gbt_importances", "classifier_comparison", "loo_half_month_cv", "file_fingerprint"}
+ROWS_ONLY = {"ensemble_from_model", "analysis_report", "gbt_predictions", "gbt_importances", "classifier_comparison", "loo_half_month_cv", "file_fingerprint"}
 
 
 def test_every_query_has_an_oracle_or_is_known_to_have_none():
@@ -30,7 +30,7 @@ def test_imports_without_llm(tmp_path):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["dedup_2min", "raw_overlaps", "fine_overlaps", "tracked_metrics", "day_features"])
+@pytest.mark.parametrize("name", ["dedup_2min", "raw_overlaps", "fine_overlaps", "tracked_metrics", "export_b_pings", "cv_groups"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")

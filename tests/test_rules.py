@@ -51,6 +51,36 @@ def test_distances(spark):
     assert value(spark, geo.geodesic_distance(*points)) == pytest.approx(132.3, abs=0.5)
 
 
+def _meridian(a, b, steps=200_000):
+    """Metres along a meridian of the ellipsoid, by the midpoint rule."""
+    f = 1 / 298.257223563
+    e2, h = f * (2 - f), math.radians(b - a) / steps
+    return abs(sum(6378137.0 * (1 - e2) / (1 - e2 * math.sin(math.radians(a) + (i + 0.5) * h) ** 2) ** 1.5 for i in range(steps)) * h)
+
+
+@pytest.mark.parametrize("points, metres, off", [
+    ((40.6, -73.8, 51.6, -0.5), 5551759.400, 1e-2),  # a published example
+    ((-(37 + 57 / 60 + 3.72030 / 3600), 144 + 25 / 60 + 29.52440 / 3600, -(37 + 39 / 60 + 10.15610 / 3600), 143 + 55 / 60 + 35.38390 / 3600), 54972.271, 1e-2),  # another
+    ((0.0, 10.0, 0.0, 11.0), 6378137.0 * math.pi / 180, 1e-3), ((0.0, 179.5, 0.0, -179.5), 6378137.0 * math.pi / 180, 1e-3),
+    ((50.0, 7.0, 50.001, 7.0), _meridian(50.0, 50.001), 1e-4), ((41.0, 7.0, 50.0, 7.0), _meridian(41.0, 50.0), 1e-3), ((50.0, 7.0, 50.02, 7.0), _meridian(50.0, 50.02), 1e-4),
+    ((50.0, 5.0, 50.0, 5.0), 0.0, 0),
+])
+def test_geodesic_against_other_sources(spark, points, metres, off):
+    assert value(spark, geo.geodesic_distance(*map(F.lit, points))) == pytest.approx(metres, abs=off)
+
+
+def test_geodesic_over_the_antimeridian_and_at_the_seam(spark):
+    at = lambda *p: value(spark, geo.geodesic_distance(*map(F.lit, p)))
+    assert at(50.0, 179.999, 50.0, -179.999) == pytest.approx(at(50.0, 0.0, 50.0, 0.002), abs=1e-6) and at(50.0, 179.999, 50.0, -179.999) == pytest.approx(143.4, abs=0.2)
+    places = [F.lit(x) for x in (50.0, 5.0, 50.01, 5.02)]
+    assert value(spark, geo.short_distance(*places)) == pytest.approx(value(spark, geo._vincenty(places[0], places[2], F.radians(F.lit(0.02)))), abs=1e-3)
+
+
+def test_country_titles(spark):
+    config = Config(country_bounds=(("your_country", 0.0, 10.0, 0.0, 10.0), ("new zealand", 20.0, 30.0, 0.0, 10.0)), border_box=None)
+    assert [value(spark, geo.country(F.lit(x), F.lit(5.0), config)) for x in (5.0, 25.0, 50.0)] == ["Your_Country", "New Zealand", "Other"]
+
+
 @pytest.mark.parametrize("lat, lon, name", [(50.72, 5.8, "Belgium"), (50.9, 6.05, "Germany"), (50.9, 5.7, "Netherlands (South Limburg)"), (52.0, 5.0, "Netherlands"), (40.4, -3.7, "Spain"), (0.0, 0.0, "Other")])
 def test_country(spark, lat, lon, name):
     assert value(spark, geo.country(F.lit(lat), F.lit(lon), CONFIG)) == name

@@ -57,6 +57,16 @@ def test_layout_b_offsets_activities_and_phantoms(spark, tmp_path):
     ]
 
 
+def test_layout_b_without_an_offset(spark, tmp_path):
+    """A point without an offset is at the start, and counts for the window of its path."""
+    b = [
+        {"startTime": "2024-01-02T10:00:00Z", "endTime": "2024-01-02T12:00:00Z", "timelinePath": [{"point": "geo:50.0,5.0"}, {"point": "geo:50.0,5.0", "durationMinutesOffsetFromStartTime": 60}]},
+        {"startTime": "2024-01-02T10:10:00Z", "endTime": "2024-01-02T11:30:00Z", "visit": {"topCandidate": {"placeLocation": "geo:51.0,5.0"}}},
+    ]
+    at = lambda h, m: datetime(2024, 1, 2, h, m)
+    assert _pings(spark, _write(tmp_path, "b.json", b)) == [(at(10, 0), 50.0, 5.0, 15), (at(11, 0), 50.0, 5.0, 15), (at(11, 30), 51.0, 5.0, 20)]
+
+
 @pytest.mark.parametrize("content", ["", "{not json", "[]", "{}", '{"semanticSegments": null}', '[{"visit": 5}]'])
 def test_corrupt_and_empty_files(spark, tmp_path, content):
     assert _pings(spark, _write(tmp_path, "x.json", content)) == []
