@@ -116,7 +116,7 @@ def test_overnight_stay_is_filled_hourly(pings_of):
 
 def test_no_rows_give_typed_empty_results(pings_of):
     empty = Analysis(pings_of([]), CONFIG)
-    assert empty.overlaps.count() == 0 and empty.raw_overlaps.count() == 0 and empty.matrix.count() == 0
+    assert empty.overlaps.count() == 0 and empty.raw_overlaps.count() == 0 and empty.matrix.count() == 24  # the hours of the start date
     stats = metrics.overlap_stats(empty.overlaps).first()
     assert stats.total_colocations == 0 and stats.first_day is None
     tracked = metrics.tracked_metrics(empty.filled, empty.trusted, CONFIG).first()
