@@ -114,11 +114,13 @@ class Segmenter:
         return [*out, unknown] if unknown else out
 
 
-def unigrams(tokens: DataFrame, seeds=SEEDS, prior: int = PRIOR) -> tuple[DataFrame, int]:
-    """(part, n): every word of two letters or more of the texts, of the hyphened names and of the paths of tokens(host, path, text), and the
-    seed words, with counts; and the sum of the counts."""
-    found = [text_words(F.col("text")), parted_words(F.col("host"), F.col("path"))]
-    words = tokens.select(F.explode(F.concat(*found)).alias("part")).filter(F.char_length("part") > 1)
+def unigrams(texts: DataFrame | None, tokens: DataFrame, seeds=SEEDS, prior: int = PRIOR) -> tuple[DataFrame, int]:
+    """(part, n): every word of two letters or more of texts(text), of the hyphened names and of the paths of tokens(host, path), and the seed
+    words, with counts; and the sum of the counts."""
+    words = tokens.select(F.explode(parted_words(F.col("host"), F.col("path"))).alias("part"))
+    if texts is not None:
+        words = words.unionAll(texts.select(F.explode(text_words(F.col("text"))).alias("part")))
+    words = words.filter(F.char_length("part") > 1)
     seeded = tokens.sparkSession.createDataFrame([(s, prior) for s in seeds], "part string, n long")
     counted = words.groupBy("part").agg(F.count("*").alias("n")).unionByName(seeded)
     counts = written(counted.groupBy("part").agg(F.sum("n").alias("n")))
@@ -188,15 +190,15 @@ def bayes(words: DataFrame, seeds=SEEDS, prior: int = PRIOR) -> tuple[float, Dat
     return math.log((n.b + 1) / (n.g + 1)), counted.select("w", "n", ratio.alias("ratio"))
 
 
-def judge(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES, learn: Column | None = None) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES, learn: Column | None = None, texts: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule, words, block_score (log odds of block) and verdict, in place of any columns of those names. learn: which
-    of the pages that a rule fits are learned from; all as a rule."""
-    text = F.col(quoted(html)) if html else F.lit(None).cast("string")
+    of the pages that a rule fits are learned from; all as a rule. texts: what the dictionary is counted in, a table with the column html;
+    pages as a rule. Columns of pages go through exchanges, so large ones that are not needed are better left out of it."""
     learns = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
-    read = pages.select(packed_row(pages).alias("page"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"), text.alias("text"), learns.alias("learns"))
+    read = pages.select(packed_row(pages).alias("page"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"), learns.alias("learns"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    counts, total = unigrams(read)
-    tokens = read.drop("text").withColumns({"raw": raw_tokens(F.col("host"), F.col("path")), "rule": rule, "ruled": verdict, "row": F.monotonically_increasing_id()})
+    counts, total = unigrams((texts if texts is not None else pages).select(F.col(quoted(html)).alias("text")) if html else None, read)
+    tokens = read.withColumns({"raw": raw_tokens(F.col("host"), F.col("path")), "rule": rule, "ruled": verdict, "row": F.monotonically_increasing_id()})
     tokens = written(tokens)
     found = segmented(tokens, counts, total)
     words = written(tokens.drop("raw").join(found, "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
@@ -214,14 +216,15 @@ def held_out_accuracy(pages: DataFrame, page_id: str = "page_id", rules=RULES) -
     """One row: how many of the urls that a rule fits were kept from learning (by a hash of the id), and the share on which the model agrees with
     the rule."""
     kept = F.crc32(F.col(page_id).cast("string")) % 4 != 2
-    found = judge(pages, rules=rules, learn=kept).filter(~kept & F.col("rule").isNotNull())
+    found = judge(pages.drop("html"), rules=rules, learn=kept, texts=pages).filter(~kept & F.col("rule").isNotNull())
     agrees = F.when(F.col("block_score") > 0, "block").otherwise("allow") == F.col("verdict")
     return found.agg(F.count("*").alias("n"), F.avg(agrees.cast("double")).alias("accuracy"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
-    return judge(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict", "words", "block_score")
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages.select("page_id", "url"), texts=pages.select("html")).select("page_id", "host", "path", "rule", "verdict", "words", "block_score")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
