@@ -2,8 +2,10 @@
 
 Texts with equal sets are one node. Nodes that share one of BANDS keys of ROWS minimal hashes each are candidates: a pair misses all
 keys with probability (1 - s ** ROWS) ** BANDS at similarity s, which is 0.00007 at 0.8 and less above. Candidates are verified on
-the sets themselves. First the neighbours in each key's order are tested, then every pair of a key that is not in one component yet,
-so the components are those of all similar candidates, while a group of copies needs no pairs of all with all.
+the sets themselves. First the neighbours in each key's order are tested, which connects groups of copies without their pairs. Of keys
+that then still hold several components, the texts are joined again by prefixes: shingles are ordered by how rare they are, and sets of
+similarity 0.8 share one of the rarest fifth of each. This loses no pair, and passages that many texts share, which make keys large,
+are no prefixes. Which shingles are rare is told by a table of hashed counts of fixed size; its collisions cost time, never a pair.
 
 Rows are told apart by id and a hash of their text, ordered by both, null ids last; so rows of one id with different texts are documents
 of their own, and rows equal in both are copies.
@@ -15,6 +17,7 @@ Other columns, of any names, are left alone. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,7 @@ from copresence.llm.simhash import SEED, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
+BUCKETS = 1 << 20  # hashed counts of shingles
 
 _random = np.random.default_rng(SEED)
 _FLIP, _ODD, _MIX = (_random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(3))
@@ -106,6 +110,53 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                hashes = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(0).slice(at, 100)])
+                total += np.bincount((hashes % BUCKETS).astype(np.int64), minlength=BUCKETS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "n"])
+
+    counted = sets.select("hashes").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.float32)
+    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    return counts
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a set: so many that sets of similarity `least` share one of each other's."""
+    size = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, counts[hashes % BUCKETS]))][: size if len(hashes) else 0]
+
+
+def by_prefix(sets: DataFrame, least: float) -> DataFrame:
+    """sets(node, root, hashes) -> the pairs(a, b) of different roots that can have a similarity of `least` by a shingle of both
+    prefixes, their sizes and what is left of each set there."""
+    counts = _counts(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                hashes = np.frombuffer(b.column(2)[i].as_buffer(), np.uint64)
+                first = prefix(hashes, counts, least)
+                n = len(first)
+                left = len(hashes) - np.arange(n, dtype=np.int64)
+                node, root, size = (pa.array(np.full(n, v, np.int64)) for v in (b.column(0)[i].as_py(), b.column(1)[i].as_py(), len(hashes)))
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), node, root, size, pa.array(left)], ["token", "node", "root", "size", "left"])
+
+    tokens = written(sets.select("node", "root", "hashes").mapInArrow(run, "token long, node long, root long, size long, left long"))
+    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    tokens = tokens.join(shared, "token", "left_semi")
+    one, two = (tokens.select("token", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "root", "size", "left"))) for n in "ab")
+    enough = F.least("a_left", "b_left") * (1 + least) >= (F.col("a_size") + F.col("b_size")) * least - 1e-6
+    return one.join(two, "token").filter("a_node < b_node AND a_root <> b_root").filter(enough).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def _classes(docs: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
     """docs(did, th, text) -> (did, th, node) of each row, and (node, first) with the (did, th) that comes first in the node's component."""
     prints = written(_prints(docs, width))
@@ -122,9 +173,8 @@ def _classes(docs: DataFrame, width: int, least: float) -> tuple[DataFrame, Data
     found = components(links)
     rooted = keyed.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rooted = written(rooted.join(open_keys, "key", "left_semi"))
-    one, two = (rooted.select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
-    apart = one.join(two, "key").filter("a < b AND a_root <> b_root").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    still = rooted.join(open_keys, "key", "left_semi").select("node", "root").distinct()
+    apart = by_prefix(written(sets.join(still, "node")), least).join(tested, ["a", "b"], "left_anti")
     found = components(links.unionAll(similar(apart, sets, least)))
 
     joined = nodes.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from copresence.llm import near_sets
 
 
@@ -58,3 +60,32 @@ def test_rows_of_one_id_and_null_ids(docs_of):
     rows = [(1, "one two three"), (1, "four five six"), (1, "one two three"), (2, "four five six"), (None, "seven"), (None, "seven"), (None, "eight"), (3, "eight")]
     kept = sorted((r.doc_id or 0, r.text) for r in near_sets.keep_first(docs_of(rows)).collect())
     assert kept == [(0, "seven"), (1, "four five six"), (1, "one two three"), (3, "eight")]
+
+
+def test_many_texts_of_one_template(spark, docs_of):
+    """Texts that share most words with all others meet by their own words, and by those alone."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(7))
+    template, rows = [word() for _ in range(150)], []
+    for base in range(60):
+        own = [word() for _ in range(50)]
+        rows.append((base * 10, " ".join(template + own)))
+        if base % 3 == 0:
+            rows.append((base * 10 + 1, " ".join(template[:130] + own)))
+        if base % 4 == 0:
+            rows.append((base * 10 + 2, " ".join([word(), *template[2:], *own[:40]])))
+    roots = _plain_roots(rows)
+    got = near_sets.near_duplicates(docs_of(rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(roots.items()) and 30 < len(set(roots.values())) <= 60
+
+
+def test_prefixes_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    families = [rng.choice(200, rng.integers(5, 60), replace=False) for _ in range(25)]
+    sets = [np.unique(rng.permutation(families[i % 25])[rng.integers(0, 4) :]).astype(np.uint64) for i in range(250)] + [np.zeros(0, np.uint64)]
+    sets += [np.arange(n, dtype=np.uint64) for n in (4, 5, 10, 35, 36)]
+    rows = [(i, i % 17, bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    got = {(r.a, r.b) for r in near_sets.by_prefix(spark.createDataFrame(rows, "node long, root long, hashes binary"), 0.8).collect()}
+    plain = [(a, b, len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b])))) for a in range(len(sets)) for b in range(a + 1, len(sets)) if a % 17 != b % 17]
+    assert {(a, b) for a, b, s in plain if s >= 0.8} <= got and len(got) < len(plain) / 4
+    assert sum(s >= 0.8 for *_, s in plain) > 20
