@@ -1,11 +1,14 @@
 """Near-duplicate documents by the Jaccard similarity of their sets of word shingles.
 
-Texts with equal sets are one node. Nodes that share one of BANDS keys of ROWS minimal hashes each are candidates: a pair misses all
-keys with probability (1 - s ** ROWS) ** BANDS at similarity s, which is 0.00007 at 0.8 and less above. Candidates are verified on
-the sets themselves. First the neighbours in each key's order are tested, which connects groups of copies without their pairs. Of keys
-that then still hold several components, the texts are joined again by prefixes: shingles are ordered by how rare they are, and sets of
-similarity 0.8 share one of the rarest fifth of each. This loses no pair, and passages that many texts share, which make keys large,
-are no prefixes. Which shingles are rare is told by a table of hashed counts of fixed size; its collisions cost time, never a pair.
+Texts with equal sets are one node. Candidates are found in two ways and verified on the sets themselves. SimHash fingerprints of the
+same shingles are linked by their Golay keys, as in the operator on fingerprints: copies with few edits. Two bits miss most pairs of
+similarity 0.8, so nodes that share one of BANDS keys of ROWS minimal hashes each are candidates too: a pair misses all
+keys with probability (1 - s ** ROWS) ** BANDS at similarity s, which is 0.00007 at 0.8 and less above. First the neighbours in each
+key's order are tested, which connects groups of copies without their pairs; large keys are tested in runs, and the runs' heads with
+each other. Of keys that then still hold several components, the texts are joined again by prefixes: shingles are ordered by how rare
+they are, and sets of similarity 0.8 share one of the rarest fifth of each. This loses no pair, and passages that many texts share, which
+make keys large, are no prefixes. Which shingles are rare is told by a table of hashed counts of fixed size; its collisions cost time,
+never a pair. Texts of a token's commonest component are not paired with each other.
 
 Rows are told apart by id and a hash of their text, ordered by both, null ids last; so rows of one id with different texts are documents
 of their own, and rows equal in both are copies.
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 
 from copresence.llm.common import packed_row, unpacked_row, written
 from copresence.llm.components import components
-from copresence.llm.simhash import SEED, shingle_hashes
+from copresence.llm.simhash import SEED, fingerprint, shingle_hashes
+from copresence.llm.simhash import links as fingerprint_links
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
 BUCKETS = 1 << 20  # hashed counts of shingles
+RUN = 4096  # nodes of a key that are put in order together, on average
 
 _random = np.random.default_rng(SEED)
 _FLIP, _ODD, _MIX = (_random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(3))
@@ -67,18 +72,20 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> list:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """(did, th, node, keys) of each row."""
+    """(did, th, node, fp, keys) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys = np.zeros(b.num_rows, np.uint64), []
+            nodes, fps, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), []
             for i, t in enumerate(b.column(2)):
-                hashes = shingle_set(t.as_py(), width)
-                nodes[i] = node_of(hashes)
+                every = shingle_hashes(t.as_py(), width)
+                hashes = np.unique(every)
+                nodes[i], fps[i] = node_of(hashes), fingerprint(every)
                 keys.append(band_keys(hashes).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["did", "th", "node", "keys"])
+            nodes, fps = (pa.array(c.view(np.int64)) for c in (nodes, fps))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], nodes, fps, pa.array(keys, pa.list_(pa.int64()))], ["did", "th", "node", "fp", "keys"])
 
-    return docs.mapInArrow(run, "did long, th long, node long, keys array<long>")
+    return docs.mapInArrow(run, "did long, th long, node long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -94,6 +101,26 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, hashes binary")
 
 
+def _ordered(a: str, b: str) -> list:
+    """A pair as columns a and b, the smaller node first."""
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """nodes(node, fp) -> (a, b): stars of nodes whose fingerprints are equal or that Golay keys link."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")).select("first", "fp"))
+    equal = nodes.join(firsts, "fp").filter("node <> first").select(*_ordered("first", "node"))
+    return equal.unionAll(fingerprint_links(firsts).select(*_ordered("a", "b"))).distinct()
+
+
+def neighbours(keyed: DataFrame) -> DataFrame:
+    """keyed(key, run, node) -> (a, b): neighbours in each run of a key, and the heads of its runs that are neighbours."""
+    before = lambda *by: F.lag("node").over(Window.partitionBy(*by).orderBy("node"))
+    inside = keyed.select("node", before("key", "run").alias("a"))
+    heads = keyed.groupBy("key", "run").agg(F.min("node").alias("node")).select("node", before("key").alias("a"))
+    return inside.unionAll(heads).filter("a IS NOT NULL").select("a", F.col("node").alias("b")).distinct()
+
+
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs(a, b) whose sets have a Jaccard similarity of `least` or more."""
 
@@ -150,25 +177,26 @@ def by_prefix(sets: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), node, root, size, pa.array(left)], ["token", "node", "root", "size", "left"])
 
     tokens = written(sets.select("node", "root", "hashes").mapInArrow(run, "token long, node long, root long, size long, left long"))
-    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    tokens = tokens.join(shared, "token", "left_semi")
-    one, two = (tokens.select("token", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "root", "size", "left"))) for n in "ab")
+    commonest = tokens.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", "n").alias("most"), F.count("*").alias("n"))
+    tokens = tokens.join(commonest.filter("n > 1").select("token", "most"), "token")
+    one, two = (side.select("token", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "root", "size", "left"))) for n, side in (("a", tokens.filter("root <> most")), ("b", tokens)))
     enough = F.least("a_left", "b_left") * (1 + least) >= (F.col("a_size") + F.col("b_size")) * least - 1e-6
-    return one.join(two, "token").filter("a_node < b_node AND a_root <> b_root").filter(enough).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return one.join(two, "token").filter("a_root <> b_root").filter(enough).select(*_ordered("a_node", "b_node")).distinct()
 
 
 def _classes(docs: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
     """docs(did, th, text) -> (did, th, node) of each row, and (node, first) with the (did, th) that comes first in the node's component."""
     prints = written(_prints(docs, width))
-    nodes = written(prints.groupBy("node").agg(F.min(F.struct("did", "th")).alias("first"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "first", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    keyed = written(keyed.join(shared, "key", "left_semi"))
-    wanted = docs.join(keyed.select("first.did", "first.th").distinct(), ["did", "th"], "left_semi")
+    nodes = written(prints.groupBy("node").agg(F.min(F.struct("did", "th")).alias("first"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    near = written(by_fingerprint(nodes.select("node", "fp")))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = written(keyed.join(shared, "key").select("key", F.expr(f"pmod(node, CEIL(n / {RUN}))").alias("run"), "node"))
+    met = keyed.select("node").unionAll(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = docs.join(nodes.join(met, "node", "left_semi").select("first.did", "first.th"), ["did", "th"], "left_semi")
     sets = written(_sets(wanted, width).dropDuplicates(["node"]))
 
-    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    tested = written(keyed.select("node", before.alias("a")).filter("a IS NOT NULL").select("a", F.col("node").alias("b")).distinct())
+    tested = written(neighbours(keyed).unionAll(near).distinct())
     links = written(similar(tested, sets, least))
     found = components(links)
     rooted = keyed.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))

@@ -89,3 +89,38 @@ def test_prefixes_lose_no_pair(spark):
     plain = [(a, b, len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b])))) for a in range(len(sets)) for b in range(a + 1, len(sets)) if a % 17 != b % 17]
     assert {(a, b) for a, b, s in plain if s >= 0.8} <= got and len(got) < len(plain) / 4
     assert sum(s >= 0.8 for *_, s in plain) > 20
+
+
+def test_fingerprints_alone_find_lightly_edited_copies(spark, docs_of):
+    """The Golay keys meet copies with a word changed in a long text, and equal fingerprints of different sets."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(6))
+    rows = []
+    for base in range(5):
+        words = [word() for _ in range(3000)]
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(words[:1500] + [word()] + words[1501:]))]
+    prints = near_sets._prints(docs_of(rows).select(*near_sets._keyed(docs_of(rows), "doc_id", "text")), 5)
+    ids = {r.node: r.did for r in prints.collect()}
+    fps = {r.did: r.fp for r in prints.collect()}
+    plain = {(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in near_sets.by_fingerprint(prints.select("node", "fp")).collect()}
+    assert found == plain and len(plain) >= 3
+    same = spark.createDataFrame([(5, 1), (3, 1), (9, 1), (4, 1 << 40)], "node long, fp long")
+    assert {(r.a, r.b) for r in near_sets.by_fingerprint(same).collect()} == {(3, 5), (3, 9), (3, 4)}
+
+
+def test_neighbours_connect_all_runs_of_a_key(spark):
+    rows = [(1, i % 3, i) for i in range(20)] + [(2, 0, 7), (2, 0, 30), (3, 0, 99)]
+    pairs = {(r.a, r.b) for r in near_sets.neighbours(spark.createDataFrame(rows, "key long, run long, node long")).collect()}
+    assert (7, 30) in pairs and not any(99 in p for p in pairs) and len(pairs) == 20
+    reached = {0}
+    for _ in rows:
+        reached |= {v for p in pairs if set(p) & reached for v in p}
+    assert reached == {*range(20), 30}
+
+
+def test_hot_keys_in_runs(docs_of, monkeypatch):
+    monkeypatch.setattr(near_sets, "RUN", 2)
+    rows = _rows()
+    roots = _plain_roots(rows)
+    assert {(r.doc_id, r.component_id) for r in near_sets.near_duplicates(docs_of(rows)).collect()} == set(roots.items())
