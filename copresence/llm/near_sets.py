@@ -8,7 +8,8 @@ key's order are tested, which connects groups of copies without their pairs; lar
 each other. Of keys that then still hold several components, the texts are joined again by prefixes: shingles are ordered by how rare
 they are, and sets of similarity 0.8 share one of the rarest fifth of each. This loses no pair, and passages that many texts share, which
 make keys large, are no prefixes. Which shingles are rare is told by a table of hashed counts of fixed size; its collisions cost time,
-never a pair. Texts of a token's commonest component are not paired with each other.
+never a pair. Texts of a token's commonest component are not paired with each other, and no pair whose marks (the parity of the number
+of shingles that fall on each of 1,024 bits) differ in more bits than sets of that similarity differ in shingles is given out.
 
 Rows are told apart by id and a hash of their text, ordered by both, null ids last; so rows of one id with different texts are documents
 of their own, and rows equal in both are copies.
@@ -37,7 +38,8 @@ from copresence.llm.simhash import links as fingerprint_links
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
 BUCKETS = 1 << 20  # hashed counts of shingles
-RUN = 4096  # nodes of a key that are put in order together, on average
+RUN = 256  # nodes of a key that are put in order together, on average
+MARKS = 16  # 64-bit words of a set's marks
 
 _random = np.random.default_rng(SEED)
 _FLIP, _ODD, _MIX = (_random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(3))
@@ -161,10 +163,22 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     return hashes[np.lexsort((hashes, counts[hashes % BUCKETS]))][: size if len(hashes) else 0]
 
 
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles on each bit. Those of two sets differ in no more bits than the sets do in shingles."""
+    parity = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * MARKS), minlength=64 * MARKS) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def by_prefix(sets: DataFrame, least: float) -> DataFrame:
     """sets(node, root, hashes) -> the pairs(a, b) of different roots that can have a similarity of `least` by a shingle of both
     prefixes, their sizes and what is left of each set there."""
-    counts = _counts(sets)
+    counts, names = _counts(sets), [f"m{i}" for i in range(MARKS)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [marks(np.frombuffer(v.as_buffer(), np.uint64)) for v in b.column(1)]
+            words = np.array(found, np.int64).reshape(-1, MARKS).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(w)) for w in words)], ["node", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,15 +187,19 @@ def by_prefix(sets: DataFrame, least: float) -> DataFrame:
                 first = prefix(hashes, counts, least)
                 n = len(first)
                 left = len(hashes) - np.arange(n, dtype=np.int64)
-                node, root, size = (pa.array(np.full(n, v, np.int64)) for v in (b.column(0)[i].as_py(), b.column(1)[i].as_py(), len(hashes)))
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), node, root, size, pa.array(left)], ["token", "node", "root", "size", "left"])
+                same = [pa.array(np.full(n, v, np.int64)) for v in (b.column(0)[i].as_py(), b.column(1)[i].as_py(), len(hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(left), *same], ["token", "left", "node", "root", "size"])
 
-    tokens = written(sets.select("node", "root", "hashes").mapInArrow(run, "token long, node long, root long, size long, left long"))
+    tokens = written(sets.select("node", "root", "hashes").mapInArrow(run, "token long, left long, node long, root long, size long"))
+    marked = written(sets.select("node", "hashes").mapInArrow(mark, ", ".join(f"{c} long" for c in ["node", *names])))
     commonest = tokens.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", "n").alias("most"), F.count("*").alias("n"))
-    tokens = tokens.join(commonest.filter("n > 1").select("token", "most"), "token")
-    one, two = (side.select("token", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "root", "size", "left"))) for n, side in (("a", tokens.filter("root <> most")), ("b", tokens)))
-    enough = F.least("a_left", "b_left") * (1 + least) >= (F.col("a_size") + F.col("b_size")) * least - 1e-6
-    return one.join(two, "token").filter("a_root <> b_root").filter(enough).select(*_ordered("a_node", "b_node")).distinct()
+    tokens = tokens.join(commonest.filter("n > 1").select("token", "most"), "token").join(marked, "node")
+    one, two = (side.select("token", *(F.col(c).alias(f"{n}_{c}") for c in ("left", "node", "root", "size", *names))) for n, side in (("a", tokens.filter("root <> most")), ("b", tokens)))
+    both = F.col("a_size") + F.col("b_size")
+    enough = F.least("a_left", "b_left") * (1 + least) >= both * least - 1e-6
+    differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in names), F.lit(0))
+    close = differ * (1 + least) <= both * (1 - least) + 1e-6
+    return one.join(two, "token").filter("a_root <> b_root").filter(enough & close).select(*_ordered("a_node", "b_node")).distinct()
 
 
 def _classes(docs: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:

@@ -84,11 +84,16 @@ def test_prefixes_lose_no_pair(spark):
     families = [rng.choice(200, rng.integers(5, 60), replace=False) for _ in range(25)]
     sets = [np.unique(rng.permutation(families[i % 25])[rng.integers(0, 4) :]).astype(np.uint64) for i in range(250)] + [np.zeros(0, np.uint64)]
     sets += [np.arange(n, dtype=np.uint64) for n in (4, 5, 10, 35, 36)]
+    spread = np.unique(rng.integers(0, 1 << 63, 300, np.int64)).astype(np.uint64)
+    sets = [np.sort(spread[s.astype(np.int64)]) for s in sets]
     rows = [(i, i % 17, bytearray(s.tobytes())) for i, s in enumerate(sets)]
     got = {(r.a, r.b) for r in near_sets.by_prefix(spark.createDataFrame(rows, "node long, root long, hashes binary"), 0.8).collect()}
     plain = [(a, b, len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b])))) for a in range(len(sets)) for b in range(a + 1, len(sets)) if a % 17 != b % 17]
     assert {(a, b) for a, b, s in plain if s >= 0.8} <= got and len(got) < len(plain) / 4
     assert sum(s >= 0.8 for *_, s in plain) > 20
+    for a, b, _ in plain[:500]:
+        differ = np.bitwise_count((near_sets.marks(sets[a]) ^ near_sets.marks(sets[b])).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(sets[a], sets[b])) and (differ > 0) <= (len(np.setxor1d(sets[a], sets[b])) > 0)
 
 
 def test_fingerprints_alone_find_lightly_edited_copies(spark, docs_of):
