@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from copresence.llm import (
+    decontamination,
+    divergence,
     language_id,
     license_scan,
     packing,
@@ -10,6 +12,7 @@ from copresence.llm import (
     resampling,
     sentencepieces,
     simhash,
+    spelling,
     suffix_dedup,
     topk_search,
     url_filter,
@@ -31,8 +34,17 @@ def queries() -> dict:
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_decontamination": decontamination.op13_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op4_exact_topk": topk_search.ORACLE_SQL, "op5_license_scan": license_scan.ORACLE_SQL}
+    return {
+        "op1_quality_rules": quality_rules.ORACLE_SQL,
+        "op4_exact_topk": topk_search.ORACLE_SQL,
+        "op5_license_scan": license_scan.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
+        "op13_decontamination": decontamination.ORACLE_SQL,
+    }
