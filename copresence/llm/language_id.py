@@ -31,19 +31,34 @@ BITS = 20
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the labelled sample: rows over all languages, landmarks among them, languages (the most frequent ones); ridge strength."""
+    """Bounds of the labelled sample: rows over all languages (8 a language at least), landmarks among them (2 a language at least) and their
+    characters, where a language has texts so short; ridge strength. Every language takes part."""
 
     sample_rows: int = 3000
     landmark_rows: int = 120
-    most_languages: int = 500
+    landmark_chars: int = 20_000
     ridge: float = 1e-2
 
 
+@dataclass
+class Postings:
+    """A sparse grams x landmarks matrix by rows."""
+
+    starts: np.ndarray
+    landmarks: np.ndarray
+    values: np.ndarray
+    width: int
+
+
+#: Values of a dense matrix of landmarks; a larger one is kept as postings, which give the same products.
+DENSE = 1 << 24
+
+
 @dataclass
 class Model:
     languages: list[str]
     grams: np.ndarray | None = None  # the sorted n-grams of all landmarks
-    landmarks: np.ndarray | None = None  # grams x landmarks, each column scaled by 1 / sqrt(|G_n|)
+    landmarks: np.ndarray | Postings | None = None  # grams x landmarks, each column scaled by 1 / sqrt(|G_n|)
     weights: np.ndarray | None = None  # landmarks x languages, the last row the intercepts
 
 
@@ -77,34 +92,58 @@ def scales(present: np.ndarray) -> np.ndarray:
     return 1 / np.sqrt(np.bincount(order, minlength=len(ORDERS))[order] * len(ORDERS))
 
 
-def kernel(texts: list[str], codes: np.ndarray, landmarks: np.ndarray, known: np.ndarray) -> np.ndarray:
+def landmark_matrix(present: list[np.ndarray], dense: int | None = None) -> tuple[np.ndarray, np.ndarray | Postings]:
+    """The sorted grams of all landmarks, and grams x landmarks."""
+    known = np.unique(np.concatenate(present))
+    at = [np.searchsorted(known, p) for p in present]
+    if len(known) * len(present) <= (DENSE if dense is None else dense):
+        landmarks = np.zeros((len(known), len(present)), np.float32)
+        for j, p in enumerate(present):
+            landmarks[at[j], j] = scales(p)
+        return known, landmarks
+    rows, columns = np.concatenate(at), np.repeat(np.arange(len(present), dtype=np.int32), [len(p) for p in present])
+    order = np.argsort(rows, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(known)))])
+    values = np.concatenate([scales(p) for p in present]).astype(np.float32)
+    return known, Postings(starts, columns[order], values[order], len(present))
+
+
+def kernel(texts: list[str], codes: np.ndarray, landmarks: np.ndarray | Postings, known: np.ndarray) -> np.ndarray:
     """Texts x landmarks. known: the grams of the rows of `landmarks`; others have no part in any product."""
-    x = np.zeros((len(texts), len(landmarks)), np.float32)
+    sparse = isinstance(landmarks, Postings)
+    x = np.zeros((len(texts), landmarks.width if sparse else len(landmarks)), np.float32)
     for i, text in enumerate(texts):
         present = grams(text, codes)
         at = np.minimum(np.searchsorted(known, present), len(known) - 1)
         hit = known[at] == present
-        x[i, at[hit]] = scales(present)[hit]
-    return x @ landmarks
+        if not sparse:
+            x[i, at[hit]] = scales(present)[hit]
+            continue
+        at, weight = at[hit], scales(present)[hit]
+        size = landmarks.starts[at + 1] - landmarks.starts[at]
+        place = np.arange(size.sum()) + np.repeat(landmarks.starts[at] - (np.cumsum(size) - size), size)
+        x[i] = np.bincount(landmarks.landmarks[place], np.repeat(weight, size) * landmarks.values[place], landmarks.width)
+    return x if sparse else x @ landmarks
 
 
 def sampled(docs: DataFrame, settings: Fit) -> tuple[list[str], DataFrame]:
     """Languages, and a sample (lang, text, h) of at most settings.sample_rows rows (8 a language at least) of docs(doc_id, text, lang), about
     equally many of each language; h orders them. Which rows it holds depends on a hash of id and text alone."""
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
-    most = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_languages).collect()
-    counts = {r.lang: r.n for r in most}
-    if not counts:
+    counted = cut(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = sorted(r.lang for r in counted.collect())
+    if not languages:
         return [], usable
-    share = max(8, settings.sample_rows // len(counts))
+    share = max(8, settings.sample_rows // len(languages))
     # twice the share is expected to pass; the exact bound is drawn from that
-    rate = F.create_map(*(x for l, n in sorted(counts.items()) for x in (F.lit(l), F.lit(min(1.0, 2 * share / n)))))
+    rates = counted.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(2.0 * share) / F.col("n")).alias("rate"))
     h = F.xxhash64("doc_id", "text")
     chance = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
-    passed = usable.select("lang", "text", h.alias("h")).filter(chance < rate[F.col("lang")])
+    # a rate a language: as few rows as the model has classes
+    passed = usable.select("lang", "text", h.alias("h"), chance.alias("chance")).join(F.broadcast(rates), F.col("lang") == F.col("of")).filter("chance < rate")
     once = passed.groupBy("lang", "h").agg(F.first("text").alias("text"))
     within = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("h"), F.lit(1 << 40)), "h"))
-    return sorted(counts), once.withColumn("place", within).filter(F.col("place") <= share)
+    return languages, once.withColumn("place", within).filter(F.col("place") <= share)
 
 
 def fit(docs: DataFrame, settings: Fit = Fit()) -> Model:
@@ -115,12 +154,10 @@ def fit(docs: DataFrame, settings: Fit = Fit()) -> Model:
     sample = cut(sample)
     codes = symbol_table()
     each = max(2, settings.landmark_rows // len(languages))
-    picked = [r.text for r in sample.filter(F.col("place") <= each).select("lang", "place", "text").orderBy("lang", "place").collect()]
-    present = [grams(t, codes) for t in picked]
-    known = np.unique(np.concatenate(present))
-    landmarks = np.zeros((len(known), len(picked)), np.float32)
-    for j, p in enumerate(present):
-        landmarks[np.searchsorted(known, p), j] = scales(p)
+    short = Window.partitionBy("lang").orderBy(F.greatest(F.char_length("text"), F.lit(settings.landmark_chars)), "place")
+    chosen = sample.withColumn("turn", F.row_number().over(short)).filter(F.col("turn") <= each)
+    present = [grams(r.text, codes) for r in chosen.select("lang", "turn", "text").orderBy("lang", "turn").toLocalIterator()]
+    known, landmarks = landmark_matrix(present)
     shared = docs.sparkSession.sparkContext.broadcast((landmarks, known))
 
     def kernel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +171,22 @@ def fit(docs: DataFrame, settings: Fit = Fit()) -> Model:
     got = sample.select("text", "lang").mapInArrow(kernel_rows, "lang string, k array<double>").collect()
     k = np.array([r.k for r in got])
     y = np.where(np.array([r.lang for r in got])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    between = landmarks.astype(np.float64).T @ landmarks
+    between = _between(present, known, landmarks)
     return Model(languages, known, landmarks, ridge(between, k, y, settings.ridge * len(k) / len(languages)))
 
 
+def _between(present: list[np.ndarray], known: np.ndarray, landmarks: np.ndarray | Postings) -> np.ndarray:
+    """Landmarks x landmarks."""
+    if not isinstance(landmarks, Postings):
+        return landmarks.astype(np.float64).T @ landmarks
+    out = np.zeros((landmarks.width, landmarks.width))
+    for i, p in enumerate(present):
+        for g, w in zip(np.searchsorted(known, p), scales(p), strict=True):
+            run = slice(landmarks.starts[g], landmarks.starts[g + 1])
+            out[i, landmarks.landmarks[run]] += w * landmarks.values[run]
+    return out
+
+
 def ridge(between: np.ndarray, k: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     """Weights of landmarks, and intercepts, of ridge regression on Nyström features. between: kernel of the landmarks; k: of the sample
     with them; y: sample x languages, 1 or -1."""

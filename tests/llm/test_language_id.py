@@ -104,3 +104,26 @@ def test_without_labels_or_rows(spark):
     assert model.languages == []
     assert [r.lang_pred for r in L.predict(_docs(spark).limit(2), model).collect()] == ["und", "und"]
     assert L.predict(docs, model).collect() == []
+
+
+def test_postings_give_the_same_products():
+    texts = ["the cat sat", "der Hund lief", "le chat noir est là", "1 2", "Über the Hund"]
+    codes = L.symbol_table()
+    present = [L.grams(t, codes) for t in texts[:3]]
+    (known, dense), (same, sparse) = L.landmark_matrix(present), L.landmark_matrix(present, dense=0)
+    assert (known == same).all() and isinstance(sparse, L.Postings)
+    one, two = (L.kernel(texts, codes, m, known) for m in (dense, sparse))
+    assert np.allclose(one, two, atol=1e-6)
+    assert np.allclose(L._between(present, known, dense), L._between(present, known, sparse), atol=1e-6)
+
+
+def test_every_one_of_many_languages_takes_part(spark):
+    """Over 500 languages, each of its own letters: none is left out, and the landmarks stay small."""
+    rows = [(1000 * i + k, " ".join(chr(0x4E00 + 8 * i + (k + j) % 8) * 2 for j in range(5)), f"l{i:03}") for i in range(520) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = L.fit(docs)
+    assert len(model.languages) == 520
+    held = model.landmarks
+    assert (held.values.nbytes + held.landmarks.nbytes + held.starts.nbytes if isinstance(held, L.Postings) else held.nbytes) + model.weights.nbytes < 1 << 27
+    got = L.predict(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.99 * len(got)
