@@ -6,7 +6,7 @@ segment), see golay.keys. Distinct fingerprints are joined on those keys and ver
 handled by bit flips instead, which is exact too and bounds every group by 65.
 
 Defined results: null or empty text, or text without a word, has fingerprint zero and is linked like any other. Rows with a null id
-get a fingerprint and their fingerprint's component (null where no row of the fingerprint's own has an id). Repeated rows and
+link others like any row and get their component's id, which is null where no row of the component has one. Repeated rows and
 repeated ids count once and are returned each. Extra columns do not matter: only id and text are read.
 """
 
@@ -154,9 +154,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, fp, component_id) of each row."""
     prints = written(fingerprints(docs, doc_id, text))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct.filter("first IS NOT NULL").select("first", "fp")))
-    classes = distinct.join(found, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # rows without ids link others too, so that fingerprints are the nodes, and ids only name the components
+    found = components(links(distinct.select(F.col("fp").alias("first"), "fp")))
+    classes = written(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+    named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,13 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(101)} | {i: 1000 for i in range(1000, 1400)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_without_ids_link_others(docs_of, spark, monkeypatch):
+    """1 and 2 are two bits from a row without an id, and four from each other; two rows without ids are a component without a name."""
+    a = 0b1011 << 20
+    prints = [(1, a ^ 0b11), (None, a), (2, a ^ 0b1100), (5, 1 << 62), (None, ~a & 0x7FFFFFFF00000000), (None, (~a & 0x7FFFFFFF00000000) ^ 1)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(prints, "doc_id long, fp long"))
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(docs_of([(1, "x")])).collect()), key=lambda r: r[1])
+    want = sorted(((i, f, {a: 1, a ^ 0b11: 1, a ^ 0b1100: 1, 1 << 62: 5}.get(f)) for i, f in prints), key=lambda r: r[1])
+    assert got == want
