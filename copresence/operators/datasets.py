@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copresence.config import Config
 from copresence.functions.geo import rounded
 from copresence.functions.rules import is_night
 from copresence.operators.metrics import bounds_of, daily_counts, day_spine, days
+from copresence.operators.sequence import runs_of_days
 
 
 def week_of(date: Column, start: Column) -> Column:
@@ -45,6 +46,23 @@ def map_cells(overlaps: DataFrame, digits: int = 3) -> DataFrame:
     })
 
 
+def map_pyramid(overlaps: DataFrame, zooms: tuple[int, ...] = tuple(range(0, 18))) -> DataFrame:
+    """(zoom, x, y, n, unique_days, nights, lat, lon): all overlaps in the cells of each zoom level, with their mean position. A level has 2 ** zoom cells
+    from north to south and twice as many around. Dates are counted from one aggregation of the finest cells by date, which combines
+    before its shuffle; coarser cells add up what finer ones hold."""
+    deep = max(zooms)
+    at = lambda column, cells, span: F.floor(column * F.lit(float(cells)) / F.lit(span))
+    x, y = at(F.col("lon") + 180.0, 1 << (deep + 1), 360.0), at(F.lit(90.0) - F.col("lat"), 1 << deep, 180.0)
+    finest = overlaps.groupBy(x.alias("_x"), y.alias("_y"), F.to_date("ts").alias("date")).agg(
+        F.count("*").alias("n"), F.count_if(is_night(F.hour("ts"))).alias("nights"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon")
+    )
+    up = lambda c: F.expr(f"shiftright({c}, {deep} - zoom)")
+    dealt = finest.withColumn("zoom", F.explode(F.array(*map(F.lit, sorted(zooms))))).withColumns({"x": up("_x"), "y": up("_y")})
+    daily = dealt.groupBy("zoom", "x", "y", "date").agg(*(F.sum(c).alias(c) for c in ("n", "nights", "lat", "lon")))
+    cells = daily.groupBy("zoom", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("unique_days"), F.sum("nights").alias("nights"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"))
+    return cells.withColumns({"lat": F.col("lat") / F.col("n"), "lon": F.col("lon") / F.col("n")})
+
+
 def density(pings: DataFrame, overlaps: DataFrame, config: Config) -> DataFrame:
     """Pings, made-up pings and overlaps of every day."""
     p, made_up = F.col("person"), F.coalesce("interpolated", F.lit(False))
@@ -59,10 +77,19 @@ def density(pings: DataFrame, overlaps: DataFrame, config: Config) -> DataFrame:
 
 def gap_islands(daily: DataFrame, column: str, least_days: int = 4) -> DataFrame:
     """(first_day, last_day) of runs of dates on which `column` is zero, of `least_days` dates or more."""
-    zero = daily.filter(F.col(column) == 0).select("date")
-    island = F.date_sub("date", F.row_number().over(Window.orderBy("date")))
-    runs = zero.withColumn("island", island).groupBy("island").agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count("*").alias("n_days"))
-    return runs.filter(F.col("n_days") >= least_days).select("first_day", "last_day")
+    runs = runs_of_days(daily.filter(F.col(column) == 0).select("date"))
+    return runs.filter(F.datediff("last_day", "first_day") + 1 >= least_days)
+
+
+def report_gaps(reports: DataFrame, bounds: DataFrame, key: str = "person", least_days: int = 4) -> DataFrame:
+    """reports(key, ts) -> (key, first_day, last_day) of the runs of `least_days` dates or more without a report of the key, from the first to the last
+    date of bounds(start, end)."""
+    seen = reports.select(key, F.to_date("ts").alias("date")).distinct()
+    all_days = bounds.filter("start <= end").select(F.sequence("start", "end", F.expr("INTERVAL 1 DAY")).alias("all"))
+    # each key's empty dates: those of the calendar, an array of one row, less its own
+    own = seen.groupBy(key).agg(F.collect_set("date").alias("own"))
+    empty = own.join(F.broadcast(all_days)).select(key, F.explode(F.array_except("all", "own")).alias("date"))
+    return runs_of_days(empty, key).filter(F.datediff("last_day", "first_day") + 1 >= least_days)
 
 
 def day_states(pings: DataFrame, trusted_overlaps: DataFrame, ensemble: DataFrame | None, config: Config) -> DataFrame:

@@ -14,21 +14,22 @@ from copresence.functions.geo import between_positions, country, fast_distance,
 from copresence.functions.rules import MICROS_HOUR, MICROS_MINUTE, fine_tier, from_micros, raw_tier
 
 
-def bucketed_range_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, reach: int) -> DataFrame:
-    """Pairs whose integers are at most `reach` apart. The left side is copied to its bucket and both neighbours."""
+def bucketed_range_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, reach: int, bound: Column | None = None) -> DataFrame:
+    """Pairs whose integers are at most `reach` apart. The left side is copied to its bucket and both neighbours. bound: what else the join looks
+    at, such as the bound of event times by which streams expire their state."""
     b = F.floor(F.col(left_at) / F.lit(reach))
     near = left.withColumn("_bucket", F.explode(F.array(b - 1, b, b + 1)))
     there = right.withColumn("_there", F.floor(F.col(right_at) / F.lit(reach)))
-    joined = near.join(there, F.col("_bucket") == F.col("_there"))
+    joined = near.join(there, _and(F.col("_bucket") == F.col("_there"), bound))
     return joined.filter(F.abs(F.col(left_at) - F.col(right_at)) <= reach).drop("_bucket", "_there")
 
 
-def interval_overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
+def interval_overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: int, bound: Column | None = None) -> DataFrame:
     """Pairs of intervals that overlap by more than a point, with `overlap_start` and `overlap_end`. Intervals are copied to each
     bucket they touch; a pair counts in the bucket where its overlap starts."""
     touched = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.lit(width)), F.floor(F.col(b) / F.lit(width))))
     one, two = left.withColumn("_bucket", touched(*left_span)), right.withColumn("_there", touched(*right_span))
-    joined = one.join(two, F.col("_bucket") == F.col("_there"))
+    joined = one.join(two, _and(F.col("_bucket") == F.col("_there"), bound))
     joined = joined.withColumns({
         "overlap_start": F.greatest(left_span[0], right_span[0]), "overlap_end": F.least(left_span[1], right_span[1]),
     })
@@ -36,6 +37,10 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[st
     return joined.filter(here & (F.col("overlap_start") < F.col("overlap_end"))).drop("_bucket", "_there")
 
 
+def _and(one: Column, two: Column | None) -> Column:
+    return one if two is None else one & two
+
+
 def _side(df: DataFrame, person: int, prefix: str) -> DataFrame:
     mine = df.filter(F.col("person") == person).drop("person")
     return mine.select(*(F.col(c).alias(f"{prefix}{c}") for c in mine.columns))
@@ -44,19 +49,29 @@ def _side(df: DataFrame, person: int, prefix: str) -> DataFrame:
 def raw_overlaps(pings: DataFrame, config: Config, first: int = 1, second: int = 2) -> DataFrame:
     """All pairs of pings of two persons close in time and space. pings need speed_kmh; where they have no geofence_radius, all within the
     city radius count. Where they have them, the source files of both and whether one is made up go along."""
+    one, two = raw_sides(pings, first, second)
+    return judged_pairs(bucketed_range_join(one, two, "p1_us", "p2_us", config.time_minutes * MICROS_MINUTE), config, "geofence_radius" in pings.columns)
+
+
+def raw_sides(pings: DataFrame, first: int = 1, second: int = 2, *more: str) -> tuple[DataFrame, DataFrame]:
+    """What raw_overlaps reads of the pings of either person, with prefixes p1_ and p2_."""
     with_radius = "geofence_radius" in pings.columns
     radius = F.col("geofence_radius") if with_radius else F.lit(None).cast("double")
     given = lambda name, kind, default: (F.coalesce(name, F.lit(default)) if name in pings.columns else F.lit(default)).cast(kind).alias(name)
-    read = pings.select("person", "ping_id", "us", "lat", "lon", radius.alias("geofence_radius"), "speed_kmh", given("source_file", "string", "unknown"), given("interpolated", "boolean", False))
-    one, two = (_side(read, p, f"p{i}_") for i, p in ((1, first), (2, second)))
-    pairs = bucketed_range_join(one, two, "p1_us", "p2_us", config.time_minutes * MICROS_MINUTE)
+    read = pings.select("person", "ping_id", "us", "lat", "lon", radius.alias("geofence_radius"), "speed_kmh", given("source_file", "string", "unknown"), given("interpolated", "boolean", False), *more)
+    return tuple(_side(read, p, f"p{i}_") for i, p in ((1, first), (2, second)))
+
+
+def judged_pairs(pairs: DataFrame, config: Config, with_radius: bool, *more: str) -> DataFrame:
+    """Pairs of pings that are close enough in space, with their tier."""
     c = F.col
     places = (c("p1_lat"), c("p1_lon"), c("p2_lat"), c("p2_lon"))
     tier1 = F.lit(config.distance_m)
     reach = F.coalesce("p1_geofence_radius", tier1) + F.coalesce("p2_geofence_radius", tier1) if with_radius else F.lit(config.city_m)
     # pairs that are far apart by the short formula need no series
     pairs = pairs.filter(short_distance(*places) <= reach * 1.05 + 100.0)
-    pairs = pairs.withColumn("distance_m", geodesic_distance(*places)).filter(c("distance_m") <= reach)
+    # a generator keeps the series from being copied into each condition that reads its result
+    pairs = pairs.withColumn("distance_m", F.explode(F.array(geodesic_distance(*places)))).filter(c("distance_m") <= reach)
     label = country(c("p1_lat"), c("p1_lon"), config)
     at_home = F.lit(False)
     for name in config.home_countries:
@@ -68,13 +83,17 @@ def raw_overlaps(pings: DataFrame, config: Config, first: int = 1, second: int =
         c("p1_us").alias("us"), from_micros(c("p1_us")).alias("ts"), ((c("p1_lat") + c("p2_lat")) / 2).alias("lat"),
         ((c("p1_lon") + c("p2_lon")) / 2).alias("lon"), "distance_m", raw_tier(c("distance_m"), config).alias("tier"),
         "p1_ping_id", "p2_ping_id", "p1_lat", "p1_lon", "p2_lat", "p2_lon", "p1_source_file", "p2_source_file",
-        (c("p1_interpolated") | c("p2_interpolated")).alias("interpolated"),
+        (c("p1_interpolated") | c("p2_interpolated")).alias("interpolated"), *more,
     )
 
 
+def sides_of_legs(legs: DataFrame, first: int = 1, second: int = 2) -> tuple[DataFrame, DataFrame]:
+    return _side(legs, first, "a_"), _side(legs, second, "b_")
+
+
 def segment_pairs(legs: DataFrame, first: int = 1, second: int = 2) -> DataFrame:
     """Pairs of legs of two persons that overlap in time."""
-    one, two = _side(legs, first, "a_"), _side(legs, second, "b_")
+    one, two = sides_of_legs(legs, first, second)
     return interval_overlap_join(one, two, ("a_start_us", "a_end_us"), ("b_start_us", "b_end_us"), MICROS_HOUR)
 
 
@@ -98,8 +117,13 @@ def on_grid(pairs: DataFrame, start: str, end: str, step_us: int) -> DataFrame:
 
 def fine_matches(legs: DataFrame, config: Config, step_us: int = MICROS_MINUTE) -> DataFrame:
     """Minutes at which two persons are together, before the choice of the closest in each bucket."""
+    return matches_of(segment_pairs(legs), config, step_us)
+
+
+def matches_of(pairs: DataFrame, config: Config, step_us: int = MICROS_MINUTE) -> DataFrame:
+    """Minutes of pairs of legs at which two persons are together."""
     c = F.col
-    pairs = segment_pairs(legs).filter(c("a_geofence_radius").isNotNull() & c("b_geofence_radius").isNotNull())
+    pairs = pairs.filter(c("a_geofence_radius").isNotNull() & c("b_geofence_radius").isNotNull())
     middle = ((c("a_start_lat") + c("b_start_lat")) * 0.5, (c("a_start_lon") + c("b_start_lon")) * 0.5)
     driving = (c("a_movement") == "driving") | (c("b_movement") == "driving")
     context = F.when(driving & ~in_home_region(*middle, config), 2000.0).otherwise(F.lit(config.neighborhood_m))

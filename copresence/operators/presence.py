@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from copresence.config import Config
 from copresence.functions.geo import between_positions, fast_distance, rounded
-from copresence.functions.rules import MICROS_HOUR, MICROS_MINUTE, from_micros
-from copresence.operators.clean import in_order, segments
+from copresence.functions.rules import MICROS_DAY, MICROS_HOUR, MICROS_MINUTE, from_micros
+from copresence.operators.clean import segments
+from copresence.operators.sequence import with_neighbours
 
 #: Ids of made-up pings start here, so that they come behind real ones of the same time.
 SYNTHETIC_ID = 1 << 60
@@ -26,14 +27,18 @@ def home_cells(pings: DataFrame, config: Config, digits: int = 2, least: int = 1
 
 def overnight_fill(pings: DataFrame, homes: DataFrame, config: Config) -> DataFrame:
     """Hourly pings at home between an evening and a morning ping near it. homes has a row a person."""
-    nxt = lambda c: F.lead(c).over(in_order())
+    return stays_between(with_neighbours(pings.select("person", "ping_id", "us", "lat", "lon"), ["lat", "lon"], following="n"), homes, config)
+
+
+def stays_between(near_: DataFrame, homes: DataFrame, config: Config) -> DataFrame:
+    """near_(person, us, lat, lon, n): pings and what follows each -> stays."""
     c = F.col
-    ahead = pings.withColumns({"n_us": nxt("us"), "n_ts": nxt("ts"), "n_lat": nxt("lat"), "n_lon": nxt("lon")})
-    night = (F.hour("ts") >= 19) & (F.hour("n_ts") <= 10) & (F.to_date("n_ts") > F.to_date("ts")) & (c("n_us") - c("us") <= 16 * MICROS_HOUR)
+    day, hour = (lambda us: F.floor(c(us) / F.lit(MICROS_DAY))), (lambda us: F.floor(F.pmod(c(us), F.lit(MICROS_DAY)) / F.lit(MICROS_HOUR)))
+    night = (hour("us") >= 19) & (hour("n.us") <= 10) & (day("n.us") > day("us")) & (c("n.us") - c("us") <= 16 * MICROS_HOUR)
     near = lambda lat, lon: fast_distance(c(lat), c(lon), c("home_lat"), c("home_lon")) <= config.home_tolerance_m
-    stays = ahead.filter(night).join(homes, "person").filter(near("lat", "lon") & near("n_lat", "n_lon"))
+    stays = near_.filter(night).join(homes, "person").filter(near("lat", "lon") & near("n.lat", "n.lon"))
     first = (F.floor(c("us") / F.lit(MICROS_HOUR)) + 1) * MICROS_HOUR
-    last = F.floor(c("n_us") / F.lit(MICROS_HOUR)) * MICROS_HOUR - MICROS_HOUR
+    last = F.floor(c("n.us") / F.lit(MICROS_HOUR)) * MICROS_HOUR - MICROS_HOUR
     hours = stays.withColumns({"_a": first, "_b": last}).filter("_b >= _a").withColumn("t", F.explode(F.sequence("_a", "_b", F.lit(MICROS_HOUR))))
     return _made_up(hours, "t", c("home_lat"), c("home_lon"), F.lit("overnight"), F.lit(50.0), F.lit(None).cast("double"), F.lit(50))
 
@@ -41,8 +46,13 @@ def overnight_fill(pings: DataFrame, homes: DataFrame, config: Config) -> DataFr
 def interpolated(pings: DataFrame, config: Config) -> DataFrame:
     """Pings on legs of half an hour or more: every 30, 15 or 60 minutes for stationary, walking and driving ones. The last whole step
     of a leg is left out."""
+    return made_up_between(segments(pings, config.travel_max_gap_hours))
+
+
+def made_up_between(legs: DataFrame) -> DataFrame:
+    """Pings on legs."""
     c = F.col
-    legs = segments(pings, config.travel_max_gap_hours).filter((c("gap_h") >= 0.5) & c("movement").isin("stationary", "walking", "driving"))
+    legs = legs.filter((c("gap_h") >= 0.5) & c("movement").isin("stationary", "walking", "driving"))
     step = F.when(c("movement") == "stationary", 30).when(c("movement") == "walking", 15).otherwise(60)
     legs = legs.withColumn("step_us", step.cast("long") * F.lit(MICROS_MINUTE))
     legs = legs.withColumn("n", F.floor((c("end_us") - c("start_us")) / c("step_us")))
@@ -74,7 +84,3 @@ def with_overnight(pings: DataFrame, homes: DataFrame, config: Config) -> DataFr
     rest = [c for c in both.columns if c not in ("person", "us", "lat", "lon", "ping_id")]
     first = both.groupBy("person", "us", "lat", "lon").agg(F.min(F.struct("ping_id", *rest)).alias("b"))
     return first.select("person", "us", "lat", "lon", "b.*").select(*both.columns)
-
-
-def with_interpolation(pings: DataFrame, config: Config) -> DataFrame:
-    return pings.unionByName(interpolated(pings, config), allowMissingColumns=True)

@@ -51,15 +51,15 @@ class Analysis:
     @cached_property
     def filled(self) -> DataFrame:
         """Pings, overnight stays and presence in gaps, which most results use several times over."""
-        return self._kept(presence.with_interpolation(self.overnight, self.config))
+        return self._kept(self.overnight.unionByName(presence.made_up_between(self.legs), allowMissingColumns=True))
 
     @cached_property
     def raw_overlaps(self) -> DataFrame:
-        return joins.raw_overlaps(clean.with_speed(self.pings), self.config)
+        return self._kept(joins.raw_overlaps(self._kept(clean.with_speed(self.pings)), self.config))
 
     @cached_property
     def legs(self) -> DataFrame:
-        return clean.segments(self.overnight, self.config.travel_max_gap_hours)
+        return self._kept(clean.segments(self.overnight, self.config.travel_max_gap_hours))
 
     @cached_property
     def overlaps(self) -> DataFrame:
@@ -123,6 +123,7 @@ class Analysis:
             "hourly_matrix": matrix.with_codes(matrix.fill_dense_days(hours)),
             "monthly_summary": metrics.month_coverage(self.filled, self.overlaps, self.config),
             "interactive_map": datasets.map_cells(self.overlaps),
+            "map_pyramid": datasets.map_pyramid(self.overlaps),
             "confidence_timeline": datasets.density(self.filled, self.overlaps, self.config),
             "day_calendar": datasets.day_states(self.filled, self.trusted, self.ensemble, self.config),
         }

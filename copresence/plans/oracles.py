@@ -396,4 +396,19 @@ FROM targets LEFT JOIN (SELECT target_us, count(*) FILTER (person = 1) AS n1, co
     SELECT coalesce(n_confirmed / n_overlaps, 0) >= 0.5 AS said, label <> 'apart' AS is_ FROM labels_ JOIN feat USING (date) LEFT JOIN ovf USING (date)))""",
 }
 
+#: Streams that are replayed to their end have the rows of the batch.
+for _name in ("raw_overlaps", "fine_overlaps"):
+    FINALS[f"stream_{_name}"] = FINALS[_name]
+FINALS["stream_segments"], FINALS["stream_overnight"] = FINALS["movement_segments"], FINALS["overnight_fill"]
+FINALS["stream_gap_islands"] = f"SELECT * FROM ({FINALS['gap_islands']}) WHERE first_day > (SELECT min({DAY}) FROM trust) AND last_day < (SELECT max({DAY}) FROM trust)"
+FINALS["report_gaps"] = """WITH e AS (SELECT concat(user_id, ':', event_type) AS reporter, ts::DATE AS date FROM events)
+SELECT reporter, min(date) AS first_day, max(date) AS last_day FROM (
+  SELECT reporter, date, date - CAST(row_number() OVER (PARTITION BY reporter ORDER BY date) AS INTEGER) AS island
+  FROM (SELECT DISTINCT reporter FROM e) CROSS JOIN (SELECT unnest(generate_series(DATE '2024-01-01', (SELECT max(date) FROM e), INTERVAL 1 DAY))::DATE AS date)
+  ANTI JOIN (SELECT DISTINCT reporter, date FROM e) USING (reporter, date)) GROUP BY reporter, island HAVING count(*) >= 4"""
+# the cells of a level are those of a regular grid: 2 ** zoom of them span the latitudes, twice as many the longitudes
+FINALS["map_pyramid"] = f"""SELECT zoom, x, y, count(*) AS n, count(DISTINCT {DAY}) AS unique_days, count(*) FILTER ({NIGHT}) AS nights FROM (
+  SELECT ts, zoom, CAST(floor((lon + 180.0::DOUBLE) * (1 << (zoom + 1))::DOUBLE / 360.0::DOUBLE) AS BIGINT) AS x, CAST(floor((90.0::DOUBLE - lat) * (1 << zoom)::DOUBLE / 180.0::DOUBLE) AS BIGINT) AS y
+  FROM fine CROSS JOIN (SELECT unnest([0, 4, 8, 12, 16]) AS zoom)) GROUP BY zoom, x, y"""
+
 ORACLES = {name: chain(sql, "fine" if name == "month_coverage" else "trust") for name, sql in FINALS.items()}

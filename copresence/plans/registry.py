@@ -15,6 +15,9 @@ from copresence.plans.report import report
 from copresence.sources import exports
 from copresence.sources.exports import file_fingerprints
 from copresence.sources.pings import event_pings
+from copresence.streaming import colocation as streams
+from copresence.streaming import run as streaming
+from copresence.streaming import sequence as streamed
 
 CONFIG = Config(first_meeting="2024-01-05", key_dates={"first_meeting": "2024-01-05"})
 QUERIES = {}
@@ -276,6 +279,11 @@ def map_cells(a):
     return datasets.map_cells(a.overlaps)
 
 
+@query
+def map_pyramid(a):
+    return datasets.map_pyramid(a.overlaps, (0, 4, 8, 12, 16)).select("zoom", "x", "y", "n", "unique_days", "nights")
+
+
 @query
 def density_timeline(a):
     return datasets.density(a.filled, a.overlaps, a.config)
@@ -286,6 +294,16 @@ def gap_islands(a):
     return datasets.gap_islands(datasets.density(a.filled, a.trusted, a.config), "overlaps", least_days=1)
 
 
+def report_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four dates or more without an event of a user and type."""
+    events = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
+    reports = events.select(F.concat_ws(":", c("user_id").cast("string"), "event_type").alias("reporter"), "ts")
+    return datasets.report_gaps(reports, metrics.bounds_of(CONFIG, events), "reporter")
+
+
+QUERIES["report_gaps"] = report_gaps
+
+
 @query
 def day_calendar(a):
     return datasets.day_states(a.filled, a.trusted, _rule_ensemble(a), a.config)
@@ -454,6 +472,59 @@ def classification_metrics(a):
     return ml.metrics_of(stand_in.withColumn("y", rules.label_to_binary(c("label"))), "y", "p", 0.5)
 
 
+def _clocked(rows: DataFrame) -> DataFrame:
+    """ts as the time that a watermark can follow."""
+    return rows.withColumn("ts", F.timestamp_micros("us"))
+
+
+#: Microseconds behind the last row that move the watermark past all windows and the longest leg.
+_LATER = 60 * rules.MICROS_HOUR
+_NOBODY = {"person": 0, "ping_id": -1, "lat": 0.0, "lon": 0.0}
+
+
+@query
+def stream_raw_overlaps(a):
+    """raw_overlaps of pings replayed in four stretches of time."""
+    pings = streaming.replayed(clean.with_speed(a.pings).drop("ts"))
+    found = streaming.drained(streams.raw_overlaps_stream(_clocked(pings), a.config))
+    return found.select("p1_ping_id", "p2_ping_id", "ts", _r("lat"), _r("lon"), _r("distance_m"), "tier")
+
+
+@query
+def stream_segments(a):
+    """movement_segments of deduplicated pings that are replayed: jitter is dropped in the stream."""
+    streamed.use_rocksdb(a.raw.sparkSession)
+    pings = streaming.replayed(a.deduplicated.drop("ts"), heartbeat=(_NOBODY, _LATER))
+    legs = streaming.drained(streamed.legs_stream(_clocked(pings), a.config, drop_leaps=True))
+    return legs.select("person", "seg_id", "start_us", "end_us", _r("dist_m"), _r("speed_kmh"), "movement", "geofence_radius")
+
+
+@query
+def stream_overnight(a):
+    """overnight_fill of pings that are replayed."""
+    streamed.use_rocksdb(a.raw.sparkSession)
+    pings = streaming.replayed(a.pings.drop("ts"), heartbeat=(_NOBODY, _LATER))
+    fill = streaming.drained(streamed.overnight_stream(_clocked(pings), a.homes, a.config))
+    return fill.select("person", "ts", _r("lat"), _r("lon"), "geofence_radius", "accuracy")
+
+
+@query
+def stream_fine_overlaps(a):
+    """fine_overlaps in two streams: legs to matches, matches to the closest of each bucket."""
+    matches = streaming.drained(streams.fine_matches_stream(streaming.replayed(a.legs, at="end_us"), a.config))
+    found = streaming.drained(streams.closest_stream(streaming.replayed(matches, heartbeat=({}, _LATER))))
+    return found.select("bucket", "ts", _r("lat"), _r("lon"), _r("distance_m"), "tier", "p1_geofence", "p2_geofence", "p1_movement", "p2_movement", "geofence_match")
+
+
+@query
+def stream_gap_islands(a):
+    """gap_islands of trusted overlaps between their first and last day, from spells of a stream."""
+    met = a.trusted.select(F.lit(1).alias("person"), "us")
+    pings = streaming.replayed(met, heartbeat=({"person": 0}, 40 * rules.MICROS_DAY))
+    spells = streaming.drained(streams.spells_stream(_clocked(pings), least_days=1)).filter("person = 1")
+    return streams.gaps_between(spells, least_days=1).select("first_day", "last_day")
+
+
 def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_fingerprints(spark, [f"{sf_dir}/*.parquet"])
 

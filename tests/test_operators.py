@@ -155,3 +155,48 @@ def test_gap_islands(spark):
     daily = spark.createDataFrame([(datetime(2024, 1, d).date(), 0 if d in (3, 9, 10, 11, 12, 20, 21, 22) else 1) for d in range(1, 32)], "date date, n int")
     got = [(r.first_day.day, r.last_day.day) for r in datasets.gap_islands(daily, "n").collect()]
     assert got == [(9, 12)]
+
+
+def test_neighbours_cross_days_and_gaps(spark, pings_of):
+    from copresence.operators.sequence import with_neighbours
+
+    rng = random.Random(4)
+    rows = [(p, rng.choice([0, 1440, 1440 * 9, 1440 * 10]) + rng.randrange(1440), 50.0 + i, 5.0, 10) for p in (1, 2, 3) for i in range(30)]
+    got = with_neighbours(pings_of([*rows, (4, 0, 1.0, 1.0, 10)]), ["lat"], following="n", previous="p", total="all").collect()
+    for person in (1, 2, 3, 4):
+        own = sorted((r for r in got if r.person == person), key=lambda r: (r.us, r.ping_id))
+        assert [r.n and r.n.lat for r in own] == [*(r.lat for r in own[1:]), None] and [r.p and r.p.lat for r in own] == [None, *(r.lat for r in own[:-1])]
+        assert {r["all"] for r in own} == {len(own)}
+
+
+def test_runs_of_days_join_across_months_years_and_centuries(spark):
+    from datetime import date
+
+    from copresence.operators.sequence import runs_of_days
+
+    rng, days, at = random.Random(5), set(), date(1998, 12, 1)
+    for _ in range(40):
+        length, off = rng.choice([1, 2, 40, 400]), rng.choice([1, 2, 30, 9000])
+        days |= {at + timedelta(days=k) for k in range(length)}
+        at += timedelta(days=length + off)
+    ordered = sorted(days)
+    want, first = set(), ordered[0]
+    for a, b in zip(ordered, [*ordered[1:], None]):
+        if b is None or (b - a).days > 1:
+            want.add((first, a))
+            first = b
+    found = runs_of_days(spark.createDataFrame([(d,) for d in [*ordered, *ordered[:9], None]], "date date"))
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and max(d.year for d in days) > 2100
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = runs_of_days(spark.createDataFrame([(date(2024, 1, 1),)], "date date"))._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "Window" in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_distances_of_pairs_are_computed_once(spark, pings_of):
+    rows = clean.with_speed(clean.tag_radius(pings_of([(p, m, 50.0, 5.0, 10) for p in (1, 2) for m in (0, 50)])))
+    plan = joins.raw_overlaps(rows.select("person", "ping_id", "us", "lat", "lon", "geofence_radius", F.lit(0.0).alias("speed_kmh")), CONFIG)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1

@@ -107,8 +107,11 @@ def test_report_and_sinks(spark, tmp_path):
     assert (tmp_path / "report.txt").read_text(encoding="utf-8") == text
     sinks.write_csv(analysis.days_together(), str(tmp_path / "days"))
     assert spark.read.option("header", True).csv(str(tmp_path / "days")).first().date == "2024-01-02"
-    sinks.write_map(analysis.charts()["interactive_map"], str(tmp_path / "map.html"))
-    assert "<table>" in (tmp_path / "map.html").read_text()
+    pyramid, n = analysis.charts()["map_pyramid"], analysis.overlaps.count()
+    sinks.write_map(pyramid, str(tmp_path / "map"))
+    assert "<table>" in (tmp_path / "map" / "index.html").read_text()
+    levels = spark.read.json(str(tmp_path / "map" / "tiles")).groupBy("zoom").agg({"n": "sum"}).collect()
+    assert len(levels) == 18 and {r["sum(n)"] for r in levels} == {n} and n > 0
 
 
 def test_streaming_dedup_matches_the_batch(spark, tmp_path):
