@@ -1,8 +1,11 @@
 """URL filters: host and path rules first, then naive Bayes over segmented host and path tokens.
 
-Names are split into words by a unigram Viterbi search; the unigrams are counted in the texts of all pages, and in what hyphens and paths
-part in their urls. Urls that a rule fits are labelled with its verdict; a multinomial naive Bayes model over their words, with more
-prior weight for words that are known to be unwanted, judges every url that no rule fits.
+Names are split into words by a unigram Viterbi search; the unigrams are counted in the texts of all pages, less the domains that pages
+print, in the labels that several hosts share, and in what hyphens and paths part in their urls. With `compounds`, a word that much more
+frequent words make up is no entry, or else a name that some text has as one word would never split; a name that does split is a
+token of its own beside its words. Urls that a rule fits are labelled with its verdict, others as blocked where a
+hyphen, dot or slash parts an unwanted word off (`seeded`); a multinomial naive Bayes model over their words, with more prior weight for
+words that are known to be unwanted, judges every url that no rule fits.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and has no token, so the class prior
 decides; without labelled urls the classes are even. Equal scores give `allow`. A null text counts nothing. Rows are judged one by one:
@@ -32,6 +35,10 @@ SEEDS = (
     "poker", "porn", "replica", "sex", "slots", "spam", "viagra", "warez", "xxx",
 )
 PRIOR, PRIOR_SHARE = 20, 0.01
+#: A word is a compound if words so many times as frequent as itself make it up.
+COMPOUND = 10
+#: A label of so many hosts is a word.
+SHARED = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key with more than this share of all rows is joined by broadcast, so there are at most 1000 such keys.
 HOT_SHARE = 1000
@@ -74,8 +81,9 @@ def parted_words(host: Column, path: Column) -> Column:
 
 
 def text_words(html: Column) -> Column:
-    """Lower-case words of letters of a page's text: what is outside scripts, styles, comments, tags and entities."""
+    """Lower-case words of letters of a page's text: what is outside scripts, styles, comments, tags, entities and names of domains."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w+;", " ")
+    bare = F.regexp_replace(bare, r"[\p{L}\d-]++(?:\.[\p{L}\d-]++)*\.[a-z]{2,24}\b", " ")
     return F.regexp_extract_all(F.lower(bare), F.lit(r"(\p{L}+)"))
 
 
@@ -114,13 +122,28 @@ class Segmenter:
         return [*out, unknown] if unknown else out
 
 
+def elementary(counts: dict[str, int], factor: int = COMPOUND) -> dict[str, int]:
+    """counts without compounds: words that two or more words of counts make up, each `factor` times as frequent or more."""
+
+    def compound(word: str, n: int) -> bool:
+        reached = [True] + [False] * len(word)
+        for end in range(1, len(word) + 1):
+            reached[end] = any(reached[at] and end - at < len(word) and counts.get(word[at:end], 0) >= factor * n for at in range(end))
+        return reached[-1]
+
+    return {w: n for w, n in counts.items() if not compound(w, n)}
+
+
 def unigrams(texts: DataFrame | None, tokens: DataFrame, seeds=SEEDS, prior: int = PRIOR) -> tuple[DataFrame, int]:
     """(part, n): every word of two letters or more of texts(text), of the hyphened names and of the paths of tokens(host, path), and the seed
     words, with counts; and the sum of the counts."""
     words = tokens.select(F.explode(parted_words(F.col("host"), F.col("path"))).alias("part"))
     if texts is not None:
         words = words.unionAll(texts.select(F.explode(text_words(F.col("text"))).alias("part")))
-    words = words.filter(F.char_length("part") > 1)
+    # labels that many hosts share, such as blog and shop, are words whether texts have them or not: as many as there are such hosts
+    labels = tokens.select("host", F.explode(F.split("host", r"\.")).alias("part")).filter(F.rlike("part", F.lit(r"^\p{L}+$"))).distinct()
+    shared = labels.groupBy("part").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= SHARED)
+    words = words.unionAll(labels.join(shared, "part", "left_semi").select("part")).filter(F.char_length("part") > 1)
     seeded = tokens.sparkSession.createDataFrame([(s, prior) for s in seeds], "part string, n long")
     counted = words.groupBy("part").agg(F.count("*").alias("n")).unionByName(seeded)
     counts = written(counted.groupBy("part").agg(F.sum("n").alias("n")))
@@ -156,8 +179,9 @@ def _parts(lengths: list[int], rows: int = 50_000):
     return run
 
 
-def segmented(tokens: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """tokens(row, raw) -> (row, words). Each distinct name is split once, with the dictionary words that are in it: strings of the name and
+def segmented(tokens: DataFrame, counts: DataFrame, total: int, compounds: int | None = None) -> DataFrame:
+    """tokens(row, raw) -> (row, words, at): the words of all names, and the places of the names that split. compounds: how many times as frequent
+    words that make up another must be for it to be no entry. Each distinct name is split once, with the dictionary words that are in it: strings of the name and
     words of the dictionary meet by hash, and are compared as strings when the name is split."""
     places = tokens.select("row", F.posexplode("raw").alias("at", "token")).withColumn("t", F.xxhash64("token"))
     names = written(places.groupBy("token").agg(F.count("*").alias("n"), F.first("t").alias("t")))
@@ -167,12 +191,16 @@ def segmented(tokens: DataFrame, counts: DataFrame, total: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [Segmenter({w: n for w, n in known or () if w in t}, total).split(t) for t, known in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            split = []
+            for t, known in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                inside = {w: n for w, n in known or () if w in t}
+                split.append(Segmenter(elementary(inside, compounds) if compounds else inside, total).split(t))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(split, pa.list_(pa.string()))], ["t", "n", "split"])
 
     splits = written(names.join(met, "t", "left").select("t", "n", "token", "known").mapInArrow(run, "t long, n long, split array<string>"))
     found = joined_by(places.select("row", "at", "t"), splits, "t").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "split"))).alias("found"))
-    return found.select("row", F.flatten("found.split").alias("words"))
+    apart = F.transform(F.filter("found", lambda x: F.size(x["split"]) > 1), lambda x: x["at"])
+    return found.select("row", F.flatten("found.split").alias("words"), apart.alias("at"))
 
 
 def bayes(words: DataFrame, seeds=SEEDS, prior: int = PRIOR) -> tuple[float, DataFrame]:
@@ -190,21 +218,28 @@ def bayes(words: DataFrame, seeds=SEEDS, prior: int = PRIOR) -> tuple[float, Dat
     return math.log((n.b + 1) / (n.g + 1)), counted.select("w", "n", ratio.alias("ratio"))
 
 
-def judge(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES, learn: Column | None = None, texts: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", html: str | None = "html", rules=RULES, learn: Column | None = None, texts: DataFrame | None = None, compounds: int | None = None, seeded: bool = False) -> DataFrame:
     """pages with host, path, rule, words, block_score (log odds of block) and verdict, in place of any columns of those names. learn: which
     of the pages that a rule fits are learned from; all as a rule. texts: what the dictionary is counted in, a table with the column html;
-    pages as a rule. Columns of pages go through exchanges, so large ones that are not needed are better left out of it."""
+    pages as a rule. compounds: see segmented(). seeded: whether urls without a rule that part an unwanted word off are learned from as blocked. Columns of pages go through exchanges, so large ones that are not needed are better left out of it."""
     learns = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
     read = pages.select(packed_row(pages).alias("page"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"), learns.alias("learns"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     counts, total = unigrams((texts if texts is not None else pages).select(F.col(quoted(html)).alias("text")) if html else None, read)
     tokens = read.withColumns({"raw": raw_tokens(F.col("host"), F.col("path")), "rule": rule, "ruled": verdict, "row": F.monotonically_increasing_id()})
     tokens = written(tokens)
-    found = segmented(tokens, counts, total)
-    words = written(tokens.drop("raw").join(found, "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
-    odds, ratio = bayes(words.select("words", F.when(F.col("learns"), F.col("ruled")).alias("label")))
+    found = segmented(tokens, counts, total, compounds)
+    words = written(tokens.join(found, "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
+    if compounds:
+        names = F.transform(F.coalesce("at", F.array().cast("array<int>")), lambda i: F.get(F.col("raw"), i))
+        words = words.withColumn("scored", F.concat("words", names))
+    else:
+        words = words.withColumn("scored", F.col("words"))
+    unwanted = F.arrays_overlap("raw", F.array(*map(F.lit, SEEDS)))
+    label = F.coalesce("ruled", F.when(unwanted, "block")) if seeded else F.col("ruled")
+    odds, ratio = bayes(words.select(F.col("scored").alias("words"), F.when(F.col("learns"), label).alias("label")))
     # sorted, so that the sum does not depend on the order in which rows arrive
-    ratios = joined_by(words.select("row", F.explode("words").alias("w")), ratio, "w").groupBy("row").agg(F.array_sort(F.collect_list("ratio")).alias("ratios"))
+    ratios = joined_by(words.select("row", F.explode("scored").alias("w")), ratio, "w").groupBy("row").agg(F.array_sort(F.collect_list("ratio")).alias("ratios"))
     score = F.aggregate(F.coalesce("ratios", F.array().cast("array<double>")), F.lit(float(odds)), lambda s, x: s + x)
     scored = words.join(ratios, "row", "left").withColumn("block_score", score)
     judged = F.when(F.col("block_score") > 0, "block").otherwise("allow")
@@ -212,11 +247,11 @@ def judge(pages: DataFrame, url: str = "url", html: str | None = "html", rules=R
     return scored.select(*unpacked_row(F.col("page"), [c for c in pages.columns if c not in new]), *(v.alias(k) for k, v in new.items()))
 
 
-def held_out_accuracy(pages: DataFrame, page_id: str = "page_id", rules=RULES) -> DataFrame:
+def held_out_accuracy(pages: DataFrame, page_id: str = "page_id", rules=RULES, **options) -> DataFrame:
     """One row: how many of the urls that a rule fits were kept from learning (by a hash of the id), and the share on which the model agrees with
     the rule."""
     kept = F.crc32(F.col(page_id).cast("string")) % 4 != 2
-    found = judge(pages.drop("html"), rules=rules, learn=kept, texts=pages).filter(~kept & F.col("rule").isNotNull())
+    found = judge(pages.drop("html"), rules=rules, learn=kept, texts=pages, **options).filter(~kept & F.col("rule").isNotNull())
     agrees = F.when(F.col("block_score") > 0, "block").otherwise("allow") == F.col("verdict")
     return found.agg(F.count("*").alias("n"), F.avg(agrees.cast("double")).alias("accuracy"))
 
@@ -224,7 +259,7 @@ def held_out_accuracy(pages: DataFrame, page_id: str = "page_id", rules=RULES) -
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     pages = table(spark, sf_dir, "pages")
-    return judge(pages.select("page_id", "url"), texts=pages.select("html")).select("page_id", "host", "path", "rule", "verdict", "words", "block_score")
+    return judge(pages.select("page_id", "url"), texts=pages.select("html"), compounds=COMPOUND, seeded=True).select("page_id", "host", "path", "rule", "verdict", "words", "block_score")
 
 
 def split_url(url: str | None) -> tuple[str, str]:

@@ -240,3 +240,42 @@ def test_sample_is_bounded_and_whole_if_it_fits(spark):
     ids = spark.range(5000).withColumnRenamed("id", "doc_id")
     assert resampling.bounded_sample(ids, 5000).count() == 5000 and resampling.bounded_sample(ids.limit(0), 10).count() == 0
     assert 350 < resampling.bounded_sample(ids, 500).count() < 650
+
+
+def test_compounds_are_no_entries():
+    counts = {"rose": 900, "garden": 800, "rosegarden": 7, "roses": 100, "den": 50, "gar": 60, "ab": 30, "abab": 3, "ababab": 4}
+    kept = url_filter.elementary(counts)
+    assert "rosegarden" not in kept and "abab" not in kept and {"rose", "garden", "roses", "den"} <= set(kept)
+    assert url_filter.Segmenter(kept, 10_000).split("rosegarden") == ["rose", "garden"]
+
+
+def test_names_split_by_the_words_of_pages_that_print_them(spark):
+    """A site's own name stands in its footer and as a rare word in texts, and still splits; unwanted names are blocked whatever their path."""
+    texts = ["the rose and the garden are in the rose garden " * 5, "green garden and red rose of the house " * 5, "a rosegarden is the garden of a rose " * 1]
+    rows = [(i, f"http://{n}.example.net/{p}/{i}", f"<p>{texts[i % 3]}</p><footer>&copy; {n}.example.net, www.{n}.example.net</footer>") for i, (n, p) in enumerate((n, p) for n in ("rosegarden", "greenhouse", "casino-win") for p in ("en", "fr", "de", "es") for _ in range(9))]
+    rows += [(1000 + i, f"http://{n}.example.{t}/{p}/7", None) for i, (n, t, p) in enumerate((n, t, p) for n in ("rosegarden", "greenhouse") for t in ("org", "com") for p in ("en", "fr", "de", "es") for _ in range(9))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = url_filter.judge(pages, compounds=10, seeded=True).filter("rule IS NULL").collect()
+    words = {r.url.split("/")[2].split(".")[0]: r.words[:2] for r in got}
+    assert words == {"rosegarden": ["rose", "garden"], "greenhouse": ["green", "house"], "casino-win": ["casino", "win"]}
+    assert all(r.verdict == "block" for r in got if "casino" in r.words)
+    assert {r.verdict for r in got if "casino" not in r.words and "fr" in r.words} == {"allow"}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the driver's tables")
+def test_segmentation_and_words_decide_on_the_drivers_pages(spark, capsys):
+    got = url_filter.op2_url_filter(spark, "/root/testdata/sf0.1").filter("rule IS NULL").collect()
+    letters = re.compile(r"[^\W\d_]+")
+    whole = lambda r: letters.findall("/".join([r.host.rpartition(".")[0], r.path.lower()]))
+    changed = sum(r.words != whole(r) for r in got)
+    assert changed > 0.8 * len(got), (changed, len(got))
+    verdicts = {}
+    for r in got:
+        verdicts.setdefault(r.path.split("/")[1], Counter())[r.verdict] += 1
+    assert sum(min(v["allow"], v["block"]) for v in verdicts.values()) > 0.05 * len(got), verdicts
+    assert all(r.verdict == "block" for r in got if "casino" in r.words)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = url_filter.held_out_accuracy(pages, compounds=url_filter.COMPOUND, seeded=True).first()
+    assert found.n > 150 and found.accuracy > 0.79, found  # always `allow` agrees on 0.75
+    with capsys.disabled():
+        print(f"split: {changed} of {len(got)}; verdicts by the path's first part: {verdicts}")
