@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from copresence.config import Config
 from copresence.functions.geo import fast_distance
 from copresence.functions.rules import MICROS_HOUR, MICROS_MINUTE, base_probability, decay, state_of
-from copresence.operators.joins import on_grid
+from copresence.operators.joins import interval_overlap_join, on_grid, sides_of_legs
 from copresence.operators.metrics import day_spine
 
-
+#: Minutes of the parts of a target's window by which legs meet.
+PART_MINUTES = 15
 
 def hour_grid(bounds: DataFrame) -> DataFrame:
     """A row for each date and hour."""
@@ -75,12 +76,12 @@ def probability_at(pings: DataFrame, targets: DataFrame, config: Config, window_
     # legs within each target's window: consecutive pings of a person there
     order = Window.partitionBy("target_us", "person").orderBy("us", "ping_id")
     legs = _legs_in(local, order, config)
-    side = lambda p, x: legs.filter(c("person") == p).drop("person").select("target_us", *(c(n).alias(f"{x}_{n}") for n in legs.columns if n not in ("person", "target_us")))
-    pairs = side(1, "a").join(side(2, "b"), "target_us")
-    pairs = pairs.withColumns({
-        "s": F.greatest("a_start_us", "b_start_us", c("target_us") - window), "e": F.least("a_end_us", "b_end_us", c("target_us") + window),
-    }).filter((c("s") < c("e")) & c("a_geofence_radius").isNotNull() & c("b_geofence_radius").isNotNull())
-    timed = on_grid(pairs, "s", "e", MICROS_MINUTE)
+    # legs are cut to the window and dealt to parts of it, so that only those meet that overlap
+    cut = {"from_us": F.greatest("start_us", c("target_us") - window), "to_us": F.least("end_us", c("target_us") + window)}
+    inside = legs.withColumns(cut).filter((c("from_us") < c("to_us")) & c("geofence_radius").isNotNull())
+    one, two = sides_of_legs(inside)
+    pairs = interval_overlap_join(one, two, ("a_from_us", "a_to_us"), ("b_from_us", "b_to_us"), PART_MINUTES * MICROS_MINUTE, c("a_target_us") == c("b_target_us"))
+    timed = on_grid(pairs.withColumn("target_us", c("a_target_us")), "overlap_start", "overlap_end", MICROS_MINUTE)
     base = base_probability(c("distance_m"), c("a_geofence_radius") + c("b_geofence_radius"), config, None)
     value = F.least(F.lit(1.0), base * decay(F.abs(c("t") - c("target_us")) / float(MICROS_HOUR), float(window_hours)))
     by_legs = timed.groupBy("target_us").agg(F.max(value).alias("by_legs"))
