@@ -26,7 +26,7 @@ from copresence.llm.common import table, written
 
 LEAST_DOCUMENTS, MOST_TERMS, PRIOR, SCALE = 30, 50, 5, 1_000_000_000
 #: Distinct (lang, source, term) that a task holds before it gives out partial runs.
-HELD = 400_000
+HELD = 1_000_000
 #: Sources that are paired at a time, and values (terms x sources) that a block of terms holds.
 SOURCES, CELLS = 256, 1 << 20
 #: Bytes of a term as they are, A-Z in lower case, all others as spaces.
