@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from copresence.operators.metrics import days
 from copresence.operators.presence import home_cells
 
 
+#: Groups of days that are fitted at the same time.
+FOLDS_AT_ONCE = 4
+
+
 def merge_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
     """labels, and those of `more` on dates that have none."""
     return labels.select("date", "label").unionByName(more.join(labels, "date", "left_anti").select("date", "label"))
@@ -65,21 +71,34 @@ def labelled_rows(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 def leave_one_group_out(features: DataFrame, labels: DataFrame, group: Callable[[Column], Column] = month_of, seed: int = 42) -> DataFrame:
     """(date, y, cv_probability): each labelled day predicted without its group of days, months as a rule. Groups whose rest holds one
-    class only are left out. The loop runs over groups on the driver; each fit is a Spark job."""
-    rows = labelled_rows(features, labels).select("date", "y", "features", group(F.col("date")).alias("part")).coalesce(1).cache()
-    parts = [r.part for r in rows.select("part").distinct().orderBy("part").collect()]
+    class only are left out. Groups are fitted side by side, each as Spark jobs of its own thread, on one cached table of labelled days,
+    which is given up once all are fitted."""
+    rows = _in_one_task(labelled_rows(features, labels).select("date", "y", "features", group(F.col("date")).alias("part"))).cache()
+    try:
+        counts = rows.groupBy("part", "y").count().collect()
+        parts = sorted({r.part for r in counts})
+        fits = [p for p in parts if len({r.y for r in counts if r.part != p}) == 2]
+
+        def fitted(part):
+            return part, _classifier(seed).fit(rows.filter(F.col("part") != part))
+
+        with ThreadPool(max(1, min(FOLDS_AT_ONCE, len(fits)))) as pool:
+            models = pool.map(inheritable_thread_target(rows.sparkSession)(fitted), fits)
+    finally:
+        rows.unpersist()
     out = None
-    for part in parts:
-        train = rows.filter(F.col("part") != part)
-        if train.select("y").distinct().count() < 2:
-            continue
-        model = _classifier(seed).fit(train)
+    for part, model in models:
         test = rows.filter(F.col("part") == part)
         scored = test.select("date", "y").join(_scored(model, test, "cv_probability"), "date")
         out = scored if out is None else out.unionByName(scored)
     return out if out is not None else rows.select("date", "y", F.lit(None).cast("double").alias("cv_probability")).limit(0)
 
 
+def _in_one_task(rows: DataFrame) -> DataFrame:
+    """A row a day, in order: the many small jobs of a fit stay small. What the rows are made of still runs in parallel."""
+    return rows.repartition(1).sortWithinPartitions("date")
+
+
 def metrics_of(scored: DataFrame, truth: str = "y", probability: str = "cv_probability", threshold: float = 0.5) -> DataFrame:
     """Confusion counts, precision, recall and F1 of the positive class, in one row."""
     said, is_ = F.col(probability) >= threshold, F.col(truth) == 1
@@ -95,7 +114,7 @@ def metrics_of(scored: DataFrame, truth: str = "y", probability: str = "cv_proba
 def fit(features: DataFrame, labels: DataFrame, seed: int = 42):
     """The classifier on all labelled days, or None if they hold one class only. There is a row a day, so one task holds them, and the
     many small jobs of the fit stay small."""
-    rows = labelled_rows(features, labels).select("date", "y", "features").coalesce(1).cache()
+    rows = _in_one_task(labelled_rows(features, labels).select("date", "y", "features")).cache()
     try:
         return _classifier(seed).fit(rows) if rows.select("y").distinct().count() == 2 else None
     finally:

@@ -381,7 +381,7 @@ UNION ALL SELECT source_file, ts, lat, lon, 30 FROM (
   SELECT CASE WHEN us % 86400000000 >= 22 * 3600000000 THEN {DAY} WHEN us % 86400000000 <= 6 * 3600000000 THEN {DAY} - 1 END AS date, person
   FROM tagged JOIN homes3 USING (person) WHERE {_fast("lat", "lon", "home_lat", "home_lon")} <= 500
     AND (SELECT {_fast("a.home_lat", "a.home_lon", "b.home_lat", "b.home_lon")} FROM homes3 a JOIN homes3 b ON a.person = 1 AND b.person = 2) >= 5000
-) WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND date NOT IN (SELECT date FROM labels_) GROUP BY 1 HAVING count(DISTINCT person) = 2""",
+) WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND day(date) % 5 <> 1 AND date NOT IN (SELECT {DAY} FROM fine WHERE tier = 'confirmed') GROUP BY 1 HAVING count(DISTINCT person) = 2""",
     "merged_labels": f"SELECT * FROM labels_ UNION ALL SELECT DISTINCT {DAY}, 'apart' FROM tagged WHERE {DAY} NOT IN (SELECT date FROM labels_)",
     "ensemble_days": "SELECT * FROM ens",
     "ensemble_counts": """SELECT count(*) FILTER (state = 'together') AS together, count(*) FILTER (state = 'ml_together') AS ml_together, count(*) FILTER (state = 'apart') AS apart,
