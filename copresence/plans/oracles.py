@@ -411,4 +411,24 @@ FINALS["map_pyramid"] = f"""SELECT zoom, x, y, count(*) AS n, count(DISTINCT {DA
   SELECT ts, zoom, CAST(floor((lon + 180.0::DOUBLE) * (1 << (zoom + 1))::DOUBLE / 360.0::DOUBLE) AS BIGINT) AS x, CAST(floor((90.0::DOUBLE - lat) * (1 << zoom)::DOUBLE / 180.0::DOUBLE) AS BIGINT) AS y
   FROM fine CROSS JOIN (SELECT unnest([0, 4, 8, 12, 16]) AS zoom)) GROUP BY zoom, x, y"""
 
+# days in turns as files of layout A and B
+_A, _B = "d % 2 = 1", "d % 2 = 0"
+FINALS["export_layouts"] = "SELECT source_file, CASE WHEN d % 5 = 0 THEN '?' WHEN d % 2 = 1 THEN 'A' ELSE 'B' END AS layout FROM ends"
+_FILES_A = f"""SELECT source_file, ts, 10 AS accuracy FROM mornings WHERE day(ts) % 2 = 1 UNION ALL SELECT source_file, unnest([a_ts, b_ts]), 20 FROM ends WHERE {_A}"""
+_FILES_B = f"""SELECT source_file, ts, accuracy FROM ({FINALS["export_b_pings"]}) WHERE day(ts) % 2 = 0"""
+FINALS["export_metadata"] = f"SELECT source_file AS file, count(*) AS records, min(ts) AS first, max(ts) AS last, true AS hashed FROM ({_FILES_A} UNION ALL {_FILES_B}) GROUP BY 1"
+FINALS["export_union"] = f"""SELECT person, ts, accuracy FROM (
+  SELECT CAST(substr(source_file, 8, 1) AS INTEGER) AS person, ts, accuracy, row_number() OVER (PARTITION BY substr(source_file, 8, 1), epoch_us(ts) // 120000000 ORDER BY accuracy, ts) AS best
+  FROM ({_FILES_A} UNION ALL {_FILES_B})) WHERE best = 1"""
+FINALS["export_rejects"] = """SELECT source_file, CAST(0 AS BIGINT) AS item, CAST(k - 1 AS INTEGER) AS point,
+  CASE WHEN day(ts) % 2 = 1 AND ping_id % 11 = 5 THEN 'time' WHEN ping_id % 7 = 3 THEN 'place' ELSE 'zero' END AS reason
+FROM mornings WHERE day(ts) % 10 <> 0 AND (ping_id % 7 IN (3, 4) OR (day(ts) % 2 = 1 AND ping_id % 11 = 5))
+UNION ALL SELECT source_file, 0, NULL, 'damaged' FROM ends WHERE d % 10 = 0"""
+_COUPLE = """SELECT CAST(ping_id AS VARCHAR) AS asset_id, ts AS "timestamp", lat, lon, CASE ping_id % 4 WHEN 0 THEN 'Apple' WHEN 1 THEN 'APPLE Inc.' WHEN 2 THEN 'realme' ELSE '' END AS camera_make
+FROM dedup WHERE ping_id % 13 <> 0 AND ping_id % 17 <> 0 AND ts::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-28' AND (person = 1 OR ping_id % 4 < 2)"""
+FINALS["photo_evidence"] = f'SELECT asset_id, "timestamp", {_r("lat")}, {_r("lon")}, camera_make FROM ({_COUPLE})'
+FINALS["photo_labels"] = f"""SELECT * FROM labels_ UNION ALL SELECT DISTINCT "timestamp"::DATE, 'together' FROM ({_COUPLE}) WHERE "timestamp"::DATE NOT IN (SELECT date FROM labels_)"""
+FINALS["photo_features"] = f"""SELECT f.date, coalesce(o.n_overlaps, 0) AS n_overlaps, coalesce(n, 0)::DOUBLE AS n_couple_photos, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_couple_photos
+FROM feat f LEFT JOIN ovf o USING (date) LEFT JOIN (SELECT "timestamp"::DATE AS date, count(*) AS n FROM ({_COUPLE}) GROUP BY 1) USING (date)"""
+
 ORACLES = {name: chain(sql, "fine" if name == "month_coverage" else "trust") for name, sql in FINALS.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copresence.config import Config
@@ -14,6 +14,8 @@ from copresence.session import configure
 from copresence.plans.report import report
 from copresence.sources import exports
 from copresence.sources.exports import file_fingerprints
+from copresence.sources.photos import couple_photos, read_photo_pages
+from copresence.sources.photos import photo_labels as label_photos
 from copresence.sources.pings import event_pings
 from copresence.streaming import colocation as streams
 from copresence.streaming import run as streaming
@@ -400,48 +402,138 @@ def _geo(p):
     return F.concat(F.lit("geo:"), p["lat"].cast("string"), F.lit(","), p["lon"].cast("string"))
 
 
+_PATH_A = "array<struct<point: string, time: string>>"
+_VISIT_A = "struct<topCandidate: struct<placeLocation: struct<latLng: string>, semanticType: string>>"
+
+
+def _body_a(p, point=_geo, time=lambda x: _iso(x["ts"], "+02:00")):
+    """Layout A: a day's pings as a path, and a visit from the first to the last."""
+    path = F.transform(p, lambda x: F.struct(point(x).alias("point"), time(x).alias("time")))
+    place = F.struct(F.struct(_geo(p[0]).alias("latLng")).alias("placeLocation"), F.lit("HOME").alias("semanticType"))
+    ends = lambda: (_iso(p[0]["ts"]).alias("startTime"), _iso(F.element_at(p, -1)["ts"]).alias("endTime"))
+    visit = F.struct(*ends(), F.lit(None).cast(_PATH_A).alias("timelinePath"), F.struct(place.alias("topCandidate")).alias("visit"))
+    legs = F.struct(*ends(), path.alias("timelinePath"), F.lit(None).cast(_VISIT_A).alias("visit"))
+    return F.to_json(F.struct(F.array(legs, visit).alias("semanticSegments")))
+
+
+def _body_b(p, date, point=_geo):
+    """Layout B: a day's pings as a path by minutes from the first, which has no offset; a visit, on every other day too far off to be true;
+    and a move."""
+    start, last = p[0], F.element_at(p, -1)
+    minute = lambda x: F.hour(x["ts"]) * 60 + F.minute(x["ts"]) - (F.hour(start["ts"]) * 60 + F.minute(start["ts"]))
+    path = F.transform(p, lambda x, i: F.struct(point(x).alias("point"), F.when(i > 0, minute(x).cast("string")).alias("durationMinutesOffsetFromStartTime")))
+    far = F.when(F.dayofmonth(date) % 2 == 0, 1.0).otherwise(0.0)
+    place = F.concat((start["lat"] + far).cast("string"), F.lit("°, "), start["lon"].cast("string"), F.lit("°"))
+    item = lambda **given: F.struct(*((given[n] if n in given else F.lit(None).cast(t)).alias(n) for n, t in exports.ITEM_TYPES.items()))
+    times = {"startTime": _iso(F.date_trunc("MINUTE", start["ts"])), "endTime": _iso(F.date_trunc("MINUTE", last["ts"]))}
+    visit = F.struct(F.struct(place.alias("placeLocation"), F.lit(None).cast("string").alias("semanticType")).alias("topCandidate"))
+    move = F.struct(_geo(start).alias("start"), _geo(last).alias("end"))
+    return F.to_json(F.array(item(timelinePath=path, **times), item(visit=visit, **times), item(activity=move, **times)))
+
+
 @query
 def export_a_pings(a):
-    """Layout A: each day's pings as a path, and a visit from the first to the last."""
-
-    def body(p, date):
-        path = F.transform(p, lambda x: F.struct(_geo(x).alias("point"), _iso(x["ts"], "+02:00").alias("time")))
-        place = F.struct(F.struct(_geo(p[0]).alias("latLng")).alias("placeLocation"), F.lit("HOME").alias("semanticType"))
-        visit = F.struct(_iso(p[0]["ts"]).alias("startTime"), _iso(F.element_at(p, -1)["ts"]).alias("endTime"), F.lit(None).cast(path_type).alias("timelinePath"), F.struct(place.alias("topCandidate")).alias("visit"))
-        legs = F.struct(_iso(p[0]["ts"]).alias("startTime"), _iso(F.element_at(p, -1)["ts"]).alias("endTime"), path.alias("timelinePath"), F.lit(None).cast(visit_type).alias("visit"))
-        return F.to_json(F.struct(F.array(legs, visit).alias("semanticSegments")))
-
-    path_type = "array<struct<point: string, time: string>>"
-    visit_type = "struct<topCandidate: struct<placeLocation: struct<latLng: string>, semanticType: string>>"
-    found = exports.parse_a(_documents(a, body), a.config.start_date)
+    """Bodies of layout A in a table."""
+    found = exports.parse_a(_documents(a, lambda p, date: _body_a(p)), a.config.start_date)
     return found.select("source_file", "ts", _r("lat"), _r("lon"), "accuracy", "place_type")
 
 
 @query
 def export_b_pings(a):
-    """Layout B: each day's pings as a path by minutes from the first, which has no offset; a visit, on every other day too far off to be true;
-    and a move."""
-
-    def body(p, date):
-        start, last = p[0], F.element_at(p, -1)
-        minute = lambda x: F.hour(x["ts"]) * 60 + F.minute(x["ts"]) - (F.hour(start["ts"]) * 60 + F.minute(start["ts"]))
-        path = F.transform(p, lambda x, i: F.struct(_geo(x).alias("point"), F.when(i > 0, minute(x).cast("string")).alias("durationMinutesOffsetFromStartTime")))
-        far = F.when(F.dayofmonth(date) % 2 == 0, 1.0).otherwise(0.0)
-        place = F.concat((start["lat"] + far).cast("string"), F.lit("°, "), start["lon"].cast("string"), F.lit("°"))
-        item = lambda **given: F.struct(*((given[n] if n in given else F.lit(None).cast(t)).alias(n) for n, t in kinds.items()))
-        times = {"startTime": _iso(F.date_trunc("MINUTE", start["ts"])), "endTime": _iso(F.date_trunc("MINUTE", last["ts"]))}
-        visit = F.struct(F.struct(place.alias("placeLocation"), F.lit(None).cast("string").alias("semanticType")).alias("topCandidate"))
-        move = F.struct(_geo(start).alias("start"), _geo(last).alias("end"))
-        return F.to_json(F.array(item(timelinePath=path, **times), item(visit=visit, **times), item(activity=move, **times)))
-
-    kinds = {
-        "startTime": "string", "endTime": "string", "visit": "struct<topCandidate: struct<placeLocation: string, semanticType: string>>",
-        "activity": "struct<start: string, end: string>", "timelinePath": "array<struct<point: string, durationMinutesOffsetFromStartTime: string>>",
-    }
-    found = exports.parse_b(_documents(a, body), a.config.start_date)
+    """Bodies of layout B in a table."""
+    found = exports.parse_b(_documents(a, _body_b), a.config.start_date)
     return found.select("source_file", "ts", _r("lat"), _r("lon"), "accuracy")
 
 
+def _files(docs: DataFrame) -> list[str]:
+    """docs(source_file, body) as files, a folder each, in the shared folder -> the pattern that matches them."""
+    path = streaming.scratch(docs.sparkSession)
+    docs.write.partitionBy("source_file").text(path)
+    return [f"{path}/*/*"]
+
+
+def _odd(date):
+    return F.dayofmonth(date) % 2 == 1
+
+
+def _mixed(a) -> DataFrame:
+    """Days in turns as files of layout A and B."""
+    return _documents(a, lambda p, date: F.when(_odd(date), _body_a(p)).otherwise(_body_b(p, date)))
+
+
+def _read(a, docs) -> DataFrame:
+    return exports.read_files(a.raw.sparkSession, _files(docs), exports.named_by_folder())
+
+
+@query
+def export_layouts(a):
+    """Layouts by the head of each body; of every fifth day the head is not telling."""
+    docs = _mixed(a).withColumn("body", F.when(F.expr("cast(right(source_file, 2) AS int) % 5 = 0"), F.concat(F.repeat(F.lit(" "), F.lit(500)), "body")).otherwise(c("body")))
+    return docs.select("source_file", exports.layout_of(c("body")).alias("layout"))
+
+
+@query
+def export_union(a):
+    """Pings of a person, deduplicated, from files of both layouts."""
+    read = _read(a, _mixed(a))
+    persons = [exports.person_pings(read.filter(c("source_file").startswith(f"person-{p}-")), p, a.config) for p in (1, 2)]
+    return persons[0].unionByName(persons[1]).select("person", "ts", "accuracy")
+
+
+@query
+def export_metadata(a):
+    """What each file holds: pings, the first and the last, and whether it has a hash."""
+    paths = _files(_mixed(a))
+    pings = exports.pings_of(exports.read_files(a.raw.sparkSession, paths, exports.named_by_folder()), a.config.start_date)
+    meta = exports.file_metadata(pings, exports.file_fingerprints(a.raw.sparkSession, paths, exports.named_by_folder()))
+    return meta.select("file", "records", "first", "last", F.rlike("file_hash", F.lit("^[0-9a-f]{16}$")).alias("hashed"))
+
+
+@query
+def export_rejects(a):
+    """Files of both layouts with points at no place or zero, in layout A also without a time; files of every tenth day are cut off."""
+    point = lambda x: F.when(x["ping_id"] % 7 == 3, "near by").when(x["ping_id"] % 7 == 4, "geo:0.0,5.0").otherwise(_geo(x))
+    time = lambda x: F.when(x["ping_id"] % 11 != 5, _iso(x["ts"]))
+    body = lambda p, date: F.when(_odd(date), _body_a(p, point, time)).otherwise(_body_b(p, date, point))
+    docs = _documents(a, lambda p, date: F.when(F.dayofmonth(date) % 10 == 0, F.expr("'[{\"startTime\": '")).otherwise(body(p, date)))
+    return exports.rejects(_read(a, docs))
+
+
+def _photos(a) -> DataFrame:
+    """A photo service's dump made of all pings: pages of 50 by month, of which the next one repeats the last photo."""
+    rank = F.row_number().over(Window.partitionBy(F.to_date("ts")).orderBy("us", "ping_id")) - 1
+    exif = F.struct(F.when(c("ping_id") % 13 != 0, c("lat")).alias("latitude"), c("lon").alias("longitude"), F.element_at(F.array(*map(F.lit, ("Apple", "APPLE Inc.", "realme", ""))), (c("ping_id") % 4 + 1).cast("int")).alias("make"))
+    asset = F.struct(c("ping_id").cast("string").alias("id"), F.when(c("ping_id") % 17 != 0, _iso(c("ts"))).alias("fileCreatedAt"), exif.alias("exifInfo"), c("person"))
+    taken = a.deduplicated.select(F.to_date("ts").alias("date"), "person", rank.alias("k"), asset.alias("asset"))
+    first, again = F.floor(c("k") / 50), F.when((c("k") % 50 == 49), F.floor(c("k") / 50) + 1)
+    paged = taken.withColumn("page", F.explode(F.array_compact(F.array(first, again))))
+    pages = paged.groupBy(rules.month_of(c("date")).alias("month"), "date", "person", "page").agg(F.collect_list("asset").alias("items"))
+    body = F.to_json(F.struct(F.struct("items", (c("page") + 2).cast("string").alias("nextPage")).alias("assets")))
+    path = streaming.scratch(a.raw.sparkSession)
+    pages.select("person", "month", body.alias("value")).write.partitionBy("person", "month").text(path)
+    of = lambda p: read_photo_pages(a.raw.sparkSession, f"{path}/person={p}", "2024-01-03", "2024-01-28")
+    return couple_photos(of(1), of(2))
+
+
+@query
+def photo_evidence(a):
+    """Photos of both: all of one person, those of the other that a phone of the brand took."""
+    return _photos(a).select("asset_id", "timestamp", _r("lat"), _r("lon"), "camera_make")
+
+
+@query
+def photo_labels(a):
+    """Labels from the dump, in the second place after those that are given."""
+    return ml.merge_labels(_labels(a), label_photos(_photos(a)))
+
+
+@query
+def photo_features(a):
+    """Features of days with photos."""
+    rows = features.day_features(a.filled, a.overlaps, _photos(a))
+    return rows.select("date", *(_r(n) for n in ("n_overlaps", "n_couple_photos", "has_couple_photos")))
+
+
 @query
 def loo_half_month_cv(a):
     """The driver's events lie in one month, so halves of it are the groups."""

@@ -129,3 +129,47 @@ def test_streaming_dedup_matches_the_batch(spark, tmp_path):
         best[key] = min(best.get(key, (99,)), (a, ts, i))
     want = {v[2] for k, v in best.items() if k[1].hour == 0}
     assert {r.ping_id for r in spark.table("deduped").collect()} - {999} == want
+
+
+def test_rejects_name_what_gives_no_ping(spark, tmp_path):
+    b = [
+        {"startTime": "2024-01-02T10:00:00Z", "endTime": "later", "visit": {"topCandidate": {"placeLocation": "somewhere"}}, "timelinePath": [{"point": "geo:50.0,5.0"}, {"point": "geo:50.0,5.0", "durationMinutesOffsetFromStartTime": "x"}, {"point": "?"}]},
+        {"startTime": "2024-01-02T10:00:00Z", "endTime": "2024-01-02T11:00:00Z", "activity": {"start": "geo:50.0,5.0", "end": "geo:0,0"}},
+        {"other": 1},
+    ]
+    whole = json.dumps(b)
+    paths = [_write(tmp_path, n, x) for n, x in {"a.json": A, "b.json": b, "cut.json": whole[:-4], "empty.json": "", "none.json": "[]", "object.json": "{}", "odd.json": '[{"visit": 5}]'}.items()]
+    got = exports.rejected(spark, [*paths, str(tmp_path / "gone.json")]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        ("a.json", 0, 2, "place"), ("a.json", 0, 3, "time"), ("a.json", 0, 4, "zero"),
+        ("b.json", 0, None, "place"), ("b.json", 0, None, "time"), ("b.json", 0, 1, "time"), ("b.json", 0, 2, "place"), ("b.json", 1, None, "zero"), ("b.json", 2, None, "unknown"),
+        ("cut.json", 0, None, "damaged"), ("empty.json", None, None, "empty"), ("none.json", None, None, "empty"), ("object.json", 0, None, "unknown"), ("odd.json", 0, None, "damaged"),
+        ("gone.json", None, None, "missing"),
+    ], key=str)
+    assert exports.rejected(spark, [str(tmp_path / "gone.json")]).count() == 1
+
+
+def test_layouts_are_sniffed_from_the_head(spark):
+    bodies = [('{"semanticSegments": []}', "A"), ("  [{}]", "B"), ('{"x": "activity"}', "B"), ("{}", "?"), (" " * 500 + "[]", "?"), (None, "?")]
+    docs = spark.createDataFrame(bodies, "body string, want string")
+    assert docs.filter(exports.layout_of(docs.body) != docs.want).count() == 0
+
+
+def test_photo_pages(spark, tmp_path):
+    asset = lambda i, at, lat=50.0, make="Apple", **more: {"id": i, "fileCreatedAt": at, "exifInfo": {"latitude": lat, "longitude": 5.0, "make": make}} | more
+    pages = {
+        ("2023-12", 1): [asset("old", "2023-12-31T10:00:00Z")],
+        ("2024-01", 1): [asset("a", "2024-01-02T10:00:00.5Z"), asset("b", "2024-01-02T11:00:00+02:00", make=None), asset("c", "never"), asset("d", None, createdAt="2024-01-03T08:00:00Z", make="samsung")],
+        ("2024-01", 2): [asset("a", "2024-01-02T10:00:00.5Z"), asset("e", "2024-01-04T10:00:00Z", lat=None), asset("f", "2024-01-04T10:00:00Z", lat=0.0), asset("g", "2024-01-09T10:00:00Z")],
+    }
+    for (month, k), items in pages.items():
+        (folder := tmp_path / "dump" / f"month={month}").mkdir(parents=True, exist_ok=True)
+        _write(folder, f"{k}.json", {"assets": {"items": items, "nextPage": None}})
+    found = photos.read_photo_pages(spark, str(tmp_path / "dump"), "2024-01-01", "2024-01-08")
+    assert sorted((r.asset_id, r.timestamp, r.camera_make) for r in found.collect()) == [
+        ("a", datetime(2024, 1, 2, 10, 0, 0, 500000), "Apple"), ("b", datetime(2024, 1, 2, 11), None), ("d", datetime(2024, 1, 3, 8), "samsung"),
+    ]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    both = photos.couple_photos(found.filter("asset_id = 'd'"), found)
+    assert sorted(r.asset_id for r in both.collect()) == ["a", "d"]
