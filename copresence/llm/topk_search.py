@@ -1,7 +1,8 @@
 """Exact top-k inner products by ball trees, one a shard, with branch and bound.
 
 Vectors are whole numbers. Equal vectors are thinned to the k + 1 rows that any query can have among its best. The rest are dealt to shards
-by nearest pivot, pivots of many vectors to several shards of bounded size. In a first pass each shard's tree is searched for the shard's
+by nearest pivot; what a pivot has beyond a shard is dealt again by nearest pivots of its own, level by level, so that the shards of a pivot
+have balls of their own. Only vectors that LEVELS levels cannot part are dealt by a hash. In a first pass each shard's tree is searched for the shard's
 own queries, which gives each query a kth score to start from. In a second one queries go to those other shards only whose root ball can
 reach that score; they stream past the shard's tree in bounded blocks. Nodes are taken in the order of their inner-product upper bound
 q.c + |q| r over the block, and a query enters a node only if its bound reaches the query's kth score so far.
@@ -32,6 +33,10 @@ SCALE = 256
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 1_024, 128
 #: At most so many pivots of each length of vector, from a sample of so many times as many rows.
 PIVOTS, PIVOT_SAMPLE = 128, 8
+#: Levels of pivots below the first. Each has at most PIVOTS for a pivot of the level above.
+LEVELS = 4
+#: So many times a shard's vectors are dealt to a task of a level.
+DEALT_SHARDS = 8
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -288,8 +293,8 @@ def _searched(k: int, every: int):
 
 
 def _dealt(base: DataFrame, shard_rows: int) -> DataFrame:
-    """base with `shard`: the nearest pivot of the vector's length, and a part of it where it has more than shard_rows vectors. Pivots come
-    from a bounded sample, by a hash of the key."""
+    """base with `shard`: the nearest pivot of the vector's length, of that pivot's own where it has more than shard_rows vectors, and so on.
+    Pivots come from bounded samples, by a hash of the key."""
     sizes = {r.dim: r.n for r in base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     most = PIVOTS * PIVOT_SAMPLE
@@ -317,9 +322,48 @@ def _dealt(base: DataFrame, shard_rows: int) -> DataFrame:
 
     schema = f"{base.schema.simpleString()[7:-1]}, pivot: bigint"
     placed = written(base.mapInArrow(nearest, schema))
-    counts = placed.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(shard_rows)).alias("parts"))
-    part = F.pmod(F.xxhash64("key"), F.col("parts"))
-    return placed.join(counts, "pivot").withColumn("shard", F.xxhash64("pivot", part)).drop("pivot", "parts")
+    done, level, columns = [], 0, placed.columns
+    while True:
+        counts = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("key").alias("some_key"))
+        large = counts.filter(F.col("n") > shard_rows)
+        if level == LEVELS or large.isEmpty():
+            break
+        level += 1
+        large = written(large)
+        done.append(placed.join(large, "pivot", "left_anti").select(*columns))
+        placed = written(_parted(placed.join(large, "pivot"), shard_rows, level).select(*columns))
+    rest = placed.join(counts.select("pivot", F.ceil(F.col("n") / F.lit(shard_rows)).alias("parts")), "pivot")
+    shards = rest.withColumn("shard", F.xxhash64("pivot", F.pmod(F.xxhash64("key"), F.col("parts")))).drop("pivot", "parts")
+    for rows in done:
+        shards = shards.unionByName(rows.withColumn("shard", F.xxhash64("pivot", F.lit(0).cast("long"))).drop("pivot"))
+    return shards
+
+
+def _parted(rows: DataFrame, shard_rows: int, level: int) -> DataFrame:
+    """rows(vec_id, v, asks, key, pivot, n, some_key), n: the vectors of the pivot -> (vec_id, v, asks, key, pivot), with the pivot of the next level.
+    The new pivots, twice as many as shards are needed, are a sample by a hash of the key, or some_key's vector where that is empty. A
+    pivot of very many vectors is dealt to several tasks, each of which has all of its new pivots."""
+    most = F.least(F.lit(PIVOTS), F.ceil(F.lit(2.0) * F.col("n") / F.lit(shard_rows))).cast("int")
+    draw = F.xxhash64("key", F.lit(10 + level))
+    drawn = rows.withColumns({"most": most, "draw": draw}).filter((F.pmod("draw", F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("most") * PIVOT_SAMPLE)))) == 0) | (F.col("key") == F.col("some_key")))
+    first = F.row_number().over(Window.partitionBy("pivot").orderBy("draw", "key"))
+    tasks = F.ceil(F.col("n") / F.lit(DEALT_SHARDS * shard_rows))
+    new = drawn.withColumn("sub", first).filter(F.col("sub") <= F.col("most")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    pivots = new.select(F.xxhash64("pivot", "part").alias("slot"), F.lit(False).alias("dealt"), none("long").alias("vec_id"), "v", none("boolean").alias("asks"), none("long").alias("key"), F.xxhash64("pivot", F.lit(level), "sub").alias("pivot"))
+    slot = F.xxhash64("pivot", F.pmod(F.xxhash64("key"), tasks))
+    going = rows.select(slot.alias("slot"), F.lit(True).alias("dealt"), "vec_id", "v", "asks", "key", "pivot")
+
+    def load(here: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return here.column("pivot").to_numpy(), _matrix(here.column("v"))
+
+    def answer(here: tuple[np.ndarray, np.ndarray] | None, some: pa.RecordBatch) -> pa.RecordBatch:
+        names, p = here
+        away = (p**2).sum(1)[None, :] - 2 * _matrix(some.column("v")) @ p.T
+        return pa.RecordBatch.from_arrays([*(some.column(c) for c in ("vec_id", "v", "asks", "key")), pa.array(names[away.argmin(1)])], ["vec_id", "v", "asks", "key", "pivot"])
+
+    met = pivots.unionByName(going).repartition("slot").sortWithinPartitions("slot", "dealt", F.col("pivot"))
+    return met.mapInArrow(_streamed(load, answer, BLOCK_ROWS), "vec_id long, v array<double>, asks boolean, key long, pivot long")
 
 
 def top_k(rows: DataFrame, asks: Column, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, slot_rows: tuple[int, int] = (4096, 8192)) -> DataFrame:

@@ -89,3 +89,33 @@ def test_bounds_hold():
         rows = tree.order[a:b]
         if tree.children[node] is None:
             assert (q @ v[rows].T).max(1).max() <= bounds[:, node].max() and ((q @ v[rows].T).max(1) <= bounds[:, node]).all()
+
+
+def test_shards_of_a_large_pivot_have_balls_of_their_own(spark, monkeypatch):
+    """Clusters that the first level leaves to two pivots are parted by the next ones: most shards are out of reach of most queries, where a
+    hash leaves all of them in reach. Many copies of nearly one vector end in several shards all the same, and results are whole."""
+    monkeypatch.setattr(K, "PIVOTS", 2)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (12, 8)) * 4
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.05, 8)).tolist()) for i in range(1200)]
+    rows += [(2000 + i, (centres[0] + rng.normal(0, 1e-2, 8)).tolist()) for i in range(300)]
+    base = K.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("vec_id", "v", (F.col("vec_id") % 50 == 0).alias("asks"), F.monotonically_increasing_id().alias("key"))
+    base = base.checkpoint()
+    placed = K._dealt(base, 120).collect()
+    assert sorted(r.vec_id for r in placed) == sorted(i for i, _ in rows)
+    shards = {}
+    for r in placed:
+        shards.setdefault(r.shard, []).append(r.v)
+    assert max(map(len, shards.values())) <= 240 and len(shards) >= 13
+    vectors = np.array([r.v for r in placed])
+
+    def reached(groups):
+        centre = np.array([np.mean(g, 0) for g in groups])
+        radius = np.array([np.sqrt(((np.array(g) - c) ** 2).sum(1).max()) for g, c in zip(groups, centre, strict=True)])
+        queries = np.array([r.v for r in placed if r.asks])
+        kth = np.sort(queries @ vectors.T, 1)[:, -5]
+        return (K.ball_bounds(queries, centre, radius) >= kth[:, None]).mean()
+
+    by_hash = np.array_split(vectors[rng.permutation(len(vectors))], len(shards))
+    assert reached(by_hash) > 0.9 and reached([np.array(g) for g in shards.values()]) < 0.4
+    assert _found(spark, rows, 120, 7) == _plain(rows, 5)
