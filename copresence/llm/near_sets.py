@@ -9,7 +9,9 @@ each other. Of keys that then still hold several components, the texts are joine
 they are, and sets of similarity 0.8 share one of the rarest fifth of each. This loses no pair, and passages that many texts share, which
 make keys large, are no prefixes. Which shingles are rare is told by a table of hashed counts of fixed size; its collisions cost time,
 never a pair. Texts of a token's commonest component are not paired with each other, and no pair whose marks (the parity of the number
-of shingles that fall on each of 1,024 bits) differ in more bits than sets of that similarity differ in shingles is given out.
+of shingles that fall on each of 1,024 bits) differ in more bits than sets of that similarity differ in shingles is given out. A token of
+more than GRID texts is split: by bands of sizes, of which similar sets lie in the same or the next one, and within a band into the cells
+of a grid, so that each pair meets in one cell and no task has to hold a common token whole.
 
 Rows are told apart by id and a hash of their text, ordered by both, null ids last; so rows of one id with different texts are documents
 of their own, and rows equal in both are copies.
@@ -40,6 +42,7 @@ BANDS, ROWS = 24, 5
 BUCKETS = 1 << 20  # hashed counts of shingles
 RUN = 256  # nodes of a key that are put in order together, on average
 MARKS = 16  # 64-bit words of a set's marks
+GRID = 2048  # texts of a token, on average, on either side of a cell
 
 _random = np.random.default_rng(SEED)
 _FLIP, _ODD, _MIX = (_random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(3))
@@ -169,6 +172,20 @@ def marks(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+MEETING = ["token", "band", "row", "col"]
+
+
+def in_grid(tokens: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """tokens(token, node, size, cells, ...) as two sides with the columns of MEETING: every pair of a token's rows whose sizes allow a
+    similarity of `least` is equal on them exactly once."""
+    # a little wider than the ratio of sizes, so that rounding parts no pair by two bands
+    band = F.when(F.col("cells") > 1, F.floor(F.log("size") / F.lit(1e-9 - math.log(least)))).otherwise(F.lit(0)).cast("long")
+    own, every = F.pmod("node", "cells"), F.explode(F.expr("sequence(0L, cells - 1)"))
+    near = F.when(F.col("cells") > 1, F.array(*(band + i for i in (-1, 0, 1)))).otherwise(F.array(band))
+    one = tokens.withColumns({"band": band, "row": own}).withColumn("col", every)
+    return one, tokens.withColumns({"band": F.explode(near), "col": own}).withColumn("row", every)
+
+
 def by_prefix(sets: DataFrame, least: float) -> DataFrame:
     """sets(node, root, hashes) -> the pairs(a, b) of different roots that can have a similarity of `least` by a shingle of both
     prefixes, their sizes and what is left of each set there."""
@@ -192,14 +209,22 @@ def by_prefix(sets: DataFrame, least: float) -> DataFrame:
 
     tokens = written(sets.select("node", "root", "hashes").mapInArrow(run, "token long, left long, node long, root long, size long"))
     marked = written(sets.select("node", "hashes").mapInArrow(mark, ", ".join(f"{c} long" for c in ["node", *names])))
-    commonest = tokens.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", "n").alias("most"), F.count("*").alias("n"))
-    tokens = tokens.join(commonest.filter("n > 1").select("token", "most"), "token").join(marked, "node")
-    one, two = (side.select("token", *(F.col(c).alias(f"{n}_{c}") for c in ("left", "node", "root", "size", *names))) for n, side in (("a", tokens.filter("root <> most")), ("b", tokens)))
+    parts = tokens.groupBy("token", "root").agg(F.count("*").alias("n"))
+    commonest = parts.groupBy("token").agg(
+        F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.ceil(F.sum("n") / GRID).alias("cells")
+    )
+    tokens = tokens.join(commonest.filter("roots > 1").drop("roots"), "token").join(marked, "node")
+    one, two = in_grid(tokens.withColumn("top", F.col("root") == F.col("most")), least)
+    one, two = (
+        side.select(*MEETING, *(F.col(c).alias(f"{n}_{c}") for c in ("left", "node", "root", "size", "top", *names)))
+        for n, side in (("a", one.filter("NOT top")), ("b", two))
+    )
     both = F.col("a_size") + F.col("b_size")
     enough = F.least("a_left", "b_left") * (1 + least) >= both * least - 1e-6
     differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in names), F.lit(0))
     close = differ * (1 + least) <= both * (1 - least) + 1e-6
-    return one.join(two, "token").filter("a_root <> b_root").filter(enough & close).select(*_ordered("a_node", "b_node")).distinct()
+    once = F.col("b_top") | (F.col("a_node") < F.col("b_node"))
+    return one.join(two, MEETING).filter("a_root <> b_root").filter(once & enough & close).select(*_ordered("a_node", "b_node")).distinct()
 
 
 def _classes(docs: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:

@@ -129,3 +129,40 @@ def test_hot_keys_in_runs(docs_of, monkeypatch):
     rows = _rows()
     roots = _plain_roots(rows)
     assert {(r.doc_id, r.component_id) for r in near_sets.near_duplicates(docs_of(rows)).collect()} == set(roots.items())
+
+
+def test_common_token_meets_in_cells(spark, monkeypatch):
+    """A token that every text holds, in components of two: each pair that sizes allow meets in one cell, and cells share the rows."""
+    monkeypatch.setattr(near_sets, "GRID", 16)
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(5, 400, 300)
+    sizes[:6] = [4, 5, 16, 20, 80, 100]
+    cells = -(-len(sizes) // near_sets.GRID)
+    rows = [(1, int(n), int(s), cells) for n, s in enumerate(sizes)] + [(2, 1000 + n, int(s), 1) for n, s in enumerate(sizes[:9])]
+    one, two = near_sets.in_grid(spark.createDataFrame(rows, "token long, node long, size long, cells long"), 0.8)
+    sides = [side.selectExpr(*near_sets.MEETING, f"node AS {n}", f"size AS s{n}") for n, side in (("a", one), ("b", two))]
+    met = sides[0].join(sides[1], near_sets.MEETING).collect()
+    pairs = {(r.a, r.b) for r in met}
+    assert len(pairs) == len(met)
+    plain = {(a, b) for t, a, s, _ in rows for u, b, z, _ in rows if t == u and min(s, z) >= 0.8 * max(s, z)}
+    assert plain <= pairs and len(pairs) < len(rows) ** 2 / 3
+    held = sides[0].groupBy(*near_sets.MEETING).count().agg({"count": "max"}).first()[0]
+    assert held <= 4 * near_sets.GRID
+
+
+def test_shared_rare_token_of_many_components(spark, monkeypatch):
+    """Sets that hold one token, half of them near copies of a neighbour: what the join gives does not depend on the grid."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(60):
+        base = rng.choice(1 << 62, 40, replace=False).astype(np.uint64)
+        base[0] = 5
+        other = base.copy()
+        other[1:3] = rng.choice(1 << 62, 2, replace=False).astype(np.uint64)
+        sets += [np.sort(base), np.sort(other)]
+    rows = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, root long, hashes binary")
+    found = []
+    for grid in (2048, 8):
+        monkeypatch.setattr(near_sets, "GRID", grid)
+        found.append({(r.a, r.b) for r in near_sets.by_prefix(rows, 0.8).collect()})
+    assert found[0] == found[1] >= {(i, i + 1) for i in range(0, 120, 2)}
