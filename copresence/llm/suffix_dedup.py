@@ -20,7 +20,8 @@ windows. A part's key is the hash of the 66 bytes of anchor and side that all it
 
 Order: smaller id first, null ids last; rows with the same id are ordered by a hash of their text. Defined results: null is the empty
 text; texts under 100 bytes lose nothing; of rows that repeat a row in id and text all but one lose what the first has. Extra columns of
-any names are left alone. An empty table gives an empty result. A hash that two different strings share can cause no removal.
+any names are left alone. An empty table gives an empty result. A hash that two different strings share can cause no removal, but for
+one case: whether a row repeats another of the same id (or also without one) is told by the 64-bit hash of its whole text.
 """
 
 from __future__ import annotations
