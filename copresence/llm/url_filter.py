@@ -39,6 +39,8 @@ PRIOR, PRIOR_SHARE = 20, 0.01
 COMPOUND = 10
 #: A label of so many hosts is a word.
 SHARED = 3
+#: Copies of the dictionary that names are dealt to when they look up the words in them.
+COPIES = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key with more than this share of all rows is joined by broadcast, so there are at most 1000 such keys.
 HOT_SHARE = 1000
@@ -187,7 +189,10 @@ def segmented(tokens: DataFrame, counts: DataFrame, total: int, compounds: int |
     names = written(places.groupBy("token").agg(F.count("*").alias("n"), F.first("t").alias("t")))
     lengths = sorted(r.x for r in counts.select(F.char_length("part").alias("x")).distinct().collect())
     inside = names.select("t", "token").mapInArrow(_parts(lengths), "t long, h long")
-    met = inside.join(counts.withColumn("h", F.xxhash64("part")), "h").groupBy("t").agg(F.map_from_entries(F.collect_set(F.struct("part", "n"))).alias("known"))
+    # a short word is in very many names: those meet copies of the dictionary, each name one of them
+    inside = inside.withColumn("copy", F.pmod("t", F.lit(COPIES)))
+    copies = counts.withColumns({"h": F.xxhash64("part"), "copy": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long")))})
+    met = inside.join(copies, ["h", "copy"]).groupBy("t").agg(F.map_from_entries(F.collect_set(F.struct("part", "n"))).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
