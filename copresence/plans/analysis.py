@@ -32,7 +32,8 @@ class Analysis:
 
     @cached_property
     def deduplicated(self) -> DataFrame:
-        return clean.dedup_2min(clean.usable(self.raw, self.config.start_date))
+        """Everything else starts here, many times over: raw pings are read and deduplicated once, and at most 720 a person and day are kept."""
+        return self._kept(clean.dedup_2min(clean.usable(self.raw, self.config.start_date)))
 
     @cached_property
     def pings(self) -> DataFrame:

@@ -598,7 +598,7 @@ def stream_overnight(a):
     """overnight_fill of pings that are replayed."""
     streamed.use_rocksdb(a.raw.sparkSession)
     pings = streaming.replayed(a.pings.drop("ts"), heartbeat=(_NOBODY, _LATER))
-    fill = streaming.drained(streamed.overnight_stream(_clocked(pings), a.homes, a.config))
+    fill = streaming.drained(streamed.overnight_stream(_clocked(pings), streaming.stored(a.homes), a.config))
     return fill.select("person", "ts", _r("lat"), _r("lon"), "geofence_radius", "accuracy")
 
 

@@ -20,10 +20,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder}/stream-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows as a table, so that what they are made of is run once: a stream would run a static side again with each micro-batch."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def replayed(rows: DataFrame, at: str = "us", parts: int = 4, heartbeat: tuple[dict, int] | None = None) -> DataFrame:
     """rows as a stream of `parts` stretches of time, one micro-batch each. heartbeat: columns of a row that comes last, so many microseconds
     after the rest, and moves the watermark past all of it."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    rows = stored(rows)
     span = rows.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
     rows.limit(0).write.parquet(path)
     if span.a is not None:
