@@ -7,6 +7,9 @@ they, and items that cannot be read, are found by `rejects`. Bodies that lie in
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,10 @@ from copresence.config import Config
 from copresence.functions.geo import geodesic_distance, parsed_coordinate
 from copresence.functions.rules import MICROS_MINUTE, from_micros, micros
 from copresence.operators.clean import dedup_2min
+from copresence.sources import hashing
+
+#: Bytes of a file that one task hashes, and larger files that are hashed at the same time.
+LARGE_FILE, FILES_AT_ONCE = 128 << 20, 4
 
 _CANDIDATE = "struct<topCandidate: struct<placeLocation: string, semanticType: string>>"
 SCHEMA_A = f"semanticSegments array<struct<startTime: string, endTime: string, timelinePath: array<struct<point: string, time: string>>, visit: {_CANDIDATE}>>"
@@ -218,9 +225,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def file_fingerprints(spark: SparkSession, paths: list[str], name: Column | None = None) -> DataFrame:
-    """(file, file_hash): first 16 hex digits of each file's SHA-256."""
+    """(file, file_hash): first 16 hex digits of each file's SHA-256. Files of up to LARGE_FILE bytes are read whole by a task; larger ones are hashed
+    split by split when this is called, some of them side by side (see hashing.py). Packed files, and all where OpenSSL gives out no state,
+    are read whole."""
     files = spark.read.format("binaryFile").load(paths)
-    return files.select((named_by_file() if name is None else name).alias("file"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"))
+    named = (named_by_file() if name is None else name).alias("file")
+    printed = lambda of: of.select(named, F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"))
+    found = files.filter(F.col("length") > LARGE_FILE).select(named, "path", "length").collect() if hashing.resumable() else []
+    if not found:
+        return printed(files)
+    large, packed = [r for r in found if not r.path.endswith(hashing.PACKED)], [hashing.literal(r.path) for r in found if r.path.endswith(hashing.PACKED)]
+    prints = printed(files.filter(F.col("length") <= LARGE_FILE))
+    if packed:
+        prints = prints.unionByName(printed(spark.read.format("binaryFile").load(packed)))
+
+    def hashed(r):
+        return r.file, hashing.sha256_by_splits(spark, r.path, r.length)[:16]
+
+    with ThreadPool(max(1, min(FILES_AT_ONCE, len(large)))) as pool:
+        made = pool.map(inheritable_thread_target(spark)(hashed), large)
+    return prints.unionByName(spark.createDataFrame(made, "file string, file_hash string"))
 
 
 def file_metadata(pings: DataFrame, fingerprints: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Loaders on hand-written exports; photos, labels, fingerprints, sinks, report."""
 
+import gzip
 import hashlib
 import json
+import random
 from datetime import datetime
+from urllib.parse import quote
 
 import pytest
 
@@ -173,3 +176,26 @@ def test_photo_pages(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in plan
     both = photos.couple_photos(found.filter("asset_id = 'd'"), found)
     assert sorted(r.asset_id for r in both.collect()) == ["a", "d"]
+
+
+def test_large_files_are_hashed_by_splits(spark, tmp_path, monkeypatch):
+    noise = random.Random(5).randbytes(30_000)
+    bodies = {
+        "noise": noise, "end": noise + b"\n", "mark": b"\xef\xbb\xbf" + noise, "mark-end": b"\xef\xbb\xbfa\r\n" + b"\xff\n" * 3000, "feeds": b"\n" * 5000,
+        "line": b"\0" * 9000, "json": json.dumps(A).encode() * 20, "small": b"x", "odd [1]": noise,
+    }
+    for n, body in bodies.items():
+        (tmp_path / n).write_bytes(body)
+    (tmp_path / "packed.gz").write_bytes(gzip.compress(noise[:1900]))
+    bodies["packed.gz"] = (tmp_path / "packed.gz").read_bytes()
+    monkeypatch.setattr(exports, "LARGE_FILE", 1000, raising=False)
+    # a task that reads a file whole fails beyond this length
+    limits = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.sources.binaryFile.maxLength": "2500"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.file: r.file_hash for r in exports.file_fingerprints(spark, [str(tmp_path)]).collect()}
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert got == {quote(n): hashlib.sha256(body).hexdigest()[:16] for n, body in bodies.items()}
