@@ -1,4 +1,5 @@
-"""The whole analysis as one lazy plan: every attribute is a DataFrame that is only run where it is used."""
+"""The whole analysis as one lazy plan: every attribute is a DataFrame that is only run where it is used. With tables between its steps it is
+a chain of short plans instead."""
 
 from __future__ import annotations
 
@@ -9,19 +10,26 @@ from pyspark.sql import functions as F
 
 from copresence.config import Config
 from copresence.operators import clean, datasets, features, joins, matrix, metrics, ml, presence
+from copresence.session import stored
 from copresence.sources.photos import photo_labels
 
 
 class Analysis:
     """From raw pings(ping_id, person, ts, us, accuracy, lat, lon) of persons 1 and 2 to days together; with labels(date, label), and photos
-    if there are any, also to a classifier of days and the ensemble of rules and model. close() gives up what is cached."""
+    if there are any, also to a classifier of days and the ensemble of rules and model. close() gives up what is cached.
 
-    def __init__(self, pings: DataFrame, config: Config = Config(), labels: DataFrame | None = None, photos: DataFrame | None = None, threshold: float = 0.7):
-        self.raw, self.config, self.given_labels, self.photos, self.threshold = pings, config, labels, photos, threshold
+    tables: what is kept is written to the folder that driver and executors share when it is first asked for, and read from there. A plan of
+    cached rows holds all that they are made of once for each time they are used, so that of day features reads the pings some eighty times
+    over: no task does so, but whatever is planned behind it does, and a report or a fit plans a lot."""
+
+    def __init__(self, pings: DataFrame, config: Config = Config(), labels: DataFrame | None = None, photos: DataFrame | None = None, threshold: float = 0.7, tables: bool = False):
+        self.raw, self.config, self.given_labels, self.photos, self.threshold, self.tables = pings, config, labels, photos, threshold, tables
         self._cached: list[DataFrame] = []
 
     def _kept(self, rows: DataFrame) -> DataFrame:
-        """rows in the cache: bounded by the days of the observation, and what an executor takes with it is computed anew."""
+        """rows in the cache: bounded by the days of the observation, and what an executor takes with it is computed anew; or as a table."""
+        if self.tables:
+            return stored(rows)
         self._cached.append(rows.cache())
         return rows
 

@@ -10,7 +10,7 @@ from copresence.functions import geo, rules
 from copresence.operators import clean, datasets, features, joins, matrix, metrics, ml, presence
 from copresence.plans.analysis import Analysis
 from copresence.plans.oracles import ORACLES
-from copresence.session import configure
+from copresence.session import configure, stored
 from copresence.plans.report import report
 from copresence.sources import exports
 from copresence.sources.exports import file_fingerprints
@@ -365,13 +365,16 @@ def _half(date):
     return F.when(F.dayofmonth(date) <= 15, "first").otherwise("second")
 
 
-def _trained(a):
-    return a.features, _labels(a)
+def _labelled(a) -> Analysis:
+    """The analysis with labels, from end to end, with tables between its steps."""
+    labelled = Analysis(a.raw, a.config, tables=True)
+    labelled.given_labels = stored(_labels(labelled))
+    return labelled
 
 
-def _labelled(a) -> Analysis:
-    """The analysis with labels, from end to end."""
-    return Analysis(a.raw, a.config, _labels(a))
+def _trained(a):
+    labelled = _labelled(a)
+    return labelled.features, labelled.given_labels
 
 
 @query

@@ -2,29 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share, spark.checkpoint.dir; in local mode a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="streams-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/stream-{uuid.uuid4().hex}"
-
-
-def stored(rows: DataFrame) -> DataFrame:
-    """rows as a table, so that what they are made of is run once: a stream would run a static side again with each micro-batch."""
-    spark, path = rows.sparkSession, scratch(rows.sparkSession)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+from copresence.session import scratch, stored
 
 
 def replayed(rows: DataFrame, at: str = "us", parts: int = 4, heartbeat: tuple[dict, int] | None = None) -> DataFrame:
