@@ -19,7 +19,7 @@ class Analysis:
     if there are any, also to a classifier of days and the ensemble of rules and model. close() gives up what is cached.
 
     tables: what is kept is written to the folder that driver and executors share when it is first asked for, and read from there. A plan of
-    cached rows holds all that they are made of once for each time they are used, so that of day features reads the pings some eighty times
+    cached rows holds all that they are made of once for each time they are used, so that of day features reads the pings many times
     over: no task does so, but whatever is planned behind it does, and a report or a fit plans a lot."""
 
     def __init__(self, pings: DataFrame, config: Config = Config(), labels: DataFrame | None = None, photos: DataFrame | None = None, threshold: float = 0.7, tables: bool = False):

@@ -34,6 +34,6 @@ def event_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ping_id, person, ts, us, accuracy, lat, lon) from the event table."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     pings = spark.sql(PINGS_SQL.format(events="{events}"), events=events)
-    # a generator keeps times and places from being made again in each condition on them: that code is too long to be compiled to more than bytes
+    # a generator keeps times and places from being made again in each condition on them, which took most of the time of deduplication
     made = F.inline(F.array(F.struct("ts", "accuracy", "lat", "lon")))
     return pings.select("ping_id", "person", made).withColumn("us", micros(F.col("ts")))
