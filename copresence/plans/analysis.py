@@ -45,8 +45,9 @@ class Analysis:
 
     @cached_property
     def pings(self) -> DataFrame:
-        """Without noise, with radii."""
-        return clean.tag_radius(clean.drop_jitter(self.deduplicated))
+        """Without noise, with radii. Homes, stays, speeds, labels and the period start here, so with tables they are made once."""
+        tagged = clean.tag_radius(clean.drop_jitter(self.deduplicated))
+        return stored(tagged) if self.tables else tagged
 
     @cached_property
     def homes(self) -> DataFrame:

@@ -63,6 +63,21 @@ def test_an_analysis_with_tables_reads_raw_pings_once_and_keeps_plans_short(spar
     analysis.close(), whole.close()
 
 
+def test_an_analysis_with_tables_drops_jitter_once(spark, monkeypatch):
+    made = []
+
+    def counted(pings, drop=clean.drop_jitter):
+        rows, n = _counted(spark, drop(pings))
+        made.append(n)
+        return rows
+
+    monkeypatch.setattr(clean, "drop_jitter", counted)
+    analysis = Analysis(_pings(spark), Config(start_date="2024-01-01"), tables=True)
+    analysis.given_labels = run.stored(analysis.trusted.select(F.to_date("ts").alias("date"), F.lit("together").alias("label")).distinct())
+    assert analysis.features.count() > 0 and analysis.raw_overlaps.count() > 0 and analysis.labels.count() > 0
+    assert [n.value for n in made] == [400]
+
+
 def _relations(rows):
     """How many tables a plan reads, one that is read again counted again."""
     return sum(x.startswith(("Relation", "Range")) for line in rows._jdf.queryExecution().analyzed().toString().split("\n") for x in [line.lstrip(" :+-")])
