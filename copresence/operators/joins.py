@@ -111,8 +111,10 @@ def on_grid(pairs: DataFrame, start: str, end: str, step_us: int) -> DataFrame:
     timed = pairs.withColumn("cos_lat", F.cos(F.radians((c("a_start_lat") + c("b_start_lat")) * 0.5)))
     timed = timed.withColumn("t", F.explode(F.sequence(c(start), c(end), F.lit(step_us))))
     (lat1, lon1), (lat2, lon2) = position_at("a_", c("t")), position_at("b_", c("t"))
-    timed = timed.withColumns({"lat1": lat1, "lon1": lon1, "lat2": lat2, "lon2": lon2})
-    return timed.withColumn("distance_m", planar_distance(c("lat1"), c("lon1"), c("lat2"), c("lon2"), c("cos_lat")))
+    # generators keep positions and the distance from being made again in each condition and column that reads them
+    there = F.struct(lat1.alias("lat1"), lon1.alias("lon1"), lat2.alias("lat2"), lon2.alias("lon2"))
+    timed = timed.select(*timed.columns, F.inline(F.array(there)))
+    return timed.withColumn("distance_m", F.explode(F.array(planar_distance(c("lat1"), c("lon1"), c("lat2"), c("lon2"), c("cos_lat")))))
 
 
 def fine_matches(legs: DataFrame, config: Config, step_us: int = MICROS_MINUTE) -> DataFrame:

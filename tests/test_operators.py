@@ -200,3 +200,11 @@ def test_distances_of_pairs_are_computed_once(spark, pings_of):
     rows = clean.with_speed(clean.tag_radius(pings_of([(p, m, 50.0, 5.0, 10) for p in (1, 2) for m in (0, 50)])))
     plan = joins.raw_overlaps(rows.select("person", "ping_id", "us", "lat", "lon", "geofence_radius", F.lit(0.0).alias("speed_kmh")), CONFIG)
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_positions_on_legs_are_computed_once(pings_of):
+    rows = [(p, m + p, 50.0 + m * 0.0001, 5.0, 10) for p in (1, 2) for m in range(0, 60, 10)]
+    matches = joins.fine_matches(clean.segments(pings_of(rows)), CONFIG)
+    plan = matches._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("greatest(0.0, least(1.0") == 4 and plan.count("111320.0) * cos_lat") <= 2
+    assert matches.count() > 0
