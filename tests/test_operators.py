@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from copresence.config import Config
 from copresence.functions.rules import MICROS_MINUTE, micros
-from copresence.operators import clean, datasets, joins, metrics, presence
+from copresence.operators import clean, datasets, features, joins, metrics, presence
 from copresence.plans.analysis import Analysis
 
 CONFIG = Config()
@@ -208,3 +208,13 @@ def test_positions_on_legs_are_computed_once(pings_of):
     plan = matches._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("greatest(0.0, least(1.0") == 4 and plan.count("111320.0) * cos_lat") <= 2
     assert matches.count() > 0
+
+
+def test_hours_of_features_are_counted_without_a_shuffle_of_their_own(pings_of):
+    rows = [(1, m, 50.0, 5.0, 10) for m in (0, 5, 61, 62, 400)] + [(2, m, 50.0, 5.0, 10) for m in (0, 59)]
+    pings = pings_of(rows)
+    found = features.day_features(pings, joins.fine_overlaps(clean.segments(pings), CONFIG))
+    day = found.first()
+    assert (day.p1_hours_covered, day.p2_hours_covered, day.overlap_hours_span) == (3, 1, 1)
+    assert (found.schema["p1_hours_covered"].dataType.simpleString(), found.schema["overlap_hours_span"].dataType.simpleString()) == ("bigint", "bigint")
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
